@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.lm_scoring import op1_lm_scoring
+from glyphmill.llm.mixing import op6_mixing
 from glyphmill.llm.simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op6_mixing": op6_mixing,
+    "op9_simhash": op9_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
