@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from glyphmill.llm.lm_scoring import op1_lm_scoring
 from glyphmill.llm.mixing import op6_mixing
+from glyphmill.llm.quality import op7_quality
 from glyphmill.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
 }
 
