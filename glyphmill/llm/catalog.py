@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.langid import op8_langid
 from glyphmill.llm.lm_scoring import op1_lm_scoring
 from glyphmill.llm.mixing import op6_mixing
 from glyphmill.llm.quality import op7_quality
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
 }
 
