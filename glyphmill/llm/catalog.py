@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.decontam import op2_decontam
 from glyphmill.llm.langid import op8_langid
 from glyphmill.llm.lm_scoring import op1_lm_scoring
 from glyphmill.llm.mixing import op6_mixing
@@ -10,6 +11,7 @@ from glyphmill.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_decontam": op2_decontam,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_langid": op8_langid,
