@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmill.llm.decontam import op2_decontam
 from glyphmill.llm.langid import op8_langid
+from glyphmill.llm.linededup import OP4_SQL, op4_line_dedup
 from glyphmill.llm.lm_scoring import op1_lm_scoring
 from glyphmill.llm.mixing import op6_mixing
 from glyphmill.llm.quality import op7_quality
@@ -12,10 +13,13 @@ from glyphmill.llm.simhash import op9_simhash
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontam": op2_decontam,
+    "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
