@@ -8,6 +8,7 @@ from glyphmill.llm.linededup import OP4_SQL, op4_line_dedup
 from glyphmill.llm.lm_scoring import op1_lm_scoring
 from glyphmill.llm.mixing import op6_mixing
 from glyphmill.llm.quality import op7_quality
+from glyphmill.llm.quality_rules import op10_quality_rules
 from glyphmill.llm.simhash import op9_simhash
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
