@@ -7,16 +7,18 @@ stand in vertical planes, one 64-bit word for 64 comparisons, and carry-save cou
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrowtext import text_chunks
+from glyphmill.llm.arrowtext import Hasher, mix, pair, text_chunks, word_ranges, words_lut
 from glyphmill.llm.components import components
 from glyphmill.session import materialise
 
@@ -128,7 +130,8 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int, block_words: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, smaller-indexed fp) that span all pairs within the radius in the same group; equal groups are adjacent."""
+    """Links that span all pairs within the radius in the same group, as pairs of row numbers. fps has a row of one or
+    more 64-bit words for each fingerprint; rows of one group are adjacent."""
     edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     sizes = np.diff(np.concatenate((edge, [len(fps)])))
     keep = np.argsort(-sizes, kind="stable")
@@ -138,11 +141,11 @@ def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int, block_words:
         return none, none
     sizes, edge = sizes[keep], edge[keep]
     rows = np.repeat(edge - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    fps, size_of, n = fps[rows], np.repeat(sizes, sizes), int(sizes.sum())
+    fps, size_of, n = np.ascontiguousarray(fps[rows]), np.repeat(sizes, sizes), int(sizes.sum())
     rank = np.arange(n) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-    words = -(-n // 64) + 2
-    bits = np.zeros((BITS, words * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(fps.view(np.uint64).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
+    words, depth = -(-n // 64) + 2, 64 * fps.shape[1]
+    bits = np.zeros((depth, words * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
     del bits
     label = np.arange(n)
@@ -173,51 +176,55 @@ def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int, block_words:
             pend_a, pend_b, held = [], [], 0
     label = _stars(n, np.concatenate([*pend_a, np.arange(n)]), np.concatenate([*pend_b, label]))
     at = np.flatnonzero(label != np.arange(n))
-    return fps[at], fps[label[at]]
+    return rows[at], rows[label[at]]
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 4, block: int = 1024) -> DataFrame:
-    """Links (a, b) that span all pairs of distinct fingerprints ``fp`` within the radius.
+def link_buckets(rows: DataFrame, words: list[str], radius: int, block: int) -> DataFrame:
+    """Links (a, b) between nodes that span all pairs within the radius in the same bucket.
 
-    Buckets of one fingerprint go at once. A bucket of more than ``block`` is dealt out as pairs of blocks, so that
-    no task holds more than two blocks of it, whatever its size; each pair of blocks returns a spanning forest.
+    rows: node, t and key (the bucket), and the fingerprint's words. Buckets of one node go at once. A bucket of more
+    than ``block`` is dealt out as pairs of blocks, so that no task holds more than two blocks of it, whatever its
+    size; each pair of blocks returns a spanning forest.
     """
-    masks = _parts(radius)
-    tables = [_signed(masks[i] | masks[j]) for i, j in combinations(range(len(masks)), 2)]
-    spread: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(tables)]))
-    rows = nodes.select("fp", spread.alias("x")).select("fp", "x.t", "x.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = (
         rows.join(sizes, ["t", "key"])
         .withColumn("g", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.when(F.col("g") > 1, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.lit(0)))))
         .where("g = 1 or own != other")
         .withColumn("grp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")))
-        .select("grp", "fp")
+        .select("grp", "node", *words)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_g, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros((0, 2 + len(words)), np.int64)
 
-        def out(g: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(f, g, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            a, b = bucket_links(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), rows[:, 0], radius)
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 1], pa.int64()), pa.array(rows[b, 1], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            held_g = np.concatenate((held_g, batch.column(0).to_numpy(zero_copy_only=False)))
-            held_f = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False)))
-            if len(held_g) >= 1 << 16:
-                cut = int(np.searchsorted(held_g, held_g[-1], side="left"))  # the last group may go on
+            held = np.concatenate((held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
+            if len(held) >= 1 << 16:
+                cut = int(np.searchsorted(held[:, 0], held[-1, 0], side="left"))  # the last group may go on
                 if cut:
-                    yield out(held_g[:cut], held_f[:cut])
-                    held_g, held_f = held_g[cut:], held_f[cut:]
-        if len(held_g):
-            yield out(held_g, held_f)
+                    yield out(held[:cut])
+                    held = held[cut:]
+        if len(held):
+            yield out(held)
 
     return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = 4, block: int = 1024) -> DataFrame:
+    """Links (a, b) that span all pairs of distinct 64-bit fingerprints ``fp`` within the radius; none is missed."""
+    masks = _parts(radius)
+    tables = [_signed(masks[i] | masks[j]) for i, j in combinations(range(len(masks)), 2)]
+    spread = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(tables)]))
+    return link_buckets(nodes.select("fp", spread.alias("x")).select(F.col("fp").alias("node"), "x.t", "x.key", "fp"), ["fp"], radius, block)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): one row per document, with the smallest doc_id of its component.
 
@@ -235,6 +242,91 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near-dedup at a similarity: a wider fingerprint, so that the number of differing bits tells the similarity.
+
+WIDE = 4
+#: Buckets by sampled bits: tables, and bits of each in the fingerprint's words. Two texts at similarity 0.8 agree on
+#: each bit with probability 0.85 and so share one of the buckets with probability 0.98; at 0.9 it's 0.9999.
+TABLES, SAMPLED = 40, (4, 4, 3, 3)
+
+
+def radius_at(similarity: float, bits: int = WIDE * BITS) -> int:
+    """The bits that differ in the mean between two sets of this Jaccard similarity, and a standard deviation more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(doc_id, text_hash, f0 .. f3): fingerprints of 256 bits over lower-case word shingles of each whole text; a text
+    of fewer words than a shingle is one shingle, one without words has zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, lut = Hasher(), words_lut()
+        for batch in batches:
+            parts = [_wide(*shingle_keys(d, o, hasher, lut, shingle_words)) for _, _, d, o in text_chunks(batch.column(2), 1 << 20)]
+            fps = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, WIDE), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(fps[:, i]) for i in range(WIDE)]], ["doc_id", "text_hash", *_WORDS])
+
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+_WORDS = [f"f{i}" for i in range(WIDE)]
+
+
+def shingle_keys(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, lut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the k-word shingles of each text (of all its words, if they're fewer), and where each text's begin."""
+    starts, ends, first = word_ranges(data, offsets, lut)
+    h, n = hasher(data, starts, ends), np.diff(first)
+    size = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - first[:-1], size)
+    last = np.repeat(first[1:] - 1, size)
+    key = h[at]
+    for i in range(1, k):
+        there = at + i <= last
+        key[there] = pair(key[there], h[at[there] + i])
+    return key, bounds
+
+
+def _wide(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the hashes of each text, for each of the fingerprint's words."""
+    n = np.diff(bounds)
+    out = np.zeros((len(n), WIDE), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        for i in range(WIDE):
+            h = mix(keys ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
+            counts = np.add.reduceat(bits, bounds[some], axis=0, dtype=np.int32)
+            out[some, i] = np.packbits(counts * 2 > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
+    """The documents without near copies: of each group linked by similarity the one of the smallest id stays.
+
+    The similarity is that of sets of word shingles, told by the bits that differ between wide fingerprints. A null id
+    comes last, equal ids by the hash of the text; rows that repeat id and text are one document and one of them
+    stays. Texts without words are one group. All columns stay as they are; an empty table gives an empty result.
+    """
+    prints = materialise(wide_fingerprints(docs, id_col, text_col, shingle_words), "wide-fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("text_hash"))
+    nodes = materialise(prints.groupBy(*_WORDS).agg(F.min(rank).alias("first")).withColumn("node", F.xxhash64(*_WORDS)), "wide-nodes")
+    rng = random.Random(9)
+    keys = []
+    for t in range(TABLES):
+        masked = [F.col(w).bitwiseAND(F.lit(_signed(sum(1 << b for b in rng.sample(range(BITS), k))))) for w, k in zip(_WORDS, SAMPLED, strict=True)]
+        keys.append(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *masked).alias("key")))
+    rows = nodes.select("node", *_WORDS, F.explode(F.array(*keys)).alias("x")).select("node", "x.t", "x.key", *_WORDS)
+    roots = components(link_buckets(rows, _WORDS, radius_at(similarity), block))
+    group = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    keepers = group.agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", F.lit(0), "first.text_hash").alias("_gm_key"))
+    keyed = docs.withColumn("_gm_key", F.xxhash64(F.col(id_col).cast("long"), F.lit(0), F.xxhash64(text_col)))
+    return keyed.join(keepers, "_gm_key").dropDuplicates(["_gm_key"]).select(*docs.columns)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """The contract's digest: 4-word shingles, links at 4 or fewer differing bits."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

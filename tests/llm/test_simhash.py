@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from glyphmill.llm.simhash import bucket_links, simhash_components
+from glyphmill.llm.simhash import bucket_links, near_dedup, radius_at, simhash_components
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -48,9 +48,7 @@ def test_bucket_links_span_all_near_pairs():
         fps = np.unique(fps)
         rng.shuffle(fps)
         groups = np.sort(rng.integers(0, 3, len(fps)))
-        a, b = bucket_links(fps.view(np.int64), groups, 4)
-        at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-        links = [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]
+        links = list(zip(*bucket_links(fps[:, None], groups, 4), strict=True))
         root = list(range(len(fps)))
         for _ in fps:
             for x, y in links:
@@ -77,3 +75,42 @@ def test_components_match_brute_force(spark):
 
 def test_empty(spark):
     assert simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wide_links_span_all_near_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 5, 150)]
+    for _ in range(40):
+        fps[:, rng.integers(0, 4)] ^= np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)
+    whole = [sum(int(x) << 64 * i for i, x in enumerate(r)) for r in fps]
+    links = list(zip(*bucket_links(fps, np.zeros(150, np.int64), 45), strict=True))
+    root = list(range(150))
+    for _ in range(150):
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    assert root == closure(list(range(150)), whole, 45)
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    rng = np.random.default_rng(2)
+    say = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    rows, group = [], []
+    for g in range(40):
+        text = say(int(rng.integers(60, 500)))
+        for c in range(int(rng.integers(1, 5))):
+            copy = list(text)
+            for _ in range(int(c > 0) * max(1, len(text) // 150)):
+                copy[int(rng.integers(0, len(copy)))] = "changed"
+            rows.append((len(rows) + 10, " ".join(copy)))
+            group.append(g)
+    rows += [(None, rows[0][1]), (3, None), (4, ""), (7, "one two"), (8, "two one"), (10, rows[0][1])]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, f0 string, node int")
+    got = near_dedup(df)
+    assert got.columns == df.columns
+    kept = sorted(r.doc_id for r in got.collect())
+    firsts = {}
+    for (i, _), g in zip(rows, group, strict=False):
+        firsts.setdefault(g, i)
+    assert kept == sorted([*firsts.values(), 3, 7, 8])
+    assert near_dedup(df.limit(0)).count() == 0 and 40 < radius_at(0.8) < 50
