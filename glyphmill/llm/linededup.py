@@ -15,28 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.llm.nativetext import words
 from glyphmill.session import materialise
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a line needs to be looked at at all, and to be compared within the bound.
 LEAST_WORDS, NEAR_WORDS = 3, 8
 
 
-def _halves(words: str, n: str, m: int) -> list[Column]:
+def _halves(w: str, n: str, m: int) -> list[Column]:
     """Keys of the first and of the second half that a line shares with a partner, the shorter of the two having n - m words."""
     size = F.col(n) - m
     head = F.floor(size / 2).cast("int")
     tail = (size - head).cast("int")
     return [
-        F.xxhash64(F.lit("head"), size, F.slice(words, F.lit(1), head)),
-        F.xxhash64(F.lit("tail"), size, F.slice(words, F.col(n) - tail + 1, tail)),
+        F.xxhash64(F.lit("head"), size, F.slice(w, F.lit(1), head)),
+        F.xxhash64(F.lit("tail"), size, F.slice(w, F.col(n) - tail + 1, tail)),
     ]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line of (doc_id, text), one with null line for a null text."""
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn(
-        "w", F.regexp_extract_all(F.coalesce("line", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+        "w", words(F.col("line"))
     )
 
 
@@ -63,19 +63,19 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = lines.join(able, ["h1", "h2"]).groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("line", "at", "head", "tail")])
     texts = materialise(texts.withColumn("n", F.size(F.split("line", " "))), "line-candidates")
 
-    words = texts.select("h1", "h2", "at", "n", "head", "tail", F.posexplode(F.split("line", " ")).alias("j", "word"))
-    words = words.withColumn("here", F.xxhash64("word", "j")).withColumn("left", F.xxhash64("word", F.col("j") - 1)).drop("word")
+    each = texts.select("h1", "h2", "at", "n", "head", "tail", F.posexplode(F.split("line", " ")).alias("j", "word"))
+    each = each.withColumn("here", F.xxhash64("word", "j")).withColumn("left", F.xxhash64("word", F.col("j") - 1)).drop("word")
     whole = Window.partitionBy("h1", "h2")
     before = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     to_here = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    words = (
-        words.withColumn("p", F.coalesce(F.bit_xor("here").over(before), F.lit(0)))
+    each = (
+        each.withColumn("p", F.coalesce(F.bit_xor("here").over(before), F.lit(0)))
         .withColumn("q", F.bit_xor("left").over(to_here))
         .withColumn("all_here", F.bit_xor("here").over(whole.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("all_left", F.bit_xor("left").over(whole.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     # a shared first half leaves the edit to the second, and the other way round
-    words = words.where((F.col("head") & (F.col("j") >= F.floor((F.col("n") - 1) / 2))) | (F.col("tail") & (F.col("j") <= F.floor(F.col("n") / 2))))
+    each = each.where((F.col("head") & (F.col("j") >= F.floor((F.col("n") - 1) / 2))) | (F.col("tail") & (F.col("j") <= F.floor(F.col("n") / 2))))
     replaced = F.xxhash64(F.lit("replaced"), "n", "j", F.col("all_here").bitwiseXOR(F.col("here")))
     dropped = F.xxhash64(F.lit("dropped"), F.col("n") - 1, F.col("p").bitwiseXOR(F.col("all_left")).bitwiseXOR(F.col("q")))
     itself = F.xxhash64(F.lit("dropped"), "n", "all_here")
@@ -84,7 +84,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         F.struct(dropped.alias("k"), F.lit(1).alias("kind")),
         F.when(F.col("j") == F.floor(F.col("n") / 2), F.struct(itself.alias("k"), F.lit(2).alias("kind"))),
     )
-    members = words.select("h1", "at", F.explode(kinds).alias("x")).where("x is not null").select("h1", "at", "x.k", "x.kind")
+    members = each.select("h1", "at", F.explode(kinds).alias("x")).where("x is not null").select("h1", "at", "x.k", "x.kind")
     first = members.groupBy("k").agg(
         F.count("*").alias("c"), F.min(F.when(F.col("kind") != 2, F.col("at"))).alias("first_less"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("first_full")
     )
