@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions.text import byte_alphabet
 
 FLOOR = -100000.0
+_PIECES = T.StructField("pieces", T.ArrayType(T.StringType()))
 
 
 def best_segmentation(text: str, scores: dict[str, float], longest: int) -> list[str]:
@@ -82,7 +84,7 @@ def encode(counts: DataFrame, vocab: dict[str, float], name: str = "pretoken") -
         for frame in frames:
             yield frame.assign(pieces=[best_segmentation(t, scores, longest) for t in frame[name]])
 
-    return counts.mapInPandas(run, counts.schema.add("pieces", "array<string>"))
+    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
 
 
 def n_best(counts: DataFrame, vocab: dict[str, float], n: int, name: str = "pretoken") -> DataFrame:
@@ -96,7 +98,7 @@ def n_best(counts: DataFrame, vocab: dict[str, float], n: int, name: str = "pret
             wide = frame.assign(pieces=found).explode("pieces", ignore_index=True).dropna(subset=["pieces"])
             yield wide.assign(rank=wide.groupby(name).cumcount())[[*frame.columns, "rank", "pieces"]]
 
-    return counts.mapInPandas(run, counts.schema.add("rank", "long").add("pieces", "array<string>"))
+    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("rank", T.LongType()), _PIECES]))
 
 
 def byte_surfaces(vocab: DataFrame, maxlen: int, fill: int = 0) -> DataFrame:
