@@ -205,7 +205,7 @@ def log_flush(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     out = event_flush(table(spark, sf, "events"))
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 def hinge_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,7 +338,7 @@ q AS (SELECT kind, support, CASE WHEN found > 0 THEN hit / found ELSE 0 END AS p
 SELECT kind, support, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1 FROM q""",
     "lr_schedule": "SELECT event_id AS step, round(CASE WHEN event_id < 20 THEN 2e-3 * event_id / 20 WHEN event_id < 100 THEN 1e-3 * (event_id - 20) / 80 WHEN event_id < 300 THEN 5e-4 * (event_id - 100) / 200 ELSE 5e-4 * (0.9 * 0.5 * (1 + cos(pi() * least((event_id - 300) / 600, 1.0))) + 0.1) END, 12) AS rate FROM events",
     "log_flush": f"WITH {_EV} SELECT step // 50 AS flush, lang AS metric, round(avg(loss), 6) AS mean FROM e GROUP BY ALL",
-    "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "hinge_loss": f"WITH {_EV} SELECT step % 40 AS pretoken, round(2 * sum(CASE WHEN step % 6 <> 0 THEN greatest(0, 0.1 + 2 - loss / 10) ELSE 0 END), 6) AS loss FROM e GROUP BY ALL",
     "id_remap": "WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM labels WHERE quality = 1) SELECT doc_id, coalesce(n, -100) AS new_id FROM documents LEFT JOIN k USING (doc_id)",
     "padded_lengths": "SELECT role, round(avg(len(list_filter(string_split(text, ' '), lambda w: length(w) % 5 <> 0))), 6) AS mean_tokens FROM conversations GROUP BY role",

@@ -44,6 +44,6 @@ class SeedWindow:
 
 def event_flush(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, value): a metric flush by event time, for a stream or a table of (ts, event_type, value)."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = source.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "value")
