@@ -20,12 +20,12 @@ _LETTERS = _PIECES.replace(r"[\p{L}\p{M}]", r"\p{L}")
 _TABLE = "".join(c for _, c in sorted(T.byte_alphabet().items()))
 
 
-def _pretokens_sql(columns: str = "", pieces: str = _PIECES, source: str = "documents") -> str:
+def pretokens_sql(columns: str = "", pieces: str = _PIECES, source: str = "documents") -> str:
     cols = f"{columns}, " if columns else ""
     return f"SELECT {cols}unnest(regexp_extract_all(x, {pieces})) AS pretoken FROM (SELECT {cols}{_CUT} AS x FROM {source})"
 
 
-def _mapped(column: str) -> str:
+def mapped_sql(column: str) -> str:
     """Byte-level form of a column in DuckDB."""
     table = _TABLE.replace("'", "''")
     h = f"hex(encode({column}))"
@@ -92,10 +92,10 @@ def _vocab(spark: SparkSession, sf: str, size: int = 200) -> DataFrame:
     return special.withColumn("is_special", F.lit(True)).unionByName(top.withColumn("is_special", F.lit(False)).select("id", "piece", "is_special"))
 
 
-_VOCAB_SQL = f"""p AS ({_pretokens_sql()}), c AS (SELECT pretoken, count(*) AS n FROM p GROUP BY pretoken),
+_VOCAB_SQL = f"""p AS ({pretokens_sql()}), c AS (SELECT pretoken, count(*) AS n FROM p GROUP BY pretoken),
 top AS (SELECT pretoken, n, row_number() OVER (ORDER BY n DESC, pretoken) AS r FROM c WHERE length(pretoken) <= 12),
 vocab AS (SELECT 0 AS id, '<s>' AS piece, true AS is_special UNION ALL SELECT 1, '</s>', true
-  UNION ALL SELECT r + 1, {_mapped('pretoken')}, false FROM top WHERE r <= 200)"""
+  UNION ALL SELECT r + 1, {mapped_sql('pretoken')}, false FROM top WHERE r <= 200)"""
 
 
 def substring_prior(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +167,7 @@ x AS (SELECT batch_id, doc_id, string_split(regexp_replace(text, '(\\s+)(\\s\\S)
 y AS (SELECT batch_id, flatten(list_transform(xs, lambda s: regexp_extract_all(s, {_LETTERS}))) AS ps FROM x),
 z AS (SELECT batch_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos_ FROM y),
 c AS (SELECT batch_id, p, pos_ = 0 AS first, count(*) AS n FROM z GROUP BY ALL),
-s AS (SELECT batch_id, p, n, first, list_transform(range(0, length(p)), lambda j: strlen(substr(p, 2, j))) AS o, {_mapped('p')} AS m FROM c),
+s AS (SELECT batch_id, p, n, first, list_transform(range(0, length(p)), lambda j: strlen(substr(p, 2, j))) AS o, {mapped_sql('p')} AS m FROM c),
 f AS (SELECT batch_id, m, n, CASE WHEN first THEN list_concat([0], o) ELSE o END AS o FROM s),
 g AS (SELECT batch_id, m, n, unnest(list_filter(o, lambda v, i: (i - 1) % 4 = 0)) AS start FROM f),
 h AS (SELECT batch_id, m, n, start, unnest(range(1, least(15, length(m) - start) + 1)) AS k FROM g WHERE start < length(m)),
@@ -270,21 +270,21 @@ _SHARES = "a AS (SELECT lang, n_pages, pow(n_pages / sum(n_pages) OVER (), 0.3)
 _U5 = "('0x' || substr(md5({} || ':5'), 1, 13))::BIGINT / 4503599627370496.0"
 
 SQL = {
-    "pretoken_topk_by_lang": f"WITH p AS ({_pretokens_sql('lang')}), c AS (SELECT lang, pretoken, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, pretoken) AS rank FROM c) SELECT lang, pretoken, n, rank FROM r WHERE rank <= 100",
-    "pretoken_letters": f"SELECT pretoken, count(*) AS n FROM ({_pretokens_sql(pieces=_LETTERS)}) GROUP BY pretoken",
+    "pretoken_topk_by_lang": f"WITH p AS ({pretokens_sql('lang')}), c AS (SELECT lang, pretoken, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, pretoken) AS rank FROM c) SELECT lang, pretoken, n, rank FROM r WHERE rank <= 100",
+    "pretoken_letters": f"SELECT pretoken, count(*) AS n FROM ({pretokens_sql(pieces=_LETTERS)}) GROUP BY pretoken",
     "default_pretokens": r"SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\s*\S+|\s+')) AS pretoken FROM documents) GROUP BY pretoken",
-    "bytelevel_pretokens": f"WITH c AS (SELECT pretoken, count(*) AS n FROM ({_pretokens_sql()}) GROUP BY pretoken), m AS (SELECT {_mapped('pretoken')} AS piece, n FROM c) SELECT piece, n, length(piece) AS n_chars, strlen(piece) AS n_octets, length(regexp_replace(piece, '[^ĠĊĉ]', '', 'g')) > 1 AS blank_run FROM m",
+    "bytelevel_pretokens": f"WITH c AS (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken), m AS (SELECT {mapped_sql('pretoken')} AS piece, n FROM c) SELECT piece, n, length(piece) AS n_chars, strlen(piece) AS n_octets, length(regexp_replace(piece, '[^ĠĊĉ]', '', 'g')) > 1 AS blank_run FROM m",
     "bytelevel_roundtrip": "SELECT lang, count(*) AS n, count(*) AS n_same, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
     "unescape_text": r"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, replace(replace(replace(replace(html, '<', '\n\_'), '\t', chr(9)), '\n', chr(10)), '\_', '\') AS t FROM pages)",
     "strip_nonempty": "SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, trim(' ' || substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents) WHERE length(s) > 0",
     "crop_span": "SELECT doc_id, md5(substr(text, 1, 512)) AS digest, length(substr(text, 1, 512)) AS n_chars FROM documents",
     "dedupe_batch_texts": "SELECT doc_id // 128 AS batch_id, count(*) AS n, count(DISTINCT text) AS n_kept FROM documents GROUP BY 1",
     "page_names": r"SELECT page_id, replace(regexp_replace(regexp_replace(url, '^.*/([^/]+)$', '\1'), '\.[^./]*$', ''), '/', '_') AS name FROM pages",
-    "substring_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {_mapped('pretoken')} AS t, n FROM c),
+    "substring_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {mapped_sql('pretoken')} AS t, n FROM c),
 s AS (SELECT t, n, unnest(range(1, length(t) + 1)) AS pos_ FROM m), e AS (SELECT n, substr(t, pos_, k) AS piece FROM (SELECT t, n, pos_, unnest(range(1, least(24, length(t) - pos_ + 1) + 1)) AS k FROM s)),
 o AS (SELECT piece, sum(n) AS n FROM e GROUP BY piece), j AS (SELECT id, v.piece, is_special, coalesce(n, 0)::BIGINT AS n FROM vocab v LEFT JOIN o USING (piece))
 SELECT id, piece, n, round(CASE WHEN is_special THEN 0.0 ELSE ln((1 + n) / sum(1 + n) OVER ()) END, 6) AS logp FROM j""",
-    "token_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {_mapped('pretoken')} AS piece, n FROM c), j AS (SELECT id, is_special, coalesce(n, 0)::BIGINT AS n FROM vocab LEFT JOIN m USING (piece))
+    "token_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {mapped_sql('pretoken')} AS piece, n FROM c), j AS (SELECT id, is_special, coalesce(n, 0)::BIGINT AS n FROM vocab LEFT JOIN m USING (piece))
 SELECT id, n, round(CASE WHEN is_special THEN 0.0 ELSE ln((1 + n) / sum(1 + n) OVER ()) END, 6) AS logp FROM j""",
     "alphabet_missing": f"WITH {_VOCAB_SQL} SELECT unnest(string_split('{_TABLE.replace(chr(39), chr(39) * 2)}', '')) AS piece EXCEPT SELECT piece FROM vocab",
     "special_overlap": f"WITH {_VOCAB_SQL} SELECT DISTINCT piece FROM vocab WHERE piece IN ('Ġthe', 'Ġde', '<s>', '<mask>')",
@@ -293,12 +293,12 @@ o AS (SELECT piece, row_number() OVER (ORDER BY id) - 1 AS r FROM vocab WHERE NO
 n AS (SELECT count(*) AS n FROM o), f AS (SELECT piece, least(ref, (SELECT n FROM n) + row_number() OVER (ORDER BY ref) - 1) AS id FROM sp),
 free AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS r FROM (SELECT unnest(range((SELECT n FROM n) + 4)) AS i) WHERE i NOT IN (SELECT id FROM f))
 SELECT free.i AS id, piece, false AS is_special FROM o JOIN free USING (r) UNION ALL SELECT id, piece, true FROM f""",
-    "vocab_overlap": f"""WITH p AS ({_pretokens_sql('lang')}), c AS (SELECT lang, pretoken, count(*) AS n FROM p GROUP BY ALL),
+    "vocab_overlap": f"""WITH p AS ({pretokens_sql('lang')}), c AS (SELECT lang, pretoken, count(*) AS n FROM p GROUP BY ALL),
 r AS (SELECT lang, pretoken, row_number() OVER (PARTITION BY lang ORDER BY n DESC, pretoken) - 1 AS id FROM c)
 SELECT t.id, t.pretoken AS piece, s.id AS source_id FROM r t LEFT JOIN r s ON s.lang = 'en' AND s.pretoken = t.pretoken AND s.id < 300 WHERE t.lang = 'fr' AND t.id < 300""",
     "byte_vocab": f"""WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents) WHERE length(w) > 1 GROUP BY w),
 t AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 1 AS id FROM c QUALIFY id <= 151),
-m AS (SELECT id, {_mapped("CASE WHEN id % 3 = 0 THEN w ELSE ' ' || w END")} AS piece FROM t),
+m AS (SELECT id, {mapped_sql("CASE WHEN id % 3 = 0 THEN w ELSE ' ' || w END")} AS piece FROM t),
 v AS (SELECT id, piece, -id::DOUBLE AS score, false AS is_special FROM m UNION ALL SELECT * FROM (VALUES (0, '[CLS]', 0.0::DOUBLE, true), (1, '[SEP]', -1.0::DOUBLE, true))),
 x AS (SELECT unnest(string_split('{_TABLE.replace(chr(39), chr(39) * 2)}', '')) AS piece EXCEPT SELECT piece FROM v)
 SELECT * FROM v UNION ALL SELECT 151 + row_number() OVER (ORDER BY piece), piece, -100000.0::DOUBLE, false FROM x""",
