@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import pretokens
+from glyphmill.session import spread
 
 
 def pretoken_counts(docs: DataFrame, split=pretokens, by: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
@@ -24,19 +25,34 @@ def top_k(counts: DataFrame, k: int, by: tuple[str, ...] = (), name: str = "pret
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: A vocabulary of up to so many pieces is broadcast; a larger one is joined by shuffle.
+BROADCAST_PIECES = 200_000
+
+
+def _cut(counts: DataFrame, longest: int) -> DataFrame:
+    """(piece, n): a row for every occurrence of every substring up to ``longest`` characters."""
+    starts = spread(counts, "pretoken").select("pretoken", "n", F.explode(F.sequence(F.lit(1), F.length("pretoken"))).alias("at"))
+    room = F.least(F.lit(longest), F.length("pretoken") - F.col("at") + 1)
+    sized = starts.select("pretoken", "n", "at", F.explode(F.sequence(F.lit(1), room)).alias("k"))
+    return sized.select(F.substring(F.col("pretoken"), F.col("at"), F.col("k")).alias("piece"), "n")
+
+
 def substrings(counts: DataFrame, longest: int) -> DataFrame:
     """(piece, n): every occurrence of every substring up to ``longest`` characters in distinct pre-tokens, with the
     pre-token's count. A pre-token of m characters gives at most m x longest rows, and they're added up in each task."""
-    starts = counts.select("pretoken", "n", F.explode(F.sequence(F.lit(1), F.length("pretoken"))).alias("at"))
-    room = F.least(F.lit(longest), F.length("pretoken") - F.col("at") + 1)
-    each = starts.select("n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("pretoken"), F.col("at"), k))).alias("piece"))
-    return each.groupBy("piece").agg(F.sum("n").alias("n"))
+    return _cut(counts, longest).groupBy("piece").agg(F.sum("n").alias("n"))
+
 
+def occurrences(counts: DataFrame, vocab: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, piece, is_special, n): overlapping occurrences of each vocabulary piece in all pre-tokens; 0 if it has none.
 
-def occurrences(counts: DataFrame, vocab: DataFrame, longest: int) -> DataFrame:
-    """(id, piece, is_special, n): overlapping occurrences of each vocabulary piece in all pre-tokens; 0 if it has none."""
-    found = substrings(counts, longest)
-    return vocab.join(found, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    Substrings are only cut as long as the longest piece, and those that aren't pieces go before anything is shuffled.
+    """
+    size, most = vocab.agg(F.count("*"), F.coalesce(F.max(F.length("piece")), F.lit(1))).first()
+    pieces = vocab.select("id", "piece")
+    found = _cut(counts, min(longest or most, most)).join(F.broadcast(pieces) if size <= BROADCAST_PIECES else pieces, "piece")
+    found = found.groupBy("id").agg(F.sum("n").alias("n"))
+    return vocab.join(found, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def log_prior(counted: DataFrame, count: Column) -> DataFrame:
@@ -47,7 +63,7 @@ def log_prior(counted: DataFrame, count: Column) -> DataFrame:
     return out.withColumn("logp", F.when(F.col("is_special"), F.lit(0.0)).otherwise(F.log(raw / F.col("_total")))).drop("_total")
 
 
-def substring_prior(counts: DataFrame, vocab: DataFrame, longest: int = 16) -> DataFrame:
+def substring_prior(counts: DataFrame, vocab: DataFrame, longest: int | None = None) -> DataFrame:
     """The substring prior of a vocabulary (id, piece, is_special)."""
     return log_prior(occurrences(counts, vocab, longest), F.col("n"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions.text import byte_alphabet
+from glyphmill.session import spread
 
 FLOOR = -100000.0
 _PIECES = T.StructField("pieces", T.ArrayType(T.StringType()))
@@ -84,7 +85,7 @@ def encode(counts: DataFrame, vocab: dict[str, float], name: str = "pretoken") -
         for frame in frames:
             yield frame.assign(pieces=[best_segmentation(t, scores, longest) for t in frame[name]])
 
-    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
+    return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
 
 
 def n_best(counts: DataFrame, vocab: dict[str, float], n: int, name: str = "pretoken") -> DataFrame:
@@ -98,7 +99,7 @@ def n_best(counts: DataFrame, vocab: dict[str, float], n: int, name: str = "pret
             wide = frame.assign(pieces=found).explode("pieces", ignore_index=True).dropna(subset=["pieces"])
             yield wide.assign(rank=wide.groupby(name).cumcount())[[*frame.columns, "rank", "pieces"]]
 
-    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("rank", T.LongType()), _PIECES]))
+    return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("rank", T.LongType()), _PIECES]))
 
 
 def byte_surfaces(vocab: DataFrame, maxlen: int, fill: int = 0) -> DataFrame:
@@ -159,7 +160,7 @@ def train_unigram(counts: DataFrame, seeds: dict[str, float], size: int, rounds:
                             sums[piece] = sums.get(piece, 0.0) + x * n
                     yield pd.DataFrame({"piece": list(sums), "x": list(sums.values())})
 
-            found = counts.select("pretoken", "n").mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
+            found = spread(counts.select("pretoken", "n"), "pretoken").mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
             total = sum(r.x for r in found)
             rest = {p: s for p, s in vocab.items() if len(p) == 1}
             floor = float(np.log(0.5 / total))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import BLANKS, blank_run, byte_alphabet, pretokens, to_byte_level
+from glyphmill.session import spread
 
 FLOOR = -100000.0
 
@@ -20,7 +21,7 @@ def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str
     cut up, so a frequent one is cut once for each batch.
     """
     each = texts.select(by, F.posexplode(pretokens(F.concat(F.lit(" "), F.col(text_col)), letters_only=True)).alias("at", "p"))
-    counted = each.groupBy(by, "p", (F.col("at") == 0).alias("first")).agg(F.count("*").alias("n"))
+    counted = spread(each.groupBy(by, "p", (F.col("at") == 0).alias("first")).agg(F.count("*").alias("n")), "p")
     starts = F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda j: F.octet_length(F.substring(F.col("p"), F.lit(2), j)))
     starts = F.when(F.col("first"), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
     strided = F.filter(starts, lambda _, i: i % stride == 0)

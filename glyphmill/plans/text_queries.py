@@ -85,11 +85,12 @@ def page_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf: str, size: int = 200) -> DataFrame:
-    """(id, piece, is_special): the most frequent pre-tokens of 12 characters at most, in byte-level form, after two specials."""
+    """(id, piece, is_special): the most frequent pre-tokens of 12 characters at most, in byte-level form, after two
+    specials. A vocabulary has a stated size, so it's made once and kept as a local table."""
     counts = C.pretoken_counts(docs(spark, sf)).where("length(pretoken) <= 12")
-    top = C.top_k(counts, size).select(T.to_byte_level(F.col("pretoken")).alias("piece"), (F.row_number().over(Window.orderBy(F.desc("n"), "pretoken")) + 1).alias("id"))
-    special = spark.createDataFrame([(0, "<s>"), (1, "</s>")], "id int, piece string")
-    return special.withColumn("is_special", F.lit(True)).unionByName(top.withColumn("is_special", F.lit(False)).select("id", "piece", "is_special"))
+    top = C.top_k(counts, size).select(T.to_byte_level(F.col("pretoken")).alias("piece")).collect()
+    rows = [(0, "<s>", True), (1, "</s>", True)] + [(i + 2, r.piece, False) for i, r in enumerate(top)]
+    return spark.createDataFrame(rows, "id int, piece string, is_special boolean")
 
 
 _VOCAB_SQL = f"""p AS ({pretokens_sql()}), c AS (SELECT pretoken, count(*) AS n FROM p GROUP BY pretoken),
@@ -100,7 +101,7 @@ vocab AS (SELECT 0 AS id, '<s>' AS piece, true AS is_special UNION ALL SELECT 1,
 
 def substring_prior(spark: SparkSession, sf: str) -> DataFrame:
     counts = C.pretoken_counts(docs(spark, sf)).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    out = C.substring_prior(counts, _vocab(spark, sf), longest=24)
+    out = C.substring_prior(counts, _vocab(spark, sf))
     return out.select(F.col("id").cast("long").alias("id"), "piece", "n", F.round("logp", 6).alias("logp"))
 
 
@@ -281,7 +282,7 @@ SQL = {
     "dedupe_batch_texts": "SELECT doc_id // 128 AS batch_id, count(*) AS n, count(DISTINCT text) AS n_kept FROM documents GROUP BY 1",
     "page_names": r"SELECT page_id, replace(regexp_replace(regexp_replace(url, '^.*/([^/]+)$', '\1'), '\.[^./]*$', ''), '/', '_') AS name FROM pages",
     "substring_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {mapped_sql('pretoken')} AS t, n FROM c),
-s AS (SELECT t, n, unnest(range(1, length(t) + 1)) AS pos_ FROM m), e AS (SELECT n, substr(t, pos_, k) AS piece FROM (SELECT t, n, pos_, unnest(range(1, least(24, length(t) - pos_ + 1) + 1)) AS k FROM s)),
+s AS (SELECT t, n, unnest(range(1, length(t) + 1)) AS pos_ FROM m), e AS (SELECT n, substr(t, pos_, k) AS piece FROM (SELECT t, n, pos_, unnest(range(1, least(48, length(t) - pos_ + 1) + 1)) AS k FROM s)),
 o AS (SELECT piece, sum(n) AS n FROM e GROUP BY piece), j AS (SELECT id, v.piece, is_special, coalesce(n, 0)::BIGINT AS n FROM vocab v LEFT JOIN o USING (piece))
 SELECT id, piece, n, round(CASE WHEN is_special THEN 0.0 ELSE ln((1 + n) / sum(1 + n) OVER ()) END, 6) AS logp FROM j""",
     "token_prior": f"""WITH {_VOCAB_SQL}, m AS (SELECT {mapped_sql('pretoken')} AS piece, n FROM c), j AS (SELECT id, is_special, coalesce(n, 0)::BIGINT AS n FROM vocab LEFT JOIN m USING (piece))

@@ -46,3 +46,12 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows to as many tasks as shuffles have partitions.
+
+    Adaptive execution merges the partitions of a small shuffle; where each of its rows then costs much work (cutting a
+    word into substrings, segmenting it), that work would run in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
