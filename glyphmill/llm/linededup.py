@@ -59,8 +59,9 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     able = halves.join(shared, "k").groupBy("h1", "h2").agg(F.max(F.col("half") % 2 == 0).alias("head"), F.max(F.col("half") % 2 == 1).alias("tail"))
     able = able.join(distinct.select("h1", "h2", "at"), ["h1", "h2"])
-    lines = _lines(docs).where(F.size("w") >= NEAR_WORDS).select(*_line_id(), F.array_join("w", " ").alias("line"))
-    texts = lines.join(able, ["h1", "h2"]).groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("line", "at", "head", "tail")])
+    lines = _lines(docs).where(F.size("w") >= NEAR_WORDS).select(_line_id()[0], "line").join(able, "h1")
+    lines = lines.withColumn("w", words(F.col("line"))).where(F.col("h2") == _line_id()[1]).withColumn("line", F.array_join("w", " "))
+    texts = lines.groupBy("h1", "h2").agg(*[F.any_value(c).alias(c) for c in ("line", "at", "head", "tail")])
     texts = materialise(texts.withColumn("n", F.size(F.split("line", " "))), "line-candidates")
 
     each = texts.select("h1", "h2", "at", "n", "head", "tail", F.posexplode(F.split("line", " ")).alias("j", "word"))
