@@ -2,9 +2,9 @@
 
 An n-gram of count c has the level 1 + floor(log2 c); the filter holds the pairs (n-gram, 1) .. (n-gram, level), so a
 probe for rising levels that stops at the first miss gives the count back, quantised, and never too low. The filter is
-cut into segments by n-gram key: one task counts the n-grams of one segment and sets its bits. The segments together
-are broadcast; their size is bounded by ``max_filter_bytes``, beyond which false positives rise but no n-gram is left
-out. Smoothing is by a Dirichlet prior: P(w|u) = (c(uw) + mass * P(w)) / (c(u) + mass), P(w) with half a count added.
+cut into segments by n-gram key: one task counts the n-grams of one segment, sets its bits and probes them for the
+n-grams of each block. Segments grow in number with the texts and in size with their n-grams, so false positives are as
+rare in a large corpus as in a small one, and no task and no driver holds more than a segment. Smoothing is by a Dirichlet prior: P(w|u) = (c(uw) + mass * P(w)) / (c(u) + mass), P(w) with half a count added.
 
 The corpus is read once and written as blocks of compressed texts, which later stages read; counts of whole blocks,
 not rows, are shuffled. Beside the model stands an exact add-half unigram score from exact counts.
@@ -33,12 +33,11 @@ _BEGIN = _U(0x5BE0CD19137E2179)
 
 @dataclass(frozen=True)
 class LmModel:
-    """Parameters: bits for each (n-gram, level), probes for each, the most bytes of the whole filter, the weight of the
-    unigram prior, and the texts' bytes in a block and behind a segment of the filter."""
+    """Parameters: bits for each (n-gram, level), probes for each, the weight of the unigram prior, and the texts' bytes
+    in a block and behind a segment of the filter."""
 
     bits_per_event: int = 12
     probes: int = 4
-    max_filter_bytes: int = 64 << 20
     prior_mass: float = 2000.0
     block_bytes: int = 4 << 20
     segment_text_bytes: int = 16 << 20
@@ -76,10 +75,12 @@ def _position(h: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     return ((h >> _U(32)) * np.asarray(size, _U)) >> _U(32)
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int, probes: int, most_bytes: int) -> np.ndarray:
-    """The bytes of a segment that holds all these n-grams."""
+def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int, probes: int, most_bytes: int | None = None) -> np.ndarray:
+    """The bytes of a segment that holds all these n-grams; their number grows with the n-grams unless it's bounded."""
     level = levels(counts)
-    nbytes = int(min(max(8, -(-int(level.sum()) * bits_per_event // 8)), most_bytes))
+    nbytes = max(8, -(-int(level.sum()) * bits_per_event // 8))
+    if most_bytes is not None:
+        nbytes = min(nbytes, most_bytes)
     bits = np.zeros(nbytes * 8, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         h = _first(keys[level >= j], j)
@@ -91,10 +92,10 @@ def build_segment(keys: np.ndarray, counts: np.ndarray, bits_per_event: int, pro
 
 
 class Filter:
-    """The whole filter: bytes of all segments one after the other."""
+    """A filter: bytes of its segments one after the other, and the largest level that was written."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, probes: int) -> None:
-        self.data, self.offsets, self.probes = data, offsets, probes
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, probes: int, top: int = 64) -> None:
+        self.data, self.offsets, self.probes, self.top = data, offsets, probes, top
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by probing rising levels until one is missing."""
@@ -102,7 +103,7 @@ class Filter:
         seg = segment_of(keys, len(self.offsets) - 1)
         base, size = self.offsets[seg], ((self.offsets[seg + 1] - self.offsets[seg]) * 8).astype(_U)
         at, level = np.flatnonzero(size), 1
-        while len(at):
+        while len(at) and level <= self.top:
             h = _first(keys[at], level)
             step = mix(h) | _U(1)
             for _ in range(self.probes):
@@ -212,8 +213,8 @@ def _unpack_block(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _count_blocks(blocks: DataFrame, model: LmModel, segments: int) -> DataFrame:
-    """(seg, block, tokens, bigrams): for each block and segment the block's distinct tokens with their counts in learnt
-    documents (0 for tokens that only others have), and the learnt bigrams."""
+    """(seg, block, tokens, bigrams): for each block and segment the block's distinct tokens and bigrams with their counts
+    in learnt documents (0 for those that only others have)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lut = Hasher(), words_lut()
@@ -222,9 +223,9 @@ def _count_blocks(blocks: DataFrame, model: LmModel, segments: int) -> DataFrame
                 ids, data, offs = _unpack_block(raw)
                 learn = crc_fold(ids, model.folds) != model.held_fold
                 g = Grams(data, offs, hasher, lut)
-                w = learn[g.doc]
-                tokens, tc = _counted(g.token, w.astype(np.float64))
-                bigrams, bc = _counted(g.bigram[w])
+                w = learn[g.doc].astype(np.float64)
+                tokens, tc = _counted(g.token, w)
+                bigrams, bc = _counted(g.bigram, w)
                 begin = int(learn.sum())
                 edges = np.arange(segments + 1)
                 ta, ba = np.searchsorted(segment_of(tokens, segments), edges), np.searchsorted(segment_of(bigrams, segments), edges)
@@ -243,22 +244,27 @@ def _count_blocks(blocks: DataFrame, model: LmModel, segments: int) -> DataFrame
     return blocks.select("block", "payload").mapInArrow(run, "seg int, block long, texts long, tokens binary, bigrams binary")
 
 
-def _build_segments(counted: DataFrame, model: LmModel, segments: int) -> DataFrame:
-    """For each segment a row with its bits and totals, and for each block a row with the exact counts of its tokens."""
-    most = model.max_filter_bytes // segments
+def _build_segments(counted: DataFrame, model: LmModel) -> DataFrame:
+    """For each segment a row with its totals, and for each block a row with the exact counts of its tokens and the levels
+    that the segment's filter gives its tokens and bigrams."""
+
+    def merged(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, their counts, and for each block's keys their places, from edge to edge."""
+        parts = [_unpack(x) for x in packed]
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+        return keys, counts, back, np.cumsum([0] + [len(k) for k, _ in parts])
 
     def run(table: pa.Table) -> pa.Table:
         seg = table.column("seg")[0].as_py()
         blocks = table.column("block").to_pylist()
-        tokens = [_unpack(x) for x in table.column("tokens").to_pylist()]
-        keys, back = np.unique(np.concatenate([k for k, _ in tokens]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([c for _, c in tokens]), len(keys)).astype(np.int64)
-        grams = [_unpack(x) for x in table.column("bigrams").to_pylist()]
-        pairs, at = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
-        pair_counts = np.bincount(at, np.concatenate([c for _, c in grams]), len(pairs)).astype(np.int64)
-        known = counts > 0
-        bits = build_segment(np.concatenate((keys[known], pairs)), np.concatenate((counts[known], pair_counts)), model.bits_per_event, model.probes, most)
-        edges = np.cumsum([0] + [len(k) for k, _ in tokens])
+        keys, counts, back, edges = merged(table.column("tokens").to_pylist())
+        pairs, pair_counts, at, pair_edges = merged(table.column("bigrams").to_pylist())
+        known, met = counts > 0, pair_counts > 0
+        learnt = np.concatenate((counts[known], pair_counts[met]))
+        bits = build_segment(np.concatenate((keys[known], pairs[met])), learnt, model.bits_per_event, model.probes)
+        found = Filter(bits, np.array([0, len(bits)]), model.probes, int(levels(learnt).max(initial=0)))
+        single, both = found.level(keys).astype(np.uint8)[back], found.level(pairs).astype(np.uint8)[at]
         replies = [counts[back[a:b]].astype("<i8") for a, b in zip(edges[:-1], edges[1:], strict=True)]
         small = [np.array([int(r.max(initial=0) < 1 << 32)], np.uint8).tobytes() + (r.astype("<u4") if r.max(initial=0) < 1 << 32 else r).tobytes() for r in replies]
         texts = sum(table.column("texts").to_pylist())
@@ -270,11 +276,13 @@ def _build_segments(counted: DataFrame, model: LmModel, segments: int) -> DataFr
                 "total": pa.array([int(counts.sum())] + [0] * len(blocks), pa.int64()),
                 "types": pa.array([int(known.sum())] + [0] * len(blocks), pa.int64()),
                 "texts": pa.array([texts] + [0] * len(blocks), pa.int64()),
-                "payload": pa.array([bits.tobytes(), *small], pa.binary()),
+                "payload": pa.array([None, *small], pa.binary()),
+                "single": pa.array([None, *[single[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]], pa.binary()),
+                "both": pa.array([None, *[both[a:b].tobytes() for a, b in zip(pair_edges[:-1], pair_edges[1:], strict=True)]], pa.binary()),
             }
         )
 
-    return counted.groupBy("seg").applyInArrow(run, "kind int, seg int, block long, total long, types long, texts long, payload binary")
+    return counted.groupBy("seg").applyInArrow(run, "kind int, seg int, block long, total long, types long, texts long, payload binary, single binary, both binary")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LmModel = LmModel()) -> DataFrame:
@@ -288,32 +296,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = materialise(pack_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col)), model), "lm-blocks", "none")
     text_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     segments = max(model.least_segments, -(-text_bytes // model.segment_text_bytes))
-    built = materialise(_build_segments(_count_blocks(blocks, model, segments), model, segments), "lm-segments", "none")
-    rows = built.where("kind = 0").select("seg", "total", "types", "texts", "payload").collect()  # at most max_filter_bytes
-    total, types, begins = (sum(r[i] for r in rows) for i in (1, 2, 3))
-    sizes = np.zeros(segments + 1, np.int64)
-    for r in rows:
-        sizes[r[0] + 1] = len(r[4])
-    joined = np.frombuffer(b"".join(bytes(r[4]) for r in sorted(rows)), np.uint8)
-    held = spark.sparkContext.broadcast((joined, np.cumsum(sizes)))
-    del rows, joined
+    built = materialise(_build_segments(_count_blocks(blocks, model, segments), model), "lm-segments", "none")
+    sums = built.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "types", "texts")]).first()
+    total, types, begins = (int(x) for x in sums)
     floor = total + 0.5 * (types + 1)
 
     def run(table: pa.Table) -> pa.Table:
-        data, offsets = held.value
-        found = Filter(data, offsets, model.probes)
         kinds, segs, payloads = (table.column(c).to_pylist() for c in ("kind", "seg", "payload"))
         ids, text, offs = _unpack_block(payloads[kinds.index(0)])
-        replies = sorted((s, p) for k, s, p in zip(kinds, segs, payloads, strict=True) if k)
+        order = sorted((s, i) for i, (k, s) in enumerate(zip(kinds, segs, strict=True)) if k)
+        single, both = (np.frombuffer(b"".join(table.column(c)[i].as_py() for _, i in order), np.uint8) for c in ("single", "both"))
         g = Grams(text, offs, Hasher(), words_lut())
         keys, back = np.unique(g.token, return_inverse=True)
-        exact = np.concatenate([np.frombuffer(p, "<u4" if p[0] else "<i8", offset=1).astype(np.int64) for _, p in replies] or [np.zeros(0, np.int64)])
+        exact = np.concatenate([np.frombuffer(p, "<u4" if p[0] else "<i8", offset=1).astype(np.int64) for p in (payloads[i] for _, i in order)] or [np.zeros(0, np.int64)])
         n, first = len(g.sizes), g.bounds[:-1]
         base = np.add.reduceat(np.log10((exact + 0.5) / floor)[back], first) if n else np.zeros(0)
         known = np.add.reduceat((exact > 0).astype(np.int64)[back], first) if n else np.zeros(0, np.int64)
-        single = expected(found.level(keys))
-        pairs, at = np.unique(g.bigram, return_inverse=True)
-        both = expected(found.level(pairs))[at]
+        single = expected(single)
+        _, at = np.unique(g.bigram, return_inverse=True)
+        both = expected(both)[at]
         context = np.concatenate((single[back][:-1], [0.0])) if len(back) else np.zeros(0)
         context = np.roll(context, 1)
         context[first] = begins
@@ -331,7 +332,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         }
         return pa.table(out)
 
-    parts = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("seg"), "payload").unionByName(built.where("kind = 1").select("block", "kind", "seg", "payload"))
+    parts = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("seg"), "payload").unionByName(
+        built.where("kind = 1").select("block", "kind", "seg", "payload", "single", "both"), allowMissingColumns=True
+    )
     return parts.groupBy("block").applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from glyphmill.llm.lm_scoring import Filter, LmModel, _pack, _unpack, build_segment, expected, levels, score_documents
+from glyphmill.llm.lm_scoring import Filter, LmModel, _build_segments, _pack, _unpack, build_segment, expected, levels, score_documents
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score string, block string"
@@ -57,6 +57,22 @@ def test_filter_never_forgets():
     assert (Filter(data, np.array([0, len(data)]), 4).level(other) > 0).mean() < 0.03
 
 
+def test_filter_grows_with_its_ngrams(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 64, 200000, dtype=np.uint64))
+    counts = np.where(rng.random(len(keys)) < 0.5, rng.integers(1, 60, len(keys)), 0)
+    row = (7, 1, 5, _pack(keys[:1000], counts[:1000]), _pack(keys, counts))
+    counted = spark.createDataFrame([row], "seg int, block long, texts long, tokens binary, bigrams binary")
+    (r,) = _build_segments(counted, LmModel(least_segments=1 << 16)).where("kind = 1").collect()
+    level = np.frombuffer(r.both, np.uint8)
+    assert (level[counts > 0] >= levels(counts[counts > 0])).all() and (level[counts == 0] > 0).mean() < 0.03
+
+
+def test_full_filter_ends_at_the_largest_level():
+    keys = np.arange(1, 50, dtype=np.uint64)
+    assert (Filter(np.full(8, 255, np.uint8), np.array([0, 8]), 4, 9).level(keys) == 9).all()
+
+
 def test_scores(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(None, "a null id"), (1, None), (1, None), (7001, ""), (7002, " \t\n"), (7003, "new " * 50000), (7004, rows[0][1])]
