@@ -8,7 +8,6 @@ stand in vertical planes, one 64-bit word for 64 comparisons, and carry-save cou
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -242,12 +241,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near-dedup at a similarity: a wider fingerprint, so that the number of differing bits tells the similarity.
+# Near-dedup at a similarity: exact Jaccard of shingle sets, with candidates from prefixes.
 
 WIDE = 8
-#: Buckets by sampled bits: tables, and bits of each in the fingerprint's words. Two texts at similarity 0.8 agree on
-#: each bit with probability 0.85 and so share one of the buckets with probability 0.92; at 0.85 it's 0.97, at 0.9 0.997.
-TABLES, SAMPLED = 24, (2, 2, 2, 2, 2, 2, 1, 1)
+#: Shingles in more documents than COMMON come last in the order that prefixes are cut from. They are estimated from one
+#: document in SAMPLE, and at most MOST_COMMON of them are broadcast; the order decides the work, not the result.
+COMMON, SAMPLE, MOST_COMMON = 64, 16, 1 << 19
+#: Bits of a set's parity sketch: a key flips one of them, so two sketches differ in no more bits than the sets in keys.
+#: A set's wide sketch has a power of two of them, at least the set's size, and folds to the length of a shorter one.
+SKETCH = 1024
 
 
 def radius_at(similarity: float, bits: int = WIDE * BITS) -> int:
@@ -257,25 +259,6 @@ def radius_at(similarity: float, bits: int = WIDE * BITS) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)) / 2)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(doc_id, text_hash, f0 .. f7): fingerprints of 512 bits over lower-case word shingles of each whole text; a text
-    of fewer words than a shingle is one shingle, one without words has zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, lut = Hasher(), words_lut()
-        for batch in batches:
-            parts = [_wide(*shingle_keys(d, o, hasher, lut, shingle_words)) for _, _, d, o in text_chunks(batch.column(2), 1 << 20)]
-            fps = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, WIDE), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(fps[:, i]) for i in range(WIDE)]], ["doc_id", "text_hash", *_WORDS])
-
-    text = F.col(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{w} long" for w in _WORDS))
-
-
-_WORDS = [f"f{i}" for i in range(WIDE)]
-
-
 def shingle_keys(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, lut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the k-word shingles of each text (of all its words, if they're fewer), and where each text's begin."""
     starts, ends, first = word_ranges(data, offsets, lut)
@@ -291,37 +274,205 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, lut: np.
     return key, bounds
 
 
-def _wide(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Bits set in over half of the hashes of each text, for each of the fingerprint's words."""
-    n = np.diff(bounds)
-    out = np.zeros((len(n), WIDE), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        for i in range(WIDE):
-            h = mix(keys ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little")
-            counts = np.add.reduceat(bits, bounds[some], axis=0, dtype=np.int32)
-            out[some, i] = np.packbits(counts * 2 > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+def _sets(keys: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text, those of the sorted ``common`` last and else in order; where each text's begin; and
+    a hash of each set."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    keys, text = keys[new], text[new]
+    if len(common) and len(keys):
+        last = common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+        order = np.lexsort((last, text))  # stable, so each part stays in order
+        keys = keys[order]
+    first = np.searchsorted(text, np.arange(len(bounds)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(keys ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
+    return keys, first, sums[first[1:]] - sums[first[:-1]]
+
+
+def _prefix(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first keys of a set of n, in one order for all sets, hold one of any set of this similarity to it."""
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _lists(keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each text its first ``size`` keys."""
+    edges = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(edges[-1]) - np.repeat(edges[:-1] - first[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[at].view(np.int64)))
+
+
+def _sketches(keys: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The parity sketch of each text's keys, and the wide one."""
+    n = np.diff(first)
+    size = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    edges = np.concatenate(([0], np.cumsum(size)))
+    cell = np.repeat(edges[:-1], n) + (mix(keys ^ np.uint64(SKETCH)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    wide = np.packbits((np.bincount(cell, minlength=edges[-1]) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    parts = [wide[a:b] for a, b in zip((edges[:-1] // 64).tolist(), (edges[1:] // 64).tolist(), strict=True)]
+    return pa.array([_folded(x, SKETCH // 64).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def shingle_sets(docs: DataFrame, shingle_words: int, similarity: float | None = None, common: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, text_hash, node, n, keys, sketch, wide) for documents (doc_id, text_hash, text): the hash and the size of the set
+    of lower-case word shingles of each whole text, and its keys; with a similarity only those of its prefix, and the set's
+    sketches. A text of fewer words than a shingle is one shingle, one without words has none."""
+    last = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, lut = Hasher(), words_lut()
+        for batch in batches:
+            for a, b, data, offs in text_chunks(batch.column(2), 1 << 20):
+                keys, first, node = _sets(*shingle_keys(data, offs, hasher, lut, shingle_words), last.value)
+                n = np.diff(first)
+                for lo in range(0, b - a, 1024):
+                    hi = min(b - a, lo + 1024)
+                    at = first[lo : hi + 1]
+                    listed = _lists(keys, at, n[lo:hi] if similarity is None else _prefix(n[lo:hi], similarity))
+                    none = pa.nulls(hi - lo, pa.binary())
+                    sketches = (none, none) if similarity is None else _sketches(keys[at[0] : at[-1]], at - at[0])
+                    cols = [batch.column(c).slice(a + lo, hi - lo) for c in (0, 1)]
+                    cols += [pa.array(node[lo:hi].view(np.int64)), pa.array(n[lo:hi], pa.int64()), listed, *sketches]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "node", "n", "keys", "sketch", "wide"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, sketch binary, wide binary")
+
+
+def _bits(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def _may(differ: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes together, whose sketches differ in so many bits, can have the similarity."""
+    return differ <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose wide sketches allow the similarity; none that has it is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.zeros(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                words = min(len(x), len(y)) // 8
+                differ[i] = np.bitwise_count(_folded(np.frombuffer(x, np.uint64), words) ^ _folded(np.frombuffer(y, np.uint64), words)).sum(dtype=np.int64)
+            keep = _may(differ, batch.column(2).to_numpy() + batch.column(3).to_numpy(), similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def possible_across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The pairs (a, b) of nodes in one bucket and of different roots whose sketches allow the similarity.
+
+    rows: key (the bucket), c (its size), node, root, n and sketch. As in link_buckets a bucket of more than ``block`` is dealt out as
+    pairs of blocks, and pairs are formed inside a task, so only those that are possible become rows."""
+    dealt = (
+        rows.withColumn("g", F.ceil(F.col("c") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .withColumn("other", F.explode(F.when(F.col("g") > 1, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.lit(0)))))
+        .where("g = 1 or own != other")
+        .withColumn("grp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        .select("grp", "node", "root", "n", "sketch")
+    )
+
+    def out(held: pa.Table) -> pa.RecordBatch:
+        grp, node, root, n = (held.column(c).to_numpy() for c in range(4))
+        sketch = _bits(held.column(4))
+        found = [np.zeros((0, 2), np.int64)]
+        edge = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i in range(lo, hi, 64):
+                j = min(hi, i + 64)
+                differ = np.bitwise_count(sketch[i:j, None] ^ sketch[None, i:hi]).sum(axis=2, dtype=np.int64)
+                here, there = n[i:j, None], n[None, i:hi]
+                may = _may(differ, here + there, similarity) & (root[i:j, None] != root[None, i:hi])
+                may &= np.minimum(here, there) >= np.maximum(here, there) * similarity - 1e-9
+                x, y = np.nonzero(may)
+                found.append(np.column_stack((np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]))))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held is not None else new
+            if len(held) >= 1 << 15:
+                grp = held.column(0).to_numpy()
+                cut = int(np.argmax(grp == grp[-1]))  # the last group may go on
+                if cut:
+                    yield out(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and len(held):
+            yield out(held)
+
+    return dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, keys in order) have this Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            keep = []
+            for i in range(len(batch)):
+                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    held = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+    return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
     """The documents without near copies: of each group linked by similarity the one of the smallest id stays.
 
-    The similarity is that of sets of word shingles, told by the bits that differ between wide fingerprints. A null id
-    comes last, equal ids by the hash of the text; rows that repeat id and text are one document and one of them
+    The similarity is the exact Jaccard similarity of sets of word shingles, and no pair that has it is missed: with all
+    sets in one order, two of them share a key of their prefixes. Documents of one set are one node. In each bucket of a
+    shared key all nodes are compared with the smallest, then those that are not yet linked with each other; sketches
+    spare the pairs that can't be similar, and the others are verified by their whole sets.
+
+    A null id comes last, equal ids by the hash of the text; rows that repeat id and text are one document and one of them
     stays. Texts without words are one group. All columns stay as they are; an empty table gives an empty result.
     """
-    prints = materialise(wide_fingerprints(docs, id_col, text_col, shingle_words), "wide-fingerprints")
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    seen = shingle_sets(source.where(F.pmod(F.xxhash64(F.lit(3), "text_hash"), F.lit(SAMPLE)) == 0), shingle_words).select(F.explode("keys").alias("key"))
+    counted = seen.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > COMMON // SAMPLE).orderBy(F.desc("c"), "key").limit(MOST_COMMON)
+    common = np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))  # at most MOST_COMMON
+    prints = shingle_sets(source, shingle_words, similarity, common)
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("text_hash"))
-    nodes = materialise(prints.groupBy(*_WORDS).agg(F.min(rank).alias("first")).withColumn("node", F.xxhash64(*_WORDS)), "wide-nodes")
-    rng = random.Random(9)
-    keys = []
-    for t in range(TABLES):
-        masked = [F.col(w).bitwiseAND(F.lit(_signed(sum(1 << b for b in rng.sample(range(BITS), k))))) for w, k in zip(_WORDS, SAMPLED, strict=True)]
-        keys.append(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *masked).alias("key")))
-    rows = nodes.select("node", *_WORDS, F.explode(F.array(*keys)).alias("x")).select("node", "x.t", "x.key", *_WORDS)
-    roots = components(link_buckets(rows, _WORDS, radius_at(similarity), block))
+    nodes = materialise(prints.groupBy("node").agg(F.min(rank).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), *[F.any_value(c).alias(c) for c in ("sketch", "wide")]), "set-nodes")
+    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.min_by("n", "node").alias("least_n")).where("c > 1")
+    rows = materialise(entries.join(shared, "key"), "set-buckets")
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "set-pairs")
+        able = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
+        able = able.select(F.xxhash64("first.doc_id", F.lit(0), "first.text_hash").alias("_gm_key"))
+        wanted = source.withColumn("_gm_key", F.xxhash64("doc_id", F.lit(0), "text_hash")).join(able, "_gm_key", "left_semi")
+        sets = materialise(shingle_sets(wanted, shingle_words).groupBy("node").agg(F.any_value("keys").alias("keys")), "sets")
+        return materialise(similar(pairs, sets, similarity), "set-links")
+
+    stars = rows.where((F.col("node") != F.col("least")) & fits(F.col("n"), F.col("least_n"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(possible(stars, nodes, similarity))
+    rooted = rows.join(components(links).withColumnRenamed("root", "r"), "node", "left").select("key", "c", "node", "n", F.coalesce("r", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    left = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
+    roots = components(links.unionByName(verified(possible(possible_across(left, similarity, block), nodes, similarity))))
+
     group = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     keepers = group.agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", F.lit(0), "first.text_hash").alias("_gm_key"))
     keyed = docs.withColumn("_gm_key", F.xxhash64(F.col(id_col).cast("long"), F.lit(0), F.xxhash64(text_col)))

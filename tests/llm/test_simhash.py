@@ -114,3 +114,41 @@ def test_near_dedup_keeps_one_of_each_group(spark):
         firsts.setdefault(g, i)
     assert kept == sorted([*firsts.values(), 3, 7, 8])
     assert near_dedup(df.limit(0)).count() == 0 and 70 < radius_at(0.8) < 90
+
+
+def test_near_dedup_is_exact_at_its_similarity(spark):
+    rows, want = [], []
+    for g in range(60):
+        n = 304 if g % 2 else 100
+        changed = (33 if g % 2 else 10) + (g % 4 > 1)  # shingles apart: 0.80 and more, or less for every other two
+        words = [f"w{g}x{i}" for i in range(n)]
+        copy = words[: n - changed] + [f"v{g}x{i}" for i in range(changed)]
+        alike = (n - 4 - changed) / (n - 4 + changed)
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        want += [2 * g] + [2 * g + 1] * (alike < 0.8)
+        assert 0.77 < alike < 0.82
+    kept = sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == want and 60 < len(want) < 120
+
+
+def test_near_dedup_links_chains_in_one_bucket(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # common shingles, and chains whose ends are far apart
+        k = int(rng.integers(0, 70))
+        rows.append((i, " ".join(base[: 120 - k] + [f"c{j}" for j in range(k)])))
+    rows += [(200 + i, " ".join([f"q{i}x{j}" for j in range(60)] + base[:40])) for i in range(100)]
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    assert sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(least.values())
