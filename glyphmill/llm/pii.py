@@ -28,7 +28,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ANY = re.compile(r"[0-9@]|[\[(]at[\])]")
+_ANY = re.compile(r"[0-9@]|\[at\]|\(at\)|\{at\}", re.I)
 
 
 def luhn(digits: str) -> bool:

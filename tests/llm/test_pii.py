@@ -77,3 +77,10 @@ def test_edges(spark):
     got = {(r.doc_id, len(r.text or "")): len(r.spans) for r in find_pii(df).collect()}
     assert got == {(None, 6): 1, (1, 0): 0, (2, 0): 0, (3, 200000): 0, (4, 50000): 5000}
     assert find_pii(df).count() == 6 and find_pii(df.limit(0)).count() == 0
+
+
+def test_gate_lets_all_at_marks_through():
+    weights = train()
+    for mark in ("[at]", "[AT]", "(At)", "{at}", "{AT}"):
+        text = f"write bob {mark} host {mark.lower().replace('at', 'dot')} org now"
+        assert find_spans(text, weights) == ([], [("email", 6, len(text) - 4)])
