@@ -20,7 +20,7 @@ def brute(rows):
     lines = []
     for i, t in rows:
         if t is not None:
-            lines += [((i is not None, i or 0, j), w) for j, x in enumerate(t.split("\n")) if len(w := x.encode().split()) >= 3]
+            lines += [((i is not None, i or 0, j), w) for j, x in enumerate(t.split("\n")) if (w := x.encode().split())]
     lines.sort(key=lambda x: x[0])
     gone = set()
     for k, (at, w) in enumerate(lines):
