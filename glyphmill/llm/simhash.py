@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.llm.arrowtext import Hasher, mix, pair, text_chunks, word_ranges, words_lut
 from glyphmill.llm.components import components
@@ -128,31 +129,33 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int, block_words: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span all pairs within the radius in the same group, as pairs of row numbers. fps has a row of one or
-    more 64-bit words for each fingerprint; rows of one group are adjacent."""
+def near_rows(fps: np.ndarray, groups: np.ndarray, radius: int, roots: np.ndarray | None = None, block_words: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of row numbers within the radius in the same group (and of different roots), bit by bit.
+
+    fps has a row of one or more 64-bit words for each fingerprint; rows of one group are adjacent. For each distance of
+    two rows in a group, all groups that have it are compared at once, 64 pairs a word."""
     edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
     sizes = np.diff(np.concatenate((edge, [len(fps)])))
     keep = np.argsort(-sizes, kind="stable")
     keep = keep[sizes[keep] > 1]
-    none = np.zeros(0, np.int64)
     if not len(keep):
-        return none, none
+        return
     sizes, edge = sizes[keep], edge[keep]
     rows = np.repeat(edge - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     fps, size_of, n = np.ascontiguousarray(fps[rows]), np.repeat(sizes, sizes), int(sizes.sum())
+    roots = None if roots is None else roots[rows]
     rank = np.arange(n) - np.repeat(np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
     words, depth = -(-n // 64) + 2, 64 * fps.shape[1]
     bits = np.zeros((depth, words * 64), np.uint8)
     bits[:, :n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
     del bits
-    label = np.arange(n)
-    pend_a, pend_b, held = [], [], 0
     for d in range(1, int(sizes[0])):
         m = int(np.searchsorted(-size_of, -d, side="left"))  # groups of more than d rows come first
         live = np.zeros(words * 64, np.uint8)
         live[:m] = rank[:m] + d < size_of[:m]
+        if roots is not None:
+            live[: min(m, n - d)] &= roots[: min(m, n - d)] != roots[d : d + min(m, n - d)]
         live = np.packbits(live, bitorder="little").view("<u8").astype(np.uint64)
         skip, turn = divmod(d, 64)
         for w in range(0, -(-m // 64), block_words):
@@ -167,15 +170,22 @@ def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int, block_words:
             hit = within(planes[:, w:to], shifted, alive, radius)
             if hit.any():
                 at = np.flatnonzero(np.unpackbits(hit.astype("<u8").view(np.uint8), bitorder="little")) + w * 64
-                pend_a.append(at)
-                pend_b.append(at + d)
-                held += len(at)
+                yield rows[at], rows[at + d]
+
+
+def bucket_links(fps: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span all pairs within the radius in the same group, as pairs of row numbers."""
+    label, pend_a, pend_b, held = np.arange(len(fps)), [], [], 0
+    for a, b in near_rows(fps, groups, radius):
+        pend_a.append(a)
+        pend_b.append(b)
+        held += len(a)
         if held > 1 << 20:
-            label = _stars(n, np.concatenate([*pend_a, np.arange(n)]), np.concatenate([*pend_b, label]))
+            label = _stars(len(fps), np.concatenate([*pend_a, np.arange(len(fps))]), np.concatenate([*pend_b, label]))
             pend_a, pend_b, held = [], [], 0
-    label = _stars(n, np.concatenate([*pend_a, np.arange(n)]), np.concatenate([*pend_b, label]))
-    at = np.flatnonzero(label != np.arange(n))
-    return rows[at], rows[label[at]]
+    label = _stars(len(fps), np.concatenate([*pend_a, np.arange(len(fps))]), np.concatenate([*pend_b, label]))
+    at = np.flatnonzero(label != np.arange(len(fps)))
+    return at, label[at]
 
 
 def link_buckets(rows: DataFrame, words: list[str], radius: int, block: int) -> DataFrame:
@@ -241,22 +251,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near-dedup at a similarity: exact Jaccard of shingle sets, with candidates from prefixes.
+# Near-dedup at a similarity: candidates from prefixes, compared by wide fingerprints, verified by exact Jaccard similarity.
 
-WIDE = 8
+#: 64-bit words of a set's fingerprint.
+WIDE = 2
 #: Shingles in more documents than COMMON come last in the order that prefixes are cut from. They are estimated from one
 #: document in SAMPLE, and at most MOST_COMMON of them are broadcast; the order decides the work, not the result.
 COMMON, SAMPLE, MOST_COMMON = 64, 16, 1 << 19
-#: Bits of a set's parity sketch: a key flips one of them, so two sketches differ in no more bits than the sets in keys.
-#: A set's wide sketch has a power of two of them, at least the set's size, and folds to the length of a shorter one.
+#: Least bits of a set's parity sketch: a key flips one of them, so two sketches differ in no more bits than the sets in
+#: keys. A sketch has a power of two of them, at least the set's size, and folds to the length of a shorter one.
 SKETCH = 1024
 
 
-def radius_at(similarity: float, bits: int = WIDE * BITS) -> int:
-    """The bits that differ in the mean between two sets of this Jaccard similarity, and half a standard deviation more.
-    With 512 bits the similarity that they tell has a standard error of about 0.04."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)) / 2)
+def radius_at(similarity: float, bits: int = WIDE * 64) -> int:
+    """The bits of two sets' fingerprints that differ at this Jaccard similarity, in the mean and five standard deviations
+    more. One bit differs with probability acos(2s / (1 + s)) / pi; in small sets a tie of the bits makes it up to a third
+    more. At 0.8 and 128 bits a pair is beyond it with probability below 1e-6."""
+    p = min(0.5, math.acos(2 * similarity / (1 + similarity)) / math.pi * 4 / 3)
+    return min(bits, round(bits * p + 5 * math.sqrt(bits * p * (1 - p))))
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, lut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,15 +316,32 @@ def _lists(keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[at].view(np.int64)))
 
 
-def _sketches(keys: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The parity sketch of each text's keys, and the wide one."""
+def set_fingerprints(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of WIDE words for each set of keys: a bit is 1 if it's set in over half the keys' hashes."""
+    sets = len(first) - 1
+    owner = np.repeat(np.arange(sets), np.diff(first))
+    out = np.zeros((sets, WIDE), np.uint64)
+    for w in range(WIDE):
+        counts = np.zeros((sets, 64), np.int64)
+        for at in range(0, len(keys), _ROWS * 16):
+            h = mix(keys[at : at + _ROWS * 16] ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            whose = owner[at : at + _ROWS * 16]
+            edge = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
+            counts[whose[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        out[:, w] = ((counts * 2 > np.diff(first)[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def _sketches(keys: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """The parity sketch of each text's keys, folded to SKETCH bits and as it is."""
     n = np.diff(first)
     size = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     edges = np.concatenate(([0], np.cumsum(size)))
     cell = np.repeat(edges[:-1], n) + (mix(keys ^ np.uint64(SKETCH)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
-    wide = np.packbits((np.bincount(cell, minlength=edges[-1]) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
-    parts = [wide[a:b] for a, b in zip((edges[:-1] // 64).tolist(), (edges[1:] // 64).tolist(), strict=True)]
-    return pa.array([_folded(x, SKETCH // 64).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())
+    flat = np.packbits((np.bincount(cell, minlength=edges[-1]) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    parts = [flat[a:b] for a, b in zip((edges[:-1] // 64).tolist(), (edges[1:] // 64).tolist(), strict=True)]
+    return [pa.array([_folded(x, SKETCH // 64).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())]
 
 
 def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -320,9 +349,9 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int, similarity: float | None = None, common: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, text_hash, node, n, keys, sketch, wide) for documents (doc_id, text_hash, text): the hash and the size of the set
+    """(doc_id, text_hash, node, n, keys, f0, f1, short, sketch) for documents (doc_id, text_hash, text): the hash and the size of the set
     of lower-case word shingles of each whole text, and its keys; with a similarity only those of its prefix, and the set's
-    sketches. A text of fewer words than a shingle is one shingle, one without words has none."""
+    fingerprint and its sketch, folded to SKETCH bits and as it is. A text of fewer words than a shingle is one shingle, one without words has none."""
     last = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if common is None else common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,17 +364,16 @@ def shingle_sets(docs: DataFrame, shingle_words: int, similarity: float | None =
                     hi = min(b - a, lo + 1024)
                     at = first[lo : hi + 1]
                     listed = _lists(keys, at, n[lo:hi] if similarity is None else _prefix(n[lo:hi], similarity))
-                    none = pa.nulls(hi - lo, pa.binary())
-                    sketches = (none, none) if similarity is None else _sketches(keys[at[0] : at[-1]], at - at[0])
+                    if similarity is None:
+                        told = [pa.nulls(hi - lo, pa.int64())] * WIDE + [pa.nulls(hi - lo, pa.binary())] * 2
+                    else:
+                        own, edges = keys[at[0] : at[-1]], at - at[0]
+                        told = [pa.array(f.view(np.int64)) for f in np.ascontiguousarray(set_fingerprints(own, edges).T)] + _sketches(own, edges)
                     cols = [batch.column(c).slice(a + lo, hi - lo) for c in (0, 1)]
-                    cols += [pa.array(node[lo:hi].view(np.int64)), pa.array(n[lo:hi], pa.int64()), listed, *sketches]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "node", "n", "keys", "sketch", "wide"])
-
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, sketch binary, wide binary")
-
+                    cols += [pa.array(node[lo:hi].view(np.int64)), pa.array(n[lo:hi], pa.int64()), listed, *told]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "node", "n", "keys", "f0", "f1", "short", "sketch"])
 
-def _bits(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, f0 long, f1 long, short binary, sketch binary")
 
 
 def _may(differ: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -354,7 +382,7 @@ def _may(differ: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose wide sketches allow the similarity; none that has it is lost."""
+    """The pairs (a, b) of nodes whose sketches allow the similarity; none that has it is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,38 +393,36 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             keep = _may(differ, batch.column(2).to_numpy() + batch.column(3).to_numpy(), similarity)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")) for x in "ab"]
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def possible_across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """The pairs (a, b) of nodes in one bucket and of different roots whose sketches allow the similarity.
+def near_across(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The pairs (a, b) of nodes in one bucket and of different roots whose fingerprints are within the similarity's radius
+    and whose sketches allow it.
 
-    rows: key (the bucket), c (its size), node, root, n and sketch. As in link_buckets a bucket of more than ``block`` is dealt out as
-    pairs of blocks, and pairs are formed inside a task, so only those that are possible become rows."""
+    rows: key (the bucket), c (its size), node, root, n, f0, f1 and short. As in link_buckets a bucket of more than ``block``
+    is dealt out as pairs of blocks, and pairs are formed bit-sliced inside a task, so only those that pass become rows."""
+    radius, words = radius_at(similarity), SKETCH // 64
     dealt = (
         rows.withColumn("g", F.ceil(F.col("c") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.when(F.col("g") > 1, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(F.lit(0)))))
         .where("g = 1 or own != other")
         .withColumn("grp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        .select("grp", "node", "root", "n", "sketch")
+        .select("grp", "node", "root", "n", "f0", "f1", "short")
     )
 
     def out(held: pa.Table) -> pa.RecordBatch:
-        grp, node, root, n = (held.column(c).to_numpy() for c in range(4))
-        sketch = _bits(held.column(4))
+        grp, node, root, n, *prints = (held.column(c).to_numpy() for c in range(4 + WIDE))
+        sketch = np.frombuffer(b"".join(held.column("short").to_pylist()), np.uint64).reshape(-1, words)
         found = [np.zeros((0, 2), np.int64)]
-        edge = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            for i in range(lo, hi, 64):
-                j = min(hi, i + 64)
-                differ = np.bitwise_count(sketch[i:j, None] ^ sketch[None, i:hi]).sum(axis=2, dtype=np.int64)
-                here, there = n[i:j, None], n[None, i:hi]
-                may = _may(differ, here + there, similarity) & (root[i:j, None] != root[None, i:hi])
-                may &= np.minimum(here, there) >= np.maximum(here, there) * similarity - 1e-9
-                x, y = np.nonzero(may)
-                found.append(np.column_stack((np.minimum(node[i + x], node[i + y]), np.maximum(node[i + x], node[i + y]))))
+        for x, y in near_rows(np.column_stack(prints).view(np.uint64), grp, radius, root):
+            fit = np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similarity - 1e-9
+            x, y = x[fit], y[fit]
+            fit = _may(np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64), n[x] + n[y], similarity)
+            x, y = node[x[fit]], node[y[fit]]
+            found.append(np.column_stack((np.minimum(x, y), np.maximum(x, y))))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -437,13 +463,14 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
     """The documents without near copies: of each group linked by similarity the one of the smallest id stays.
 
-    The similarity is the exact Jaccard similarity of sets of word shingles, and no pair that has it is missed: with all
-    sets in one order, two of them share a key of their prefixes. Documents of one set are one node. In each bucket of a
-    shared key all nodes are compared with the smallest, then those that are not yet linked with each other; sketches
-    spare the pairs that can't be similar, and the others are verified by their whole sets.
+    The similarity is the Jaccard similarity of sets of word shingles. With all sets in one order, two that have it share a
+    key of their prefixes; documents of one set are one node. In each bucket of a shared key all nodes are compared with
+    the smallest, by sketches that lose no pair; those that are not yet linked are compared with each other by bit-sliced
+    SimHash fingerprints of the sets (a pair is lost with probability below 1e-6 at 0.8, see radius_at) and by sketches.
+    What passes is verified by the exact similarity of the whole sets.
 
-    A null id comes last, equal ids by the hash of the text; rows that repeat id and text are one document and one of them
-    stays. Texts without words are one group. All columns stay as they are; an empty table gives an empty result.
+    A null id comes last, equal ids by the hash of the text; rows that repeat id and text are one document and the
+    one of the least hash over its columns (but maps) stays. Texts without words are one group. All columns stay as they are; an empty table gives an empty result.
     """
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -452,7 +479,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = np.sort(np.array([r.key for r in counted.select("key").collect()], np.int64).view(np.uint64))  # at most MOST_COMMON
     prints = shingle_sets(source, shingle_words, similarity, common)
     rank = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("text_hash"))
-    nodes = materialise(prints.groupBy("node").agg(F.min(rank).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), *[F.any_value(c).alias(c) for c in ("sketch", "wide")]), "set-nodes")
+    nodes = materialise(prints.groupBy("node").agg(F.min(rank).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), *[F.any_value(c).alias(c) for c in ("f0", "f1", "short", "sketch")]), "set-nodes")
     entries = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.min_by("n", "node").alias("least_n")).where("c > 1")
     rows = materialise(entries.join(shared, "key"), "set-buckets")
@@ -470,13 +497,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(possible(stars, nodes, similarity))
     rooted = rows.join(components(links).withColumnRenamed("root", "r"), "node", "left").select("key", "c", "node", "n", F.coalesce("r", "node").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-    roots = components(links.unionByName(verified(possible(possible_across(left, similarity, block), nodes, similarity))))
+    left = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "f0", "f1", "short"), "node")
+    roots = components(links.unionByName(verified(possible(near_across(left, similarity, block), nodes, similarity))))
 
     group = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     keepers = group.agg(F.min("first").alias("first")).select(F.xxhash64("first.doc_id", F.lit(0), "first.text_hash").alias("_gm_key"))
     keyed = docs.withColumn("_gm_key", F.xxhash64(F.col(id_col).cast("long"), F.lit(0), F.xxhash64(text_col)))
-    return keyed.join(keepers, "_gm_key").dropDuplicates(["_gm_key"]).select(*docs.columns)
+    row = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+    kept = keyed.join(keepers, "_gm_key").groupBy("_gm_key").agg(F.min_by(F.struct(*docs.columns), row).alias("_gm_row"))
+    return kept.select(*[F.col("_gm_row")[c].alias(c) for c in docs.columns])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
