@@ -24,8 +24,6 @@ from glyphmill.session import materialise
 FOLDS, HELD_FOLD = 5, 0
 #: Documents to learn from in each language, as expected number: more are thinned by a hash of the id.
 LEARN_DOCS = 4_000
-#: Words, and n-grams of all lengths together, that the model holds at most; rarer ones go first.
-MOST_WORDS, MOST_GRAMS = 120_000, 120_000
 LONGEST = 4
 UNKNOWN = "und"
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -129,23 +127,11 @@ def _spelt(marked, n: int):
     return F.transform(starts, lambda i: F.concat(F.lit(str(n)), F.substring(marked, i, F.lit(n))))
 
 
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent names, as many whole frequency classes as ``most`` has room for."""
-    total = counts.groupBy("g").agg(F.sum("n").alias("n"))
-    classes = total.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-    least, room = 1_000_001, most
-    for n, k in classes:
-        if k > room:
-            break
-        least, room = n, room - k
-    return counts.join(total.where(F.col("n") >= least).select("g"), "g")
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learns from rows with an id outside the held-out fold and a language.
 
     About LEARN_DOCS documents of each language count, chosen by a hash of the id. Words and n-grams are counted on
-    the executors; the driver gets the most frequent ones within the two bounds. A language without words still has
+    the executors; the driver gets all those of the chosen documents. A language without words still has
     its prior; without any rows the model has no language and each text is ``und``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -177,7 +163,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     parts = words.where("length(g) > 0").select("lang", "n", F.explode(spelt).alias("g")).where("length(g) = 1 + int(substring(g, 1, 1))")
     parts = materialise(parts.groupBy("lang", "g").agg(F.sum("n").alias("n")), "langid-grams")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    word_names, word_rows = _table(_frequent(words, MOST_WORDS), langs, totals)
+    word_names, word_rows = _table(words, langs, totals)
     hashed = Hasher()
     raw = [w.encode() for w in word_names]
     ends = np.cumsum([len(w) for w in raw]) if raw else np.zeros(0, np.int64)
@@ -186,7 +172,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sums = {}
     for r in parts.groupBy("lang", F.substring("g", 1, 1).alias("k")).agg(F.sum("n").alias("n")).collect():
         sums[r.lang, r.k] = r.n
-    gram_names, gram_rows = _table(_frequent(parts, MOST_GRAMS), langs, sums, by_length=True)
+    gram_names, gram_rows = _table(parts, langs, sums, by_length=True)
     return LangModel(langs, prior, keys[order], word_rows[order], {g: i for i, g in enumerate(gram_names)}, gram_rows)
 
 
@@ -205,8 +191,8 @@ def identify(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataF
     """Adds lang_pred and score (the share of the best language) for each document's whole text.
 
     A null text, a text without letters, and any text under a model without languages is ``und`` with score 0. Columns
-    named lang_pred or score are replaced; other columns and repeated rows stay. The model is bounded by MOST_WORDS
-    and MOST_GRAMS rows and is broadcast.
+    named lang_pred or score are replaced; other columns and repeated rows stay. The model has the words and
+    n-grams of the documents it was learnt from (LEARN_DOCS a language) and is broadcast.
     """
     kept = docs.drop("lang_pred", "score")
     at = kept.columns.index(text_col)
