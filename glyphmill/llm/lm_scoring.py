@@ -38,7 +38,7 @@ class LmModel:
 
     bits_per_event: int = 12
     probes: int = 4
-    prior_mass: float = 2000.0
+    prior_mass: float = 50.0
     block_bytes: int = 4 << 20
     segment_text_bytes: int = 16 << 20
     least_segments: int = 256
