@@ -66,8 +66,14 @@ def _tagged(value: np.ndarray, size_class: int, j: int) -> np.ndarray:
     return mix(value.astype(_U) ^ (_U(size_class * 4096 + j + 1) << _U(40)))
 
 
+def _short(key: np.ndarray, words: int) -> np.ndarray:
+    """The key of an item of so few words, all of which are its one shingle."""
+    return mix(key ^ (_U(words) << _U(56)))
+
+
 def item_rows(items: DataFrame, search: Search, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, item, size_class, q, keys, shingles): a row for each item that has a shingle."""
+    """(item_id, item, size_class, words, q, keys, shingles): a row for each item that has a word. words is 0, or the number
+    of words where they are fewer than a shingle; such an item's only key and shingle is that of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lut, a = Hasher(), letters_lut(digits=True), search.multipliers()
@@ -75,20 +81,27 @@ def item_rows(items: DataFrame, search: Search, id_col: str, text_col: str) -> D
         for batch in batches:
             for lo, hi, data, offs in text_chunks(pc.utf8_lower(batch.column(1)), 1 << 20):
                 key, first = shingles(data, offs, hasher, lut, search.shingle_words)
+                fewer = [shingles(data, offs, hasher, lut, k) for k in range(1, search.shingle_words)]
                 rows = []
                 for i in range(hi - lo):
+                    if first[i] == first[i + 1]:
+                        for words, (short, at) in enumerate(fewer, 1):
+                            if at[i + 1] - at[i] == 1:  # one sequence of so many words, so no more words
+                                made += 1
+                                only = _short(short[at[i] : at[i + 1]], words).view(np.int64).tolist()
+                                rows.append((batch.column(0)[lo + i].as_py(), (part << 40) + made, -1, words, 1, only, only))
                     own = np.unique(key[first[i] : first[i + 1]])
                     if len(own):
                         made += 1
                         size = int(len(own) - 1).bit_length()
                         mins = [int(_tagged(((own * m) >> _U(32)).min(keepdims=True), size, j).view(np.int64)[0]) for j, m in enumerate(a)]
-                        rows.append((batch.column(0)[lo + i].as_py(), (part << 40) + made, size, len(own), mins, own.view(np.int64).tolist()))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                        rows.append((batch.column(0)[lo + i].as_py(), (part << 40) + made, size, 0, len(own), mins, own.view(np.int64).tolist()))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 cols = [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(cols, ["item_id", "item", "size_class", "q", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays(cols, ["item_id", "item", "size_class", "words", "q", "keys", "shingles"])
 
     source = items.select(F.col(id_col).cast("long"), F.col(text_col))
-    return source.mapInArrow(run, "item_id long, item long, size_class int, q long, keys array<long>, shingles array<long>")
+    return source.mapInArrow(run, "item_id long, item long, size_class int, words int, q long, keys array<long>, shingles array<long>")
 
 
 def window_minima(value: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -108,9 +121,9 @@ def _window_docs(first: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(np.arange(len(blocks)), blocks)
 
 
-def _document_rows(docs: DataFrame, search: Search, classes: list[int], tables: Broadcast) -> DataFrame:
+def _document_rows(docs: DataFrame, search: Search, classes: list[int], short: list[int], tables: Broadcast) -> DataFrame:
     """(doc_id, text_hash, doc, keys, shingles): documents with a window that may share a minimum hash with an item; the
-    keys that they may share, and their shingles that may be an item's."""
+    keys that they may share, and their shingles that may be an item's. ``short`` are the lengths of items under a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, lut, a = Hasher(), letters_lut(digits=True), search.multipliers()
@@ -119,25 +132,30 @@ def _document_rows(docs: DataFrame, search: Search, classes: list[int], tables:
         for batch in batches:
             for lo, hi, data, offs in text_chunks(pc.utf8_lower(batch.column(2)), 1 << 20):
                 key, first = shingles(data, offs, hasher, lut, search.shingle_words)
-                if not len(key):
-                    continue
-                owners, shared = [], []
+                owners, shared, spelt = [], [], []
+                for words in short:
+                    found, at = shingles(data, offs, hasher, lut, words)
+                    tagged = _short(found, words)
+                    hit = _holds(known, tagged)
+                    spelt.append((np.repeat(np.arange(hi - lo), np.diff(at))[hit], tagged[hit]))
+                owners += [o for o, _ in spelt]
+                shared += [t for _, t in spelt]
                 docs_of = {c: _window_docs(first, 1 << c) for c in classes}
-                for j, m in enumerate(a):
+                for j, m in enumerate(a if len(key) else ()):
                     value = ((key * m) >> _U(32)).astype(np.uint32)
                     for c in classes:
                         tagged = _tagged(window_minima(value, first, 1 << c), c, j)
                         hit = _holds(minima, tagged)
                         owners.append(docs_of[c][hit])
                         shared.append(tagged[hit])
-                owner, tags = np.concatenate(owners), np.concatenate(shared)
+                owner, tags = np.concatenate([*owners, np.zeros(0, np.int64)]), np.concatenate([*shared, np.zeros(0, _U)])
                 some = np.unique(owner)
                 if not len(some):
                     continue
                 order = np.argsort(owner, kind="stable")
                 owner, tags = owner[order], tags[order]
                 at = np.searchsorted(owner, [some, some + 1])
-                own = [np.unique(key[first[d] : first[d + 1]]) for d in some]
+                own = [np.unique(np.concatenate([key[first[d] : first[d + 1]], *[t[o == d] for o, t in spelt]])) for d in some]
                 cols = [
                     batch.column(0).take(pa.array(some + lo)),
                     batch.column(1).take(pa.array(some + lo)),
@@ -184,21 +202,23 @@ def find_leaks(
     """(doc_id, text_hash, item_id, containment): each document with each item whose distinct shingles it holds to the
     asked share or more. Words are runs of letters and digits in lower case.
 
-    Null, empty and very short texts have no shingles: such a document holds nothing, such an item is never found.
+    Null, empty and wordless texts hold nothing and are never found. An item of fewer words than a shingle is found where
+    all its words stand one after the other.
     A null doc_id is kept as such; rows of a repeated id and text give one row (the same one). Other columns are
     ignored. Items and documents of any number are fine: what is broadcast are two bit tables of a bounded size, which
     only spare work; the search itself is a join on hash keys, and a pair is verified by counting shared shingles.
     """
     spark = docs.sparkSession
     sized = materialise(item_rows(items, search, item_col, text_col), "items")
-    classes = sorted(r[0] for r in sized.select("size_class").distinct().collect())  # at most one for each power of two
+    kinds = [tuple(r) for r in sized.select("size_class", "words").distinct().collect()]  # at most one for each power of two
+    classes, short = sorted(c for c, w in kinds if not w), sorted(w for _, w in kinds if w)
     minima, known = prefilter(sized, "keys", search.most_bits), prefilter(sized, "shingles", search.most_bits)
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    if not classes:
+    if not kinds:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, containment double")
     tables = spark.sparkContext.broadcast((minima, known))
-    found = materialise(_document_rows(source, search, classes, tables), "windows")
+    found = materialise(_document_rows(source, search, classes, short, tables), "windows")
     pairs = (
         found.select("doc", F.explode("keys").alias("key"))
         .join(sized.select("item", F.explode("keys").alias("key")), "key")

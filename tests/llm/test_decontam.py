@@ -19,11 +19,15 @@ def sets(text, k=5):
 def brute(docs, items):
     out = {}
     wanted = [(i, s) for i, t in items if (s := sets(t))]
+    short = [(i, w) for i, t in items if 0 < len(w := words(t)) < 5]
     for d, t in docs:
         own = sets(t)
         for i, s in wanted:
             if len(s & own) / len(s) >= 0.8:
                 out[d, i] = max(out.get((d, i), 0), len(s & own) / len(s))
+        for i, w in short:
+            if tuple(w) in sets(t, len(w)):
+                out[d, i] = 1.0
     return out
 
 
@@ -47,7 +51,7 @@ def test_partial_copies_and_edges(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(3000)]
     say = lambda n: " ".join(rng.choice(vocabulary, n))
-    items = [(i, say(int(n))) for i, n in enumerate(rng.integers(6, 90, 40))] + [(100, None), (101, "too short"), (None, say(30)), (5, say(20))]
+    items = [(i, say(int(n))) for i, n in enumerate(rng.integers(6, 90, 40))] + [(100, None), (101, "too short"), (102, "Word"), (103, "one, two three four"), (104, "w1"), (None, say(30)), (5, say(20))]
     docs = []
     for d in range(120):
         i, t = items[int(rng.integers(0, 40))]
@@ -58,7 +62,7 @@ def test_partial_copies_and_edges(spark):
             w = w[: len(w) * 9 // 10]
         text = f"{say(int(rng.integers(0, 600)))} {' '.join(w).upper() if d % 5 == 0 else ', '.join(w)} {say(int(rng.integers(0, 600)))}"
         docs.append((d if d % 50 else None, text))
-    docs += [(7, None), (7, None), (8, ""), (9, items[3][1]), (9, items[3][1]), (10, "x " * 100000 + items[4][1])]
+    docs += [(7, None), (7, None), (8, ""), (9, items[3][1]), (9, items[3][1]), (10, "x " * 100000 + items[4][1]), (11, "not too short"), (12, "one two three"), (13, "a word"), (14, "so one two three four five six")]
     df = spark.createDataFrame([(*d, 0, "q") for d in docs], "doc_id long, text string, item_id int, keys string")
     of = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
     got = {(r.doc_id, r.item_id): r.containment for r in find_leaks(df, of).groupBy("doc_id", "item_id").agg({"containment": "max"}).toDF("doc_id", "item_id", "containment").collect()}
