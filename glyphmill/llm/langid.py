@@ -23,7 +23,7 @@ from glyphmill.session import materialise
 
 FOLDS, HELD_FOLD = 5, 0
 #: Documents to learn from in each language, as expected number: more are thinned by a hash of the id.
-LEARN_DOCS = 4_000
+LEARN_DOCS = 2_000
 LONGEST = 4
 UNKNOWN = "und"
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -164,27 +164,30 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     parts = materialise(parts.groupBy("lang", "g").agg(F.sum("n").alias("n")), "langid-grams")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     word_names, word_rows = _table(words, langs, totals)
-    hashed = Hasher()
-    raw = [w.encode() for w in word_names]
-    ends = np.cumsum([len(w) for w in raw]) if raw else np.zeros(0, np.int64)
-    keys = hashed(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends) if raw else np.zeros(0, np.uint64)
+    hasher, keys = Hasher(), [np.zeros(0, np.uint64)]
+    for _, _, data, offs in text_chunks(word_names, 4 << 20):
+        keys.append(hasher(data, offs[:-1], offs[1:]))
+    keys = np.concatenate(keys)
     order = np.argsort(keys)
     sums = {}
     for r in parts.groupBy("lang", F.substring("g", 1, 1).alias("k")).agg(F.sum("n").alias("n")).collect():
         sums[r.lang, r.k] = r.n
     gram_names, gram_rows = _table(parts, langs, sums, by_length=True)
-    return LangModel(langs, prior, keys[order], word_rows[order], {g: i for i, g in enumerate(gram_names)}, gram_rows)
+    return LangModel(langs, prior, keys[order], word_rows[order], {g: i for i, g in enumerate(gram_names.to_pylist())}, gram_rows)
 
 
-def _table(counts: DataFrame, langs: list[str], totals: dict, by_length: bool = False) -> tuple[list[str], np.ndarray]:
+def _table(counts: DataFrame, langs: list[str], totals: dict, by_length: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Names in order and a row of log frequencies for each; half a count stands for a language that lacks the name."""
-    got = counts.select("g", "lang", "n").toPandas()
-    names = sorted(got["g"].unique())
-    at, of = {g: i for i, g in enumerate(names)}, {k: j for j, k in enumerate(langs)}
-    table = np.full((len(names), len(langs)), 0.5)
-    table[got["g"].map(at).to_numpy(np.int64), got["lang"].map(of).to_numpy(np.int64)] = got["n"].to_numpy()
-    whole = np.array([[totals.get((k, g[0]) if by_length else k, 0) + 1.0 for k in langs] for g in names]).reshape(len(names), len(langs))
-    return names, np.log(table / whole).astype(np.float32)
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{j}") for j, k in enumerate(langs)]
+    got = counts.groupBy("g").agg(*each, F.count("*").alias("c")).drop("c").orderBy("g").toArrow()
+    names = got.column("g").combine_chunks()
+    table = np.zeros((len(names), len(langs)), np.float32)
+    length = np.array(pc.utf8_slice_codeunits(names, 0, 1).to_pylist()) if by_length else None
+    for j, k in enumerate(langs):
+        n = np.maximum(got.column(f"n{j}").to_numpy().astype(np.float64), 0.5)
+        whole = np.array([totals.get((k, x), 0) for x in "0123456789"])[length.astype(np.int64)] if by_length and len(names) else totals.get(k, 0)
+        table[:, j] = np.log(n / (whole + 1.0))
+    return names, table
 
 
 def identify(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
