@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,12 +20,28 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Long runs of white space, which are cut out before the pattern sees them: it takes its stack from their length. The
+#: characters are those that the pattern's \\s stands for.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 @lru_cache(maxsize=2)
 def _encoder(raw: bytes) -> tiktoken.Encoding:
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(encoder: tiktoken.Encoding, text: str) -> int:
+    """The number of tokens of a text. A long run of white space is one piece (but for its last character, if more text
+    follows), so it's encoded by itself; what stands before and behind it doesn't depend on it."""
+    total = at = 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:]))
+
+
 def length_histogram(docs: DataFrame, source_col: str = "source", text_col: str = "text", ranks_path: str = RANKS) -> DataFrame:
     """(source, n_tokens, n_docs): how many documents of each source have each encoded length.
 
@@ -39,7 +56,7 @@ def length_histogram(docs: DataFrame, source_col: str = "source", text_col: str
         encoder = _encoder(held.value)
         for batch in batches:
             counts = Counter(
-                (source, len(encoder.encode_ordinary(text.as_py() or ""))) for source, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+                (source, encoded_length(encoder, text.as_py() or "")) for source, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
             )
             rows = list(counts.items())
             cols = [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())]

@@ -1,7 +1,7 @@
 from collections import defaultdict
 from pathlib import Path
 
-from glyphmill.llm.tokencounts import RANKS, _encoder, answers, length_histogram, op5_token_counts, quantile_lengths, suffix_sums
+from glyphmill.llm.tokencounts import RANKS, _encoder, answers, encoded_length, length_histogram, op5_token_counts, quantile_lengths, suffix_sums
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,13 @@ def test_edges(spark):
     got = {(r.scope, r.source, r.n_tokens): r.n_docs for r in suffix_sums(length_histogram(df)).collect()}
     assert got == {(*k, n): v.count(n) for k, v in want.items() for n in v}
     assert suffix_sums(length_histogram(df.limit(0))).count() == 0
+
+
+def test_long_blanks_are_encoded_like_any_text(spark):
+    encoder = _encoder(Path(RANKS).read_bytes())
+    for run in (" " * 9000, "\t" * 9000, "\n" * 9000, " \n" * 4000, "\u2003" * 3000, "\xa0 " * 2000):
+        for text in (run, f"ab{run}", f"{run}ab", f"ab{run}cd {run}!", f"a{run}\x1c{run}1"):
+            assert encoded_length(encoder, text) == len(encoder.encode_ordinary(text))
+    rows = [("s", c * 1_000_000) for c in " \t\n"]
+    got = length_histogram(spark.createDataFrame(rows, "source string, text string")).collect()
+    assert sum(r.n_docs for r in got) == 3 and all(r.n_tokens > 0 for r in got)
