@@ -81,16 +81,29 @@ _CUE = re.compile(r"(?:phone|tel|telephone|call|mobile|cell|fax|ph|contact)[.:]?
 _SHAPES = ("(999) 999-9999", "999-999-9999", "999.999.9999", "999 999 9999", "9-999-999-9999", "9 (999) 999-9999", "(999)999-9999", "999-9999")
 
 
+_LENGTHS = frozenset(map(len, _SHAPES))
+
+
 def _shape(text: str) -> str:
     return re.sub(r"[0-9]", "9", text)
 
 
+def _cut_before(text: str, start: int) -> bool:
+    """Whether what stands before a segment runs on into it."""
+    before = text[max(0, start - 24) : start]
+    return bool(re.search(r"[A-Za-z0-9_]$", before) or re.search(r"[-.=/:$#,][ ]?$", before) and not _CUE.search(before.rstrip()))
+
+
+def _cut_after(text: str, end: int) -> bool:
+    return bool(re.match(r"[A-Za-z0-9_%]|[-./:,][0-9A-Za-z]", text[end : end + 2]))
+
+
 def features(text: str, start: int, end: int, kind: str) -> list[str]:
     """Features of one whole segment of one kind."""
-    span, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 2]
+    span, before = text[start:end], text[max(0, start - 24) : start]
     digits = "".join(_DIGIT.findall(span))
     out = ["bias"]
-    if re.search(r"[A-Za-z0-9_]$", before) or re.search(r"[-.=/:$#,][ ]?$", before) and not _CUE.search(before.rstrip()) or re.match(r"[A-Za-z0-9_%]|[-./:,][0-9A-Za-z]", after):
+    if _cut_before(text, start) or _cut_after(text, end):
         out.append("cut")
     if "\n" in span:
         out.append("line")
@@ -147,11 +160,55 @@ def segments(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, in
     return pieces, found
 
 
+#: Features of which a segment has one at most, by the name of their group.
+_EITHER = {"no-shape": "shape", "cue-odd": "cue-long", "no-luhn": "luhn", "odd-groups": "fours", "no-four": "four"}
+
+
+def _most(weights: dict[str, float]) -> tuple[dict[str, float], float, float]:
+    """For each kind the most that features other than its bias, digits, cut, shape and cue can add; and the most for a
+    shape and for a cue."""
+    best: dict[tuple[str, str], float] = {}
+    for f, w in weights.items():
+        kind, name = f.split(":")[:2]
+        group = kind, _EITHER.get(name, name)
+        best[group] = max(best.get(group, 0.0), w)
+    apart = ("bias", "cut", "digits", "shape", "cue", "cue-long")
+    rest = {k: sum(w for (kind, name), w in best.items() if kind == k and name not in apart) for k in KINDS}
+    return rest, best.get(("phone", "shape"), 0.0), best.get(("phone", "cue"), 0.0) + best.get(("phone", "cue-long"), 0.0)
+
+
 def decode(text: str, lo: int, hi: int, weights: dict[str, float]) -> list[Span]:
-    """The best segmentation of a window: pieces outside have score 0, segments the sum of their weights."""
+    """The best segmentation of a window: pieces outside have score 0, segments the sum of their weights.
+
+    Segments that can't have a positive score by their digits and their edges are left out before their other features
+    are computed; each edge is looked at once."""
     pieces, found = segments(text, lo, hi)
     ending: dict[int, list] = {}
+    (most, shape, cue), bounds, begun, ended, digits = _most(weights), {}, {}, {}, [0]
+    cut = min(0.0, weights.get("phone:cut", 0.0))
+    for a, b in pieces if found else ():
+        digits.append(digits[-1] + (b - a) * ("0" <= text[a] <= "9"))
     for i, j, kind in found:
+        if kind != "email":
+            held = kind, min(20, digits[j + 1] - digits[i])
+            if held not in bounds:
+                bounds[held] = most[kind] + weights.get(f"{kind}:bias", 0.0) + weights.get(f"{kind}:digits:{held[1]}", 0.0)
+            if i not in begun:
+                start = pieces[i][0]
+                begun[i] = cut * _cut_before(text, start), cue if _CUE.search(text[max(0, start - 24) : start].rstrip()) else 0.0
+            bound = bounds[held]
+            if kind == "phone":
+                bound += begun[i][1] + shape * (pieces[j][1] - pieces[i][0] in _LENGTHS)
+                if bound + begun[i][0] <= 0:
+                    continue
+                if not begun[i][0]:
+                    if j not in ended:
+                        ended[j] = cut * _cut_after(text, pieces[j][1])
+                    bound += ended[j]
+                else:
+                    bound += begun[i][0]
+            if bound <= 0:
+                continue
         score = sum(weights.get(f, 0.0) for f in features(text, pieces[i][0], pieces[j][1], kind))
         if score > 0:
             ending.setdefault(j, []).append((i, kind, score))

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 from glyphmill.llm import pii
 from glyphmill.llm.pii import KINDS, base_spans, decode, features, find_pii, find_spans, luhn, op3_pii, segments, train
@@ -84,3 +85,11 @@ def test_gate_lets_all_at_marks_through():
     for mark in ("[at]", "[AT]", "(At)", "{at}", "{AT}"):
         text = f"write bob {mark} host {mark.lower().replace('at', 'dot')} org now"
         assert find_spans(text, weights) == ([], [("email", 6, len(text) - 4)])
+
+
+def test_long_runs_of_numbers_take_linear_time():
+    weights = train()
+    for piece in ("1-", "12 ", "+1("):
+        began = time.perf_counter()
+        base, spans = find_spans(piece * (200_000 // len(piece)), weights)
+        assert time.perf_counter() - began < 90 and set(base) <= set(spans)
