@@ -69,12 +69,13 @@ def substring_prior(counts: DataFrame, vocab: DataFrame, longest: int | None = N
 
 
 def token_prior(ids: DataFrame, vocab: DataFrame, mode: str = "reestimate") -> DataFrame:
-    """The prior from encoded ids (id): ``reestimate`` counts them, ``use_tokenizer`` takes the vocabulary's scores."""
+    """The prior from encoded ids (id), or their counts (id, n): ``reestimate`` adds them up, ``use_tokenizer`` takes the
+    vocabulary's scores."""
     if mode == "use_tokenizer":
         return vocab.withColumn("logp", F.when(F.col("is_special"), F.lit(0.0)).otherwise(F.coalesce("score", F.lit(-100000.0))))
     if mode != "reestimate":
         raise ValueError(f"unknown mode {mode}")
-    found = ids.groupBy("id").agg(F.count("*").alias("n"))
+    found = ids.groupBy("id").agg((F.sum("n") if "n" in ids.columns else F.count("*")).alias("n"))
     return log_prior(vocab.join(found, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), F.col("n"))
 
 

@@ -21,6 +21,13 @@ def spread(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
     return rows.groupBy(by).agg(*aggs) if by else rows.agg(*aggs)
 
 
+def token_ratios(sequences: DataFrame, unknown_id: int, pad_id: int, by: str = "lang", ids: str = "ids") -> DataFrame:
+    """(by, unk_ratio, pad_ratio): the shares of unknown and of padding ids among all positions of a group."""
+    count = lambda x: F.sum(F.size(F.filter(ids, lambda i: i == x)))
+    n = F.sum(F.size(ids))
+    return sequences.groupBy(by).agg((count(unknown_id) / n).alias("unk_ratio"), (count(pad_id) / n).alias("pad_ratio"))
+
+
 def causal_loss(rows: DataFrame, loss: str = "loss", mask: str = "mask") -> DataFrame:
     """sum(loss x mask) / sum(mask)."""
     return rows.agg((F.sum(F.col(loss) * F.col(mask)) / F.sum(mask)).alias("loss"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import BLANKS, blank_run, byte_alphabet, pretokens, to_byte_level
+from glyphmill.operators.vocab import place_specials
 from glyphmill.session import spread
 
 FLOOR = -100000.0
@@ -47,6 +48,15 @@ def blank_inventory(spark: SparkSession, max_length: int = 16) -> DataFrame:
     return runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_length - 1)), lambda i: F.concat(F.col("c2"), F.repeat(F.col("c1"), i)))).alias("piece"))
 
 
+def sampled_vocab(scores: DataFrame, specials: DataFrame, seed_size: int, noise_std: float = 0.0, seed: int = 0) -> DataFrame:
+    """(id, piece, is_special, score, byte_length, old_id): a vocabulary induced from seed scores with the special pieces
+    (ref_id, piece) at their reference ids and score 0; old_id is a special's reference id."""
+    induced = induce(scores, seed_size, noise_std=noise_std, seed=seed)
+    placed = place_specials(induced.select("rank", "piece"), specials).join(induced.select("piece", "logp"), "piece", "left")
+    score = F.when(F.col("is_special"), F.lit(0.0)).otherwise(F.col("logp"))
+    return placed.select("id", "piece", "is_special", score.alias("score"), F.length("piece").alias("byte_length"), "old_id")
+
+
 def induce(scores: DataFrame, seed_size: int, max_length: int = 16, noise_std: float = 0.0, seed: int = 0) -> DataFrame:
     """(rank, piece, logp): the alphabet at the least log-probability, the runs of blanks at 0.0, and then the best
     pieces by score until the whole list has seed_size (one at least); ties by piece.

@@ -35,9 +35,14 @@ def huber(x: Column, y: Column, delta: float = 1.0) -> Column:
     return F.zip_with(x, y, one)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it's named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(v: Column) -> Column:
-    shifted = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    shifted = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda whole: F.transform(e, lambda x: x / whole)))
 
 
 def kl_with_log_targets(log_p: Column, log_q: Column) -> Column:
@@ -79,6 +84,14 @@ def mean_vectors(rows: DataFrame, key: str = "id") -> DataFrame:
     return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(key, F.transform("v", lambda e: e["x"]).alias("vec"))
 
 
+def visit_average(visits: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, vec) for each of ``ids``: the mean of the vectors (id, vec) that batches predicted for it. Batches may overlap;
+    an id that none of them visited is an error."""
+    out = ids.select("id").join(mean_vectors(visits), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no batch visited id "), F.col("id").cast("string"))).cast(out.schema["vec"].dataType)
+    return out.withColumn("vec", F.coalesce("vec", missing))
+
+
 def column_moments(table: DataFrame, sample: bool = False) -> DataFrame:
     """(pos, mean, std) of each dimension; the population's deviation unless the sample's is asked for."""
     std = F.stddev_samp if sample else F.stddev_pop
@@ -167,9 +180,10 @@ def gelu(v: Column) -> Column:
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    mean = total(v) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    return F.transform(centred, lambda x: x / F.sqrt(total(F.transform(centred, lambda y: y * y)) / F.size(v) + eps))
+    def scaled(c: Column) -> Column:
+        return let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda std: F.transform(c, lambda x: x / std))
+
+    return let(let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)), scaled)
 
 
 def drop_parameters(params: DataFrame, first_keys: list[str]) -> DataFrame:

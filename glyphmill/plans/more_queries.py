@@ -104,18 +104,20 @@ def remapped_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def softmax_kl(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    v = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     v = v.withColumn("p", V.softmax(F.col("v")))
-    uniform = F.transform("p", lambda x: F.lit(math.log(1 / 8)))
+    uniform = F.transform("p", lambda x: F.lit(math.log(1 / 64)))
     logs = F.transform("p", lambda x: F.log(x))
     return v.select("vec_id", F.round(F.element_at("p", 1), 6).alias("first"), F.round(V.kl_with_log_targets(uniform, logs), 6).alias("kl"))
 
 
 def byte_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """Running byte offsets of the characters of each distinct short pre-token."""
-    counts = C.pretoken_counts(table(spark, sf, "documents")).where("length(pretoken) <= 6").select("pretoken")
-    starts = F.transform(F.sequence(F.lit(0), F.length("pretoken") - 1), lambda j: F.octet_length(F.substring(F.col("pretoken"), F.lit(1), j)))
-    return counts.select("pretoken", F.array_join(starts, ",").alias("offsets"))
+    """Running byte offsets of the characters of each distinct pre-token."""
+    counts = C.pretoken_counts(table(spark, sf, "documents")).select("pretoken")
+    each = counts.select("pretoken", F.posexplode(F.split("pretoken", "")).alias("at", "c"))
+    before = F.sum(F.octet_length("c")).over(Window.partitionBy("pretoken").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = each.withColumn("start", F.coalesce(before, F.lit(0))).groupBy("pretoken").agg(F.array_sort(F.collect_list("start")).alias("s"))
+    return starts.select("pretoken", F.array_join("s", ",").alias("offsets"))
 
 
 def worker_stride(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,9 +186,9 @@ def fitted_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trained_unigram(spark: SparkSession, sf: str) -> DataFrame:
-    """A unigram vocabulary of 400 pieces trained on the benchmark's pre-tokens."""
+    """A unigram vocabulary of 200 pieces trained on the benchmark's pre-tokens."""
     counts, scores = _scores(spark, sf)
-    used = {c for r in counts.select("pretoken").collect() for c in r.pretoken}
+    used = {r.c for r in counts.select(F.explode(F.split("pretoken", "")).alias("c")).distinct().collect()}  # of 256 byte characters
     seeds = {p: s for p, s in scores.items() if len(p) > 1 or p in used}
     vocab = E.train_unigram(counts, seeds, 200, rounds=2)
     return spark.createDataFrame(sorted(vocab.items()), "piece string, logp double")
@@ -218,9 +220,9 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n D
     "gather_pieces": "SELECT doc_id AS pos, n_name AS piece FROM labels JOIN nation ON n_nationkey = doc_id % 30",
     "scored_vocab": "SELECT c_custkey AS id, c_mktsegment AS piece, CASE c_mktsegment WHEN 'BUILDING' THEN -1.5 WHEN 'MACHINERY' THEN -2.5 ELSE 0.0 END::DOUBLE AS score FROM customer",
     "remapped_ids": "SELECT item_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE length(w) WHEN 1 THEN -100 WHEN 2 THEN 20 WHEN 3 THEN 30 ELSE length(w) END), ',') AS ids FROM benchmark",
-    "softmax_kl": """WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM v)
-SELECT vec_id, round(p[1], 6) AS first, round(list_sum(list_transform(p, lambda x: x * (ln(x) - ln(1 / 8.0)))), 6) AS kl FROM p""",
-    "byte_lengths": f"WITH c AS (SELECT DISTINCT pretoken FROM ({pretokens_sql()}) WHERE length(pretoken) <= 6) SELECT pretoken, array_to_string(list_transform(range(0, length(pretoken)), lambda j: strlen(substr(pretoken, 1, j))), ',') AS offsets FROM c",
+    "softmax_kl": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM v)
+SELECT vec_id, round(p[1], 6) AS first, round(list_sum(list_transform(p, lambda x: x * (ln(x) - ln(1 / 64.0)))), 6) AS kl FROM p""",
+    "byte_lengths": f"WITH c AS (SELECT DISTINCT pretoken FROM ({pretokens_sql()})) SELECT pretoken, array_to_string(list_transform(range(0, length(pretoken)), lambda j: strlen(substr(pretoken, 1, j))), ',') AS offsets FROM c",
     "worker_stride": "SELECT item_id AS doc_id, (row_number() OVER (ORDER BY md5(item_id::VARCHAR || ':7:0'), item_id) - 1) % 3 AS worker FROM benchmark",
     "marker_cleanup": f"WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS pretoken FROM benchmark), m AS (SELECT pretoken, CASE WHEN starts_with(pretoken, 'on') THEN substr(pretoken, 3) ELSE ' ' || pretoken END AS t FROM w WHERE pretoken <> '') SELECT pretoken, coalesce({mapped_sql('t')}, '') AS piece FROM m",
     "overlap_counts": f"""WITH p AS ({pretokens_sql('lang')}), c AS (SELECT lang, pretoken, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT lang, pretoken FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, pretoken) <= 500)

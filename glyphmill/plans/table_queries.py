@@ -120,10 +120,10 @@ def similar_transfer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def projector(spark: SparkSession, sf: str) -> DataFrame:
-    weight, bias = [[(i * 7 + j * 3) % 5 / 10 - 0.2 for j in range(8)] for i in range(8)], [i / 10 for i in range(8)]
-    x = _vectors(spark, sf).select("id", F.slice("vec", 1, 8).alias("x"))
+    weight, bias = [[(i * 7 + j * 3) % 5 / 10 - 0.2 for j in range(64)] for i in range(64)], [i / 100 for i in range(64)]
+    x = _vectors(spark, sf).select("id", F.col("vec").alias("x"))
     x = x.withColumn("h", V.gelu(V.project(F.col("x"), weight, bias))).withColumn("y", F.zip_with("h", "x", lambda a, b: a + b))
-    return x.select("id", F.transform(V.layer_norm(F.col("y")), lambda v: F.round(v, 6)).alias("vec")).select("id", F.round(F.element_at("vec", 1), 5).alias("first"), F.round(F.element_at("vec", 8), 5).alias("last"))
+    return x.select("id", V.layer_norm(F.col("y")).alias("vec")).select("id", *_digest())
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +300,13 @@ SELECT seq_id, pos, {tag} AS t, split_part({tag}, '-', -1) AS kind, CASE WHEN {t
 FROM g WINDOW q AS (PARTITION BY seq_id ORDER BY pos))) WHERE t <> 'O' GROUP BY seq_id, e, kind)"""
 
 
+_GELU = "0.5 * z * (1 + tanh(0.7978845608028654 * (z + 0.044715 * z * z * z)))"
+_PROJECTOR = f"""WITH {_V}, h AS (SELECT id, vec, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: vec[j + 1] * ((i * 7 + j * 3) % 5 / 10.0::DOUBLE - 0.2::DOUBLE))) + i / 100.0::DOUBLE) AS p FROM v),
+g AS (SELECT id, vec, list_transform(p, lambda z: {_GELU}) AS g FROM h), y AS (SELECT id, list_transform(g, lambda a, i: a + vec[i]) AS y FROM g), c AS (SELECT id, list_transform(y, lambda a: a - list_sum(y) / 64) AS c FROM y),
+n AS (SELECT id, list_transform(c, lambda a: a / sqrt(list_sum(list_transform(c, lambda b: b * b)) / 64 + 1e-5)) AS vec FROM c) SELECT id, {_digest_sql()} FROM n"""
+
 SQL = {
+    "projector": _PROJECTOR,
     "embedding_gather": f"WITH {_V} SELECT doc_id, doc_id % 600 AS id, round(vec[1], 6) AS first FROM labels LEFT JOIN v ON v.id = doc_id % 600",
     "fallback_gather": f"WITH {_V} SELECT doc_id, doc_id % 420 AS id, round(vec[1], 6) AS first FROM labels LEFT JOIN v ON v.id = doc_id % 420",
     "special_overwrite": f"WITH {_V}, o AS (SELECT id, CASE WHEN id % 50 = 0 THEN list_transform(vec, lambda x: x * -2) ELSE vec END AS vec FROM v) SELECT id, {_digest_sql()} FROM o",

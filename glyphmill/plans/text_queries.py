@@ -12,6 +12,7 @@ from glyphmill.operators import counts as C
 from glyphmill.operators import sampling as R
 from glyphmill.operators import seeds as S
 from glyphmill.operators import vocab as V
+from glyphmill.session import materialise
 
 #: The pre-tokenizer for RE2, which has no look-ahead: a mark is set before the last blank of a run that leads a word.
 _CUT = r"unnest(string_split(regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g'), chr(1)))"
@@ -65,7 +66,7 @@ def unescape_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strip_nonempty(spark: SparkSession, sf: str) -> DataFrame:
-    stripped = T.strip(F.concat(F.lit(" \n"), F.substring("text", 1, 60), F.lit("\t ")))
+    stripped = T.strip(F.concat(F.lit(" \n"), F.col("text"), F.lit("\t ")))
     return docs(spark, sf).select("doc_id", stripped.alias("s")).where(F.length("s") > 0).select("doc_id", F.length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
 
 
@@ -84,10 +85,10 @@ def page_names(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", T.path_name(F.col("url")).alias("name"))
 
 
-def _vocab(spark: SparkSession, sf: str, size: int = 200) -> DataFrame:
+def _vocab(spark: SparkSession, sf: str, size: int = 200, counts: DataFrame | None = None) -> DataFrame:
     """(id, piece, is_special): the most frequent pre-tokens of 12 characters at most, in byte-level form, after two
     specials. A vocabulary has a stated size, so it's made once and kept as a local table."""
-    counts = C.pretoken_counts(docs(spark, sf)).where("length(pretoken) <= 12")
+    counts = (counts or C.pretoken_counts(docs(spark, sf))).where("length(pretoken) <= 12")
     top = C.top_k(counts, size).select(T.to_byte_level(F.col("pretoken")).alias("piece")).collect()
     rows = [(0, "<s>", True), (1, "</s>", True)] + [(i + 2, r.piece, False) for i, r in enumerate(top)]
     return spark.createDataFrame(rows, "id int, piece string, is_special boolean")
@@ -100,15 +101,16 @@ vocab AS (SELECT 0 AS id, '<s>' AS piece, true AS is_special UNION ALL SELECT 1,
 
 
 def substring_prior(spark: SparkSession, sf: str) -> DataFrame:
-    counts = C.pretoken_counts(docs(spark, sf)).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    out = C.substring_prior(counts, _vocab(spark, sf))
+    raw = materialise(C.pretoken_counts(docs(spark, sf)), "pretokens")
+    counts = raw.select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
+    out = C.substring_prior(counts, _vocab(spark, sf, counts=raw))
     return out.select(F.col("id").cast("long").alias("id"), "piece", "n", F.round("logp", 6).alias("logp"))
 
 
 def token_prior(spark: SparkSession, sf: str) -> DataFrame:
-    each = docs(spark, sf).select(F.explode(T.pretokens(F.col("text"))).alias("t")).select(T.to_byte_level(F.col("t")).alias("piece"))
-    vocab = _vocab(spark, sf)
-    ids = each.groupBy("piece").count().join(F.broadcast(vocab), "piece").select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("_"))
+    counts = materialise(C.pretoken_counts(docs(spark, sf)), "pretokens")
+    vocab = _vocab(spark, sf, counts=counts)
+    ids = counts.select(T.to_byte_level(F.col("pretoken")).alias("piece"), "n").join(F.broadcast(vocab), "piece").select("id", "n")
     return C.token_prior(ids, vocab).select(F.col("id").cast("long").alias("id"), "n", F.round("logp", 6).alias("logp"))
 
 
@@ -277,7 +279,7 @@ SQL = {
     "bytelevel_pretokens": f"WITH c AS (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken), m AS (SELECT {mapped_sql('pretoken')} AS piece, n FROM c) SELECT piece, n, length(piece) AS n_chars, strlen(piece) AS n_octets, length(regexp_replace(piece, '[^ĠĊĉ]', '', 'g')) > 1 AS blank_run FROM m",
     "bytelevel_roundtrip": "SELECT lang, count(*) AS n, count(*) AS n_same, sum(strlen(text))::BIGINT AS n_bytes FROM documents GROUP BY lang",
     "unescape_text": r"SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, replace(replace(replace(replace(html, '<', '\n\_'), '\t', chr(9)), '\n', chr(10)), '\_', '\') AS t FROM pages)",
-    "strip_nonempty": "SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, trim(' ' || substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents) WHERE length(s) > 0",
+    "strip_nonempty": "SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, trim(' ' || text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents) WHERE length(s) > 0",
     "crop_span": "SELECT doc_id, md5(substr(text, 1, 512)) AS digest, length(substr(text, 1, 512)) AS n_chars FROM documents",
     "dedupe_batch_texts": "SELECT doc_id // 128 AS batch_id, count(*) AS n, count(DISTINCT text) AS n_kept FROM documents GROUP BY 1",
     "page_names": r"SELECT page_id, replace(regexp_replace(regexp_replace(url, '^.*/([^/]+)$', '\1'), '\.[^./]*$', ''), '/', '_') AS name FROM pages",
