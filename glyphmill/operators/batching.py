@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from glyphmill.operators.ordering import numbered
+
 
 def seeded_order(id_col: str = "doc_id", seed: int = 0, epoch: int = 0) -> list[Column]:
     """A reproducible shuffle: by md5 of id, seed and epoch, ties by id."""
@@ -49,17 +51,15 @@ def pack(texts: DataFrame, threshold: int, eos_length: int = 4, by: tuple[str, .
 
 def blocks(tokens: DataFrame, size: int, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., block, ids): the ids (id) of each group in order, cut into blocks; a remainder is dropped."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)) - 1
-    cut = tokens.withColumn("_r", rank).withColumn("block", F.floor(F.col("_r") / size))
+    cut = numbered(tokens, "_r", order, by).withColumn("block", F.floor(F.col("_r") / size))
     whole = cut.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("_r", "id"))).alias("x")).where(F.size("x") == size)
     return whole.select(*by, "block", F.transform("x", lambda e: e["id"]).alias("ids"))
 
 
 def fixed_batches(rows: DataFrame, size: int, by: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Adds batch and pos: batches of ``size`` within each group in id order; rows of a last, smaller batch are dropped."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(id_col)) - 1
     n = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    out = rows.withColumn("_r", rank).join(n, by)
+    out = numbered(rows, "_r", [id_col], [by]).join(n, by)
     return out.withColumn("batch", F.floor(F.col("_r") / size)).withColumn("pos", F.col("_r") % size).where(F.col("batch") < F.floor(F.col("_n") / size)).drop("_r", "_n")
 
 
@@ -72,15 +72,14 @@ def split_quota(sizes: DataFrame, cap: int, valid_share: float, count: str = "n_
 
 def split_rows(rows: DataFrame, quota: DataFrame, by: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Adds part: the first n_valid rows of each group are ``valid``, the next n_train ``train``, others go."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(id_col))
-    out = rows.withColumn("_r", rank).join(quota.select(by, "n_valid", "n_train"), by)
+    out = numbered(rows, "_r", [id_col], [by]).withColumn("_r", F.col("_r") + 1).join(quota.select(by, "n_valid", "n_train"), by)
     part = F.when(F.col("_r") <= F.col("n_valid"), "valid").when(F.col("_r") <= F.col("n_valid") + F.col("n_train"), "train")
     return out.withColumn("part", part).where("part is not null").drop("_r", "n_valid", "n_train")
 
 
 def stride(rows: DataFrame, workers: int, order: list[Column]) -> DataFrame:
     """Adds worker: every workers-th row of an order."""
-    return rows.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(workers)))
+    return numbered(rows, "worker", order).withColumn("worker", F.pmod("worker", F.lit(workers)))
 
 
 def pad(ids: Column, size: int, fill: int) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.operators.ordering import numbered
+
 
 def language_shares(sizes: DataFrame, alpha: float, weight: str | None = None, count: str = "n_pages") -> DataFrame:
     """Adds raw_share and share. With weights, both are the weights' shares; else raw_share = (n / sum n) ^ alpha, which
@@ -81,7 +83,7 @@ def coverage_sample(items: DataFrame, batch: int, least: int, n: int, seed: int)
 def equal_batches(items: DataFrame, size: int, seed: int) -> DataFrame:
     """(batch, pos, id, padding): all ids in hash order in batches of one size; the last is filled with id 0."""
     order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
-    rows = items.select("id", (F.row_number().over(Window.orderBy(order, "id")) - 1).alias("r"))
+    rows = numbered(items.select("id"), "r", [order, "id"])
     n = items.count()
     missing = -n % size
     fill = items.sparkSession.range(n, n + missing).select(F.lit(0).cast("long").alias("id"), F.col("id").alias("r"), F.lit(True).alias("padding"))

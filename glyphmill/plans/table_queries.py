@@ -12,6 +12,7 @@ from glyphmill.operators import encode as E
 from glyphmill.operators import metrics as M
 from glyphmill.operators import sampling as R
 from glyphmill.operators import vectors as V
+from glyphmill.operators.ordering import numbered
 from glyphmill.streaming.seed_stream import event_flush
 
 
@@ -214,7 +215,7 @@ def hinge_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def id_remap(spark: SparkSession, sf: str) -> DataFrame:
-    kept = table(spark, sf, "labels").where("quality = 1").select("doc_id").withColumn("new_id", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    kept = numbered(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "new_id", ["doc_id"])
     return table(spark, sf, "documents").select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("new_id", F.lit(-100)).cast("long").alias("new_id"))
 
 

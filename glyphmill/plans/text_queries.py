@@ -12,6 +12,7 @@ from glyphmill.operators import counts as C
 from glyphmill.operators import sampling as R
 from glyphmill.operators import seeds as S
 from glyphmill.operators import vocab as V
+from glyphmill.operators.ordering import numbered
 from glyphmill.session import materialise
 
 #: The pre-tokenizer for RE2, which has no look-ahead: a mark is set before the last blank of a run that leads a word.
@@ -225,8 +226,8 @@ def shift_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
     order = B.seeded_order(seed=3, epoch=1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    return docs(spark, sf).select("doc_id", "lang", rank.cast("long").alias("pos"), F.pmod(rank - 1, F.lit(4)).cast("long").alias("worker"))
+    rows = numbered(docs(spark, sf).select("doc_id", "lang"), "r", order, ["lang"])
+    return rows.select("doc_id", "lang", (F.col("r") + 1).cast("long").alias("pos"), F.pmod("r", F.lit(4)).cast("long").alias("worker"))
 
 
 def weighted_lang_choice(spark: SparkSession, sf: str) -> DataFrame:
