@@ -13,6 +13,7 @@ from glyphmill.operators import metrics as M
 from glyphmill.operators import sampling as R
 from glyphmill.operators import vectors as V
 from glyphmill.operators.ordering import numbered
+from glyphmill.plans.text_queries import mapped_sql, pretokens_sql
 from glyphmill.streaming.seed_stream import event_flush
 
 
@@ -306,8 +307,19 @@ _PROJECTOR = f"""WITH {_V}, h AS (SELECT id, vec, list_transform(range(0, 64), l
 g AS (SELECT id, vec, list_transform(p, lambda z: {_GELU}) AS g FROM h), y AS (SELECT id, list_transform(g, lambda a, i: a + vec[i]) AS y FROM g), c AS (SELECT id, list_transform(y, lambda a: a - list_sum(y) / 64) AS c FROM y),
 n AS (SELECT id, list_transform(c, lambda a: a / sqrt(list_sum(list_transform(c, lambda b: b * b)) / 64 + 1e-5)) AS vec FROM c) SELECT id, {_digest_sql()} FROM n"""
 
+_U4 = "greatest(('0x' || substr(md5({} || ':4'), 1, 13))::BIGINT / 4503599627370496.0, 1e-15)"
+_COVERAGE = f"""WITH i AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 10 AS logp FROM embeddings),
+r AS (SELECT id, p, row_number() OVER (PARTITION BY p ORDER BY md5(id || ':' || p || ':4'), id) - 1 AS r FROM i, (SELECT unnest([0, 1]) AS p)),
+d AS (SELECT (p * 10 + r % 10)::INT AS sample, id, 0.0::DOUBLE AS k FROM r), e AS (SELECT s::INT AS sample, id, logp FROM i, (SELECT unnest(range(20)) AS s) WHERE logp > -100000),
+a AS (SELECT * FROM d UNION ALL SELECT e.sample, e.id, -ln({_U4.format("e.id || '-' || e.sample")}) / exp(e.logp) FROM e ANTI JOIN d ON d.sample = e.sample AND d.id = e.id)
+SELECT sample, row_number() OVER (PARTITION BY sample ORDER BY k, id) - 1 AS pos, id FROM a QUALIFY pos < 100"""
+_SURFACES = f"""WITH c AS (SELECT DISTINCT pretoken FROM ({pretokens_sql(source='benchmark')})), m AS (SELECT {mapped_sql('pretoken')} AS piece, hex(encode(pretoken)) AS h FROM c)
+SELECT row_number() OVER (ORDER BY piece) AS id, array_to_string(list_transform(range(0, 7), lambda i: CASE WHEN 2 * i < length(h) THEN ('0x' || substr(h, 2 * i + 1, 2))::INT ELSE 0 END), ',') AS surface, length(h) > 14 AS truncated FROM m"""
+
 SQL = {
     "projector": _PROJECTOR,
+    "coverage": _COVERAGE,
+    "surface_matrix": _SURFACES,
     "embedding_gather": f"WITH {_V} SELECT doc_id, doc_id % 600 AS id, round(vec[1], 6) AS first FROM labels LEFT JOIN v ON v.id = doc_id % 600",
     "fallback_gather": f"WITH {_V} SELECT doc_id, doc_id % 420 AS id, round(vec[1], 6) AS first FROM labels LEFT JOIN v ON v.id = doc_id % 420",
     "special_overwrite": f"WITH {_V}, o AS (SELECT id, CASE WHEN id % 50 = 0 THEN list_transform(vec, lambda x: x * -2) ELSE vec END AS vec FROM v) SELECT id, {_digest_sql()} FROM o",
