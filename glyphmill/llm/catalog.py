@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.llm.decontam import op2_decontam
+from glyphmill.llm.decontam import OP2_SQL, op2_decontam
 from glyphmill.llm.langid import op8_langid
 from glyphmill.llm.linededup import OP4_SQL, op4_line_dedup
 from glyphmill.llm.lm_scoring import op1_lm_scoring
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontam": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
 }

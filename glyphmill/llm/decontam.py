@@ -236,3 +236,17 @@ def op2_decontam(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: the leaks found, as pairs with their containment."""
     read = spark.read.parquet
     return find_leaks(read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/benchmark.parquet")).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+
+
+#: Words of lower-cased texts in sets of five in a row (of all words, if an item has fewer), counted row by row.
+OP2_SQL = r"""
+WITH i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+n AS (SELECT item, item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+s AS (SELECT DISTINCT item, item_id, k, w[j:j + k - 1] AS s FROM (SELECT item, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM n)),
+q AS (SELECT item, count(*) AS q FROM s GROUP BY item),
+d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+e AS (SELECT doc, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM n)),
+t AS (SELECT DISTINCT doc, doc_id, k, w[j:j + k - 1] AS s FROM e),
+m AS (SELECT doc, doc_id, item, item_id, count(*) AS n FROM t JOIN s USING (k, s) GROUP BY ALL)
+SELECT doc_id, item_id, max(n / q) AS containment FROM m JOIN q USING (item) WHERE n / q >= 0.8 GROUP BY doc_id, item_id
+"""

@@ -1,8 +1,9 @@
 import re
 
+import duckdb
 import numpy as np
 
-from glyphmill.llm.decontam import find_leaks, op2_decontam, window_minima
+from glyphmill.llm.decontam import OP2_SQL, find_leaks, op2_decontam, window_minima
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +48,14 @@ def test_query_matches_brute_force(spark):
     assert got == brute(read("documents"), read("benchmark")) and got
 
 
+def test_query_matches_its_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = sorted((r.doc_id, r.item_id, r.containment) for r in op2_decontam(spark, SF).collect())
+    assert got == sorted(con.execute(OP2_SQL).fetchall()) and got
+
+
 def test_partial_copies_and_edges(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(3000)]
