@@ -57,6 +57,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(taken[s] <= target[s] for s in size) and sum(taken.values()) > 0.9 * sum(target.values())
 
 
+def test_stages_with_edges(spark, tmp_path):
+    read = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (7, "same id", "en", "a", 7), (7, "same id", "en", "a", 7), (7, "other text", None, "b", 1)]
+    docs = read.unionByName(spark.createDataFrame(odd, read.schema))
+    for c in ("size", "copies", "target", "taken", "node", "key", "line", "n", "h1", "item", "score"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string"))
+    for empty in (False, True):
+        rows = docs.limit(0) if empty else docs
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, rows, SF).write.parquet(f"{tmp_path}/{empty}{i}")
+            before, rows = rows, spark.read.parquet(f"{tmp_path}/{empty}{i}")
+            assert name == "mixing" or rows.columns == docs.columns
+            assert (rows.count() == 0) == empty and rows.count() <= before.count()
+
+
 def test_run_returns_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "copies", "taken", "target"} <= set(rows.columns) and rows.count() > 50
