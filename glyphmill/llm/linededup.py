@@ -176,7 +176,7 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document: its lines with words, how many of them go, and which (line numbers from 0)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n_lines = F.coalesce(F.regexp_count("text", F.lit(_WORDED)), F.lit(0)).cast("long")
-    found = _with_gone(docs, "doc_id", "text", NEAR_WORDS).select("doc_id", n_lines.alias("n_lines"), F.coalesce("_gm_gone", F.array().cast("array<int>")).alias("gone"))
+    found = _with_gone(docs.withColumn("n_lines", n_lines), "doc_id", "text", NEAR_WORDS).select("doc_id", "n_lines", F.coalesce("_gm_gone", F.array().cast("array<int>")).alias("gone"))
     return found.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
 
 
