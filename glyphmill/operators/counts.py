@@ -82,3 +82,8 @@ def token_prior(ids: DataFrame, vocab: DataFrame, mode: str = "reestimate") -> D
 def weighted_accuracy(rows: DataFrame, equal: Column, weight: Column) -> DataFrame:
     """sum(weight where equal) / sum(weight)."""
     return rows.agg((F.sum(F.when(equal, weight).otherwise(0)) / F.sum(weight)).alias("accuracy"))
+
+
+def segmentation_accuracy(rows: DataFrame, equal: Column, wanted: str = "wanted", weight: str = "n") -> DataFrame:
+    """The weighted accuracy over the rows that have a wanted piece; null if none has."""
+    return weighted_accuracy(rows.where(F.size(wanted) > 0), equal, F.col(weight))

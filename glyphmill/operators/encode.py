@@ -1,4 +1,4 @@
-"""Encoding with a vocabulary: best and n-best segmentations, surface forms, and unigram fitting.
+"""Encoding with a vocabulary: best, n-best and longest-match segmentations, surface forms, and unigram training.
 
 Segmentation is a dynamic programme, which Spark's expressions don't have; it runs in Arrow batches over distinct
 pre-tokens, whose number grows far slower than the corpus, and joins back.
@@ -6,6 +6,7 @@ pre-tokens, whose number grows far slower than the corpus, and joins back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,23 @@ def n_best(counts: DataFrame, vocab: dict[str, float], n: int, name: str = "pret
     return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("rank", T.LongType()), _PIECES]))
 
 
+def longest_matches(counts: DataFrame, pieces: set[str], name: str = "pretoken") -> DataFrame:
+    """Adds pieces, the greedy longest match of each distinct pre-token."""
+    held = counts.sparkSession.sparkContext.broadcast((pieces, max(map(len, pieces), default=1)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, longest = held.value
+        for frame in frames:
+            yield frame.assign(pieces=[longest_match(t, known, longest) for t in frame[name]])
+
+    return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
+
+
+def rivals(encodings: DataFrame, wanted: str = "wanted") -> DataFrame:
+    """Encodings that aren't the wanted one."""
+    return encodings.where(F.col("pieces") != F.col(wanted))
+
+
 def byte_surfaces(vocab: DataFrame, maxlen: int, fill: int = 0) -> DataFrame:
     """(id, surface, truncated): byte ids of each byte-level piece, cut or filled to maxlen; a special piece has its own
     id first."""
@@ -117,28 +135,6 @@ def identity_surfaces(vocab: DataFrame) -> DataFrame:
     return vocab.select("id", F.array("id").alias("surface"))
 
 
-def fit_unigram(target: np.ndarray, rivals: np.ndarray, owner: np.ndarray, weight: np.ndarray, start: np.ndarray, margin: float = 0.1, strength: float = 1e-3, rounds: int = 500, rate: float = 0.5) -> np.ndarray:
-    """Scores that keep each pre-token's wanted segmentation ahead of its rivals.
-
-    Minimises the weighted hinge losses plus strength x the L1 distance to the start by sub-gradient steps; the best
-    scores met are returned. target: counts of pieces in each pre-token's segmentation, rivals: the same for each
-    rival, owner: the rival's pre-token.
-    """
-    diff = rivals - target[owner]
-    scores, best, least = start.copy(), start.copy(), np.inf
-    for t in range(rounds):
-        gap = margin + diff @ scores
-        loss = float((weight[owner] * np.maximum(gap, 0)).sum() + strength * np.abs(scores - start).sum())
-        if loss < least:
-            best, least = scores.copy(), loss
-        grad = diff.T @ (weight[owner] * (gap > 0)) + strength * np.sign(scores - start)
-        size = np.abs(grad).max()
-        if size == 0:
-            break
-        scores = scores - rate / np.sqrt(t + 1) * grad / size
-    return best
-
-
 def train_unigram(counts: DataFrame, seeds: dict[str, float], size: int, rounds: int = 4, shrink: float = 0.75) -> dict[str, float]:
     """A unigram vocabulary by expectation and maximisation over distinct pre-tokens (pretoken, n), pruned to ``size``.
 
@@ -176,21 +172,25 @@ def train_unigram(counts: DataFrame, seeds: dict[str, float], size: int, rounds:
     return vocab
 
 
+def _log_sum(x: float, y: float) -> float:
+    high, low = (x, y) if x > y else (y, x)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def expected_counts(text: str, scores: dict[str, float], longest: int) -> dict[str, float]:
     """Expected occurrences of pieces over all segmentations of a text; none if there's no segmentation."""
     n = len(text)
-    a = np.full(n + 1, -np.inf)
-    a[0] = 0.0
     edges = [(i, i + k, text[i : i + k], scores[text[i : i + k]]) for i in range(n) for k in range(1, min(longest, n - i) + 1) if text[i : i + k] in scores]
-    for i, j, _, s in sorted(edges, key=lambda e: e[1]):
-        a[j] = np.logaddexp(a[j], a[i] + s)
-    if not np.isfinite(a[n]):
+    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i, j, _, s in edges:
+        if ahead[i] > -math.inf:
+            ahead[j] = _log_sum(ahead[j], ahead[i] + s)
+    if ahead[n] == -math.inf:
         return {}
-    b = np.full(n + 1, -np.inf)
-    b[n] = 0.0
-    for i, j, _, s in sorted(edges, key=lambda e: -e[0]):
-        b[i] = np.logaddexp(b[i], b[j] + s)
+    for i, j, _, s in reversed(edges):
+        if behind[j] > -math.inf:
+            behind[i] = _log_sum(behind[i], behind[j] + s)
     out: dict[str, float] = {}
     for i, j, piece, s in edges:
-        out[piece] = out.get(piece, 0.0) + float(np.exp(a[i] + s + b[j] - a[n]))
+        out[piece] = out.get(piece, 0.0) + math.exp(ahead[i] + s + behind[j] - ahead[n])
     return out

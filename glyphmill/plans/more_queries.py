@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +11,6 @@ from pyspark.sql.window import Window
 from glyphmill.functions import text as T
 from glyphmill.operators import batching as B
 from glyphmill.operators import counts as C
-from glyphmill.operators import encode as E
 from glyphmill.operators import metrics as M
 from glyphmill.operators import sampling as R
 from glyphmill.operators import vectors as V
@@ -140,66 +138,11 @@ def overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count("source_id").alias("n_overlap"))
 
 
-def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, float]]:
-    counts = C.pretoken_counts(table(spark, sf, "benchmark")).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    top = C.substrings(counts, 5).orderBy(F.desc("n"), "piece").limit(300).collect()  # a vocabulary of a stated size
-    total = sum(r.n for r in top)
-    return counts, {c: -20.0 for c in T.byte_alphabet().values()} | {r.piece: math.log(r.n / total) for r in top}
-
-
-def segmentation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """The share of pre-tokens, by count, that the best segmentation cuts like the longest match does."""
-    counts, scores = _scores(spark, sf)
-    longest, pieces = max(map(len, scores)), set(scores)
-
-    def run(frames):
-        for f in frames:
-            yield f.assign(other=[" ".join(E.longest_match(t, pieces, longest)) for t in f["pretoken"]])
-
-    both = E.encode(counts, scores).select("pretoken", "n", F.array_join("pieces", " ").alias("best")).mapInPandas(run, "pretoken string, n long, best string, other string")
-    return C.weighted_accuracy(both, F.col("best") == F.col("other"), F.col("n"))
-
-
-def fitted_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Unigram scores fitted so that the longest match beats the best of the start scores, on the 200 top pre-tokens."""
-    counts, scores = _scores(spark, sf)
-    rows = C.top_k(counts, 200).collect()
-    names = sorted(scores)
-    at = {p: i for i, p in enumerate(names)}
-    longest, pieces = max(map(len, scores)), set(scores)
-    target, rivals, owner = np.zeros((len(rows), len(names))), [], []
-    for k, r in enumerate(rows):
-        wanted = E.longest_match(r.pretoken, pieces, longest)
-        for p in wanted:
-            target[k, at[p]] += 1
-        for other in E.n_best_segmentations(r.pretoken, scores, longest, 4):
-            if other != wanted:
-                row = np.zeros(len(names))
-                for p in other:
-                    row[at[p]] += 1
-                rivals.append(row)
-                owner.append(k)
-    start = np.array([scores[p] for p in names])
-    weight = np.array([r.n for r in rows], float)
-    fitted = E.fit_unigram(target, np.array(rivals).reshape(len(rivals), len(names)), np.array(owner, int), weight / weight.mean(), start, rounds=200)
-    return spark.createDataFrame([(p, float(s), float(f)) for p, s, f in zip(names, start, fitted, strict=True)], "piece string, start double, fitted double")
-
-
-def trained_unigram(spark: SparkSession, sf: str) -> DataFrame:
-    """A unigram vocabulary of 200 pieces trained on the benchmark's pre-tokens."""
-    counts, scores = _scores(spark, sf)
-    used = {r.c for r in counts.select(F.explode(F.split("pretoken", "")).alias("c")).distinct().collect()}  # of 256 byte characters
-    seeds = {p: s for p, s in scores.items() if len(p) > 1 or p in used}
-    vocab = E.train_unigram(counts, seeds, 200, rounds=2)
-    return spark.createDataFrame(sorted(vocab.items()), "piece string, logp double")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         prediction_lines, tag_lines, argmax_dimension, parameter_paths, parameter_count, masked_tokens, pool_choice, sequence_counts, mean_one_weights, concat_lists,
-        gather_pieces, scored_vocab, remapped_ids, softmax_kl, byte_lengths, worker_stride, marker_cleanup, overlap_counts, segmentation_accuracy, fitted_scores,
-        trained_unigram,
+        gather_pieces, scored_vocab, remapped_ids, softmax_kl, byte_lengths, worker_stride, marker_cleanup, overlap_counts,
     )
 }
 

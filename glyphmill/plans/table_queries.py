@@ -234,26 +234,6 @@ def equal_batches(spark: SparkSession, sf: str) -> DataFrame:
     return R.equal_batches(_vectors(spark, sf).select("id"), 64, 5).select(F.col("batch").cast("long").alias("batch"), "pos", "id", "padding")
 
 
-def _piece_scores(spark: SparkSession, sf: str) -> dict[str, float]:
-    """Scores of the 400 most frequent short substrings and of all byte characters: a table of a stated size."""
-    counts = C.pretoken_counts(table(spark, sf, "benchmark")).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    top = C.substrings(counts, 6).orderBy(F.desc("n"), "piece").limit(400).collect()
-    total = sum(r.n for r in top)
-    import math
-
-    return {c: -20.0 for c in T.byte_alphabet().values()} | {r.piece: math.log(r.n / total) for r in top}
-
-
-def viterbi_encode(spark: SparkSession, sf: str) -> DataFrame:
-    counts = C.pretoken_counts(table(spark, sf, "documents")).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    return E.encode(counts, _piece_scores(spark, sf)).select("pretoken", "n", F.array_join("pieces", " ").alias("pieces"))
-
-
-def nbest(spark: SparkSession, sf: str) -> DataFrame:
-    counts = C.pretoken_counts(table(spark, sf, "benchmark")).select(T.to_byte_level(F.col("pretoken")).alias("pretoken"), "n")
-    return E.n_best(counts, _piece_scores(spark, sf), 4).select("pretoken", "rank", F.array_join("pieces", " ").alias("pieces"))
-
-
 def surface_matrix(spark: SparkSession, sf: str) -> DataFrame:
     counts = C.pretoken_counts(table(spark, sf, "benchmark"))
     vocab = counts.select(T.to_byte_level(F.col("pretoken")).alias("piece"), F.lit(False).alias("is_special")).withColumn("id", F.row_number().over(Window.orderBy("piece")))
@@ -267,7 +247,7 @@ QUERIES = {
         embedding_gather, fallback_gather, special_overwrite, concat_split, piece_mean, lexical_no, lexical_fvt, lexical_bfvt, delta_merge, rescale, column_moments,
         cosine_huber, lexical_losses, similar_transfer, projector, metrics_by_lang, metrics_known_langs, loss_bpb, mlm_metrics, eval_metrics, label_map,
         binary_accuracy, batch_means, bio_labels, span_f1, lr_schedule, log_flush, event_windows, hinge_loss, id_remap, padded_lengths, coverage, equal_batches,
-        viterbi_encode, nbest, surface_matrix,
+        surface_matrix,
     )
 }
 

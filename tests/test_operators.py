@@ -12,6 +12,7 @@ from glyphmill.operators import sampling as R
 from glyphmill.operators import seeds as S
 from glyphmill.operators import vectors as V
 from glyphmill.operators import vocab as W
+from glyphmill.operators.fitting import fit_unigram
 
 
 def test_substring_prior(spark):
@@ -134,11 +135,38 @@ def test_segmentation_matches_all_splits():
     assert E.best_segmentation("azb", scores, 3) == ["a", "z", "b"] and E.longest_match("abac", {"ab", "aba"}, 3) == ["aba", "c"]
 
 
-def test_unigram_fit_and_training(spark):
+def test_unigram_fit_meets_known_optima():
     target, rivals = np.array([[1.0, 0, 0]]), np.array([[0, 1.0, 1.0]])
     start = np.array([-2.0, -0.5, -0.5])
-    fitted = E.fit_unigram(target, rivals, np.array([0]), np.array([2.0]), start, strength=1e-3)
-    assert fitted[1] + fitted[2] - fitted[0] <= -0.05
+    for norm, optimum in (("l1", 1.1e-3), ("linf", 1.1e-3 / 3), ("none", 0.0)):
+        fit = fit_unigram(target, rivals, np.array([0]), np.array([2.0]), start, norm=norm)
+        assert fit.scores[1] + fit.scores[2] - fit.scores[0] <= -0.1 + 1e-6
+        assert math.isclose(fit.objective, optimum, rel_tol=1e-3, abs_tol=1e-9) and fit.bound <= optimum + 1e-12
+    dear = fit_unigram(target, rivals, np.array([0]), np.array([2.0]), start, strength=10.0)
+    assert np.array_equal(dear.scores, start) and math.isclose(dear.objective, 2.2)
+    alone = fit_unigram(target, rivals[:0], np.array([], int), np.array([2.0]), start)
+    assert np.array_equal(alone.scores, start) and alone.objective == 0.0
+    with pytest.raises(ValueError, match="norm"):
+        fit_unigram(target, rivals, np.array([0]), np.array([2.0]), start, norm="l2")
+
+
+def test_unigram_fit_reaches_its_bound():
+    random = np.random.default_rng(0)
+    for norm in ("l1", "linf"):
+        target, rivals = random.integers(0, 3, (30, 20)), random.integers(0, 3, (80, 20))
+        owner, weight, start = random.integers(0, 30, 80), random.exponential(1, 30), -random.exponential(4, 20)
+        fit = fit_unigram(target, rivals, owner, weight, start, strength=0.1, norm=norm)
+        away = fit.scores - start
+        loss = (weight[owner] * np.maximum(0.1 + (rivals - target[owner]) @ fit.scores, 0)).sum()
+        assert math.isclose(fit.objective, loss + 0.1 * (np.abs(away).sum() if norm == "l1" else np.abs(away).max()), rel_tol=1e-9)
+        assert 0 <= fit.objective - fit.bound <= 1e-4 * fit.objective
+        for _ in range(200):
+            other = fit.scores + random.normal(0, 0.1, 20)
+            loss = (weight[owner] * np.maximum(0.1 + (rivals - target[owner]) @ other, 0)).sum()
+            assert loss + 0.1 * (np.abs(other - start).sum() if norm == "l1" else np.abs(other - start).max()) >= fit.bound
+
+
+def test_unigram_training(spark):
     counts = spark.createDataFrame([("abab", 10), ("ab", 5), ("ba", 1)], "pretoken string, n long")
     vocab = E.train_unigram(counts, {p: -2.0 for p in ("a", "b", "ab", "ba", "bab", "aba")}, 3, rounds=2)
     assert set(vocab) == {"a", "b", "ab"} and vocab["ab"] > vocab["b"]
