@@ -105,3 +105,14 @@ def next_token_pairs(ids: Column) -> Column:
 def head_texts(rows: DataFrame, n: int, by: str = "lang", order: str = "doc_id") -> DataFrame:
     """The first n rows of each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+
+
+def restarting(rows: DataFrame, n: int, by: str = "lang", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """(by, pos, epoch, id): the first n rows of each group's endless stream, which starts anew with a new shuffle when it
+    is exhausted."""
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
+    each = rows.select(by, id_col).join(sizes, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    each = each.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(n / F.col("_size")).cast("int") - 1)))
+    order = [F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.col("epoch").cast("string"))), F.col(id_col)]
+    placed = numbered(each, "_r", order, [by, "epoch"]).withColumn("pos", F.col("epoch") * F.col("_size") + F.col("_r"))
+    return placed.where(F.col("pos") < n).select(by, "pos", "epoch", id_col)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import pretokens
+from glyphmill.operators.batching import seeded_order
+from glyphmill.operators.ordering import numbered
 from glyphmill.session import spread
 
 
@@ -87,3 +89,12 @@ def weighted_accuracy(rows: DataFrame, equal: Column, weight: Column) -> DataFra
 def segmentation_accuracy(rows: DataFrame, equal: Column, wanted: str = "wanted", weight: str = "n") -> DataFrame:
     """The weighted accuracy over the rows that have a wanted piece; null if none has."""
     return weighted_accuracy(rows.where(F.size(wanted) > 0), equal, F.col(weight))
+
+
+def language_vocabularies(docs: DataFrame, k: int, capped: list[str], cap: int, seed: int = 0, id_col: str = "doc_id", split=pretokens) -> DataFrame:
+    """(lang, pretoken, n, rank): the top k pre-tokens of each language; a language without spaces (``capped``) is counted
+    over a seeded sample of ``cap`` documents."""
+    some = docs.where(F.col("lang").isin(capped))
+    rest = docs.where(~F.coalesce(F.col("lang").isin(capped), F.lit(False)))
+    sample = numbered(some, "_r", seeded_order(id_col, seed), ["lang"]).where(F.col("_r") < cap).drop("_r")
+    return top_k(pretoken_counts(rest.unionByName(sample), split, by=("lang",)), k, by=("lang",))

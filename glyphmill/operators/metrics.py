@@ -132,3 +132,13 @@ def label_ids(rows: DataFrame, label: str) -> DataFrame:
 
 def argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)) - 1
+
+
+def first_wrong(losses: DataFrame, n: int = 50, order: str = "rank") -> DataFrame:
+    """The first n rows with a positive loss."""
+    return losses.where("loss > 0").orderBy(order).limit(n)
+
+
+def mean_change(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """The mean absolute change of a score."""
+    return rows.agg(F.avg(F.abs(F.col(after) - F.col(before))).alias("change"))

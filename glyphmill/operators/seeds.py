@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,23 +15,24 @@ from glyphmill.session import spread
 FLOOR = -100000.0
 
 
-def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str = "batch_id", text_col: str = "text") -> DataFrame:
-    """(batch, piece, score): byte-level substrings from every stride-th start of each pre-token, of 1 to max_length - 1
+def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str | Sequence[str] = "batch_id", text_col: str = "text") -> DataFrame:
+    """(by.., piece, score): byte-level substrings from every stride-th start of each pre-token, of 1 to max_length - 1
     bytes; each occurrence scores the UTF-8 length of its printable form.
 
     Starts are the byte offsets of the pre-token's characters counted from the end of the first one; the first
     pre-token of a text, which gets a space in front, has one more start at 0. Pre-tokens are counted before they're
     cut up, so a frequent one is cut once for each batch.
     """
-    each = texts.select(by, F.posexplode(pretokens(F.concat(F.lit(" "), F.col(text_col)), letters_only=True)).alias("at", "p"))
-    counted = spread(each.groupBy(by, "p", (F.col("at") == 0).alias("first")).agg(F.count("*").alias("n")), "p")
+    by = [by] if isinstance(by, str) else list(by)
+    each = texts.select(*by, F.posexplode(pretokens(F.concat(F.lit(" "), F.col(text_col)), letters_only=True)).alias("at", "p"))
+    counted = spread(each.groupBy(*by, "p", (F.col("at") == 0).alias("first")).agg(F.count("*").alias("n")), "p")
     starts = F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda j: F.octet_length(F.substring(F.col("p"), F.lit(2), j)))
     starts = F.when(F.col("first"), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
     strided = F.filter(starts, lambda _, i: i % stride == 0)
-    cut = counted.select(by, "n", to_byte_level(F.col("p")).alias("m"), F.explode(strided).alias("start")).where("start < length(m)")
+    cut = counted.select(*by, "n", to_byte_level(F.col("p")).alias("m"), F.explode(strided).alias("start")).where("start < length(m)")
     room = F.least(F.lit(max_length - 1), F.length("m") - F.col("start"))
-    pieces = cut.select(by, "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("m"), F.col("start") + 1, k))).alias("piece"))
-    return pieces.groupBy(by, "piece").agg(F.sum(F.col("n") * F.octet_length("piece")).cast("long").alias("score"))
+    pieces = cut.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("m"), F.col("start") + 1, k))).alias("piece"))
+    return pieces.groupBy(*by, "piece").agg(F.sum(F.col("n") * F.octet_length("piece")).cast("long").alias("score"))
 
 
 def window_scores(scores: DataFrame, last: int, by: str = "batch_id") -> DataFrame:
@@ -41,6 +44,15 @@ def window_scores(scores: DataFrame, last: int, by: str = "batch_id") -> DataFra
     return kept.groupBy("window_id", "piece").agg(F.sum("score").alias("score"))
 
 
+def recent_scores(scores: DataFrame, last: int, keys: Sequence[str], upto: int | None = None, by: str = "batch_id") -> DataFrame:
+    """(keys.., piece, score): for each group the sums over the ``last`` batches it occurs in, up to a batch; a group that is
+    rare reaches further back."""
+    held = scores if upto is None else scores.where(F.col(by) <= upto)
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by)))
+    batches = held.select(*keys, by).distinct().withColumn("_age", newest).where(F.col("_age") <= last).drop("_age")
+    return held.join(batches, [*keys, by], "left_semi").groupBy(*keys, "piece").agg(F.sum("score").alias("score"))
+
+
 def blank_inventory(spark: SparkSession, max_length: int = 16) -> DataFrame:
     """(piece): runs of a blank up to max_length - 1 long after any first blank."""
     of = spark.createDataFrame([(c,) for c in BLANKS], "c string")

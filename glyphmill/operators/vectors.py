@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphmill.operators.vocab import same_vocab
+
 EPS = 1e-8
 
 
@@ -198,3 +202,8 @@ def rename_layers(path: Column) -> Column:
 
 def parameter_count(params: DataFrame) -> DataFrame:
     return params.agg(F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)).alias("n"))
+
+
+def transfer_unless_equal(target: DataFrame, source: DataFrame, table: DataFrame, transfer: Callable[[], DataFrame]) -> DataFrame:
+    """The table as it is where two vocabularies (id, piece) are equal, else what ``transfer`` makes."""
+    return table if same_vocab(target, source) else transfer()

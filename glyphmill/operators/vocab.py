@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import byte_alphabet, byte_fallback, clean_marker, placeholder
+from glyphmill.operators.counts import substring_prior
 
 
 def missing_alphabet(vocab: DataFrame) -> DataFrame:
@@ -157,3 +158,17 @@ def remap(ids: Column, mapping: dict[int, int]) -> Column:
         return ids
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return F.transform(ids, lambda x: F.coalesce(F.element_at(table, x), x))
+
+
+def match_specials(target: DataFrame, source: DataFrame) -> DataFrame:
+    """(name, piece, source_piece, id, source_id): special pieces (name, piece, id) of two vocabularies that stand for the
+    same thing, whatever their texts; a name that the source lacks has nulls."""
+    other = source.select("name", F.col("piece").alias("source_piece"), F.col("id").alias("source_id"))
+    return target.select("name", "piece", "id").join(other, "name", "left")
+
+
+def seed_unigram(vocab: DataFrame, counts: DataFrame, **markers) -> DataFrame:
+    """(id, piece, is_special, score): a vocabulary (id, piece, is_special) in byte-level form, scored by the substring
+    prior over counts of byte-level pre-tokens (pretoken, n). ``markers`` go to to_byte_vocab."""
+    byte_level = to_byte_vocab(vocab.withColumn("score", F.lit(0.0)), **markers)
+    return substring_prior(counts, byte_level).select("id", "piece", "is_special", F.col("logp").alias("score"))

@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphmill-{name}-{uuid.uuid4().hex}"
 
 
 def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The French and German texts of a corpus that is stored by language."""
-    path = _folder(spark, "corpus")
+    path = folder(spark, "corpus")
     IO.write_corpus(table(spark, sf, "documents"), path)
     return IO.read_corpus(spark, path, ["fr", "de"]).select("lang", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
@@ -43,7 +43,7 @@ def corpus_head(spark: SparkSession, sf: str) -> DataFrame:
 
 def registry_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A registry of languages and their pages without its placeholder, within a list."""
-    path = _folder(spark, "registry")
+    path = folder(spark, "registry")
     sizes = table(spark, sf, "documents").groupBy(F.col("lang").alias("lang_code")).agg(F.count("*").alias("n_pages"))
     sizes.unionByName(spark.createDataFrame([("-", 7)], "lang_code string, n_pages long")).coalesce(1).write.csv(path, header=True)
     return IO.read_registry(spark, path, ["en", "fr", "de", "-"])
@@ -51,7 +51,7 @@ def registry_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def language_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Codes with a weight for every other nation."""
-    path = _folder(spark, "languages")
+    path = folder(spark, "languages")
     weight = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("double"))
     table(spark, sf, "nation").select("n_name", weight.alias("weight")).write.csv(path)
     return IO.read_languages(spark, path)
@@ -62,7 +62,7 @@ def split_files(spark: SparkSession, sf: str) -> DataFrame:
     schema = Y.StructType([Y.StructField("c_custkey", Y.LongType()), Y.StructField("c_name", Y.StringType())])
     rows, parts = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name"), []
     for kind in ("csv", "json"):
-        files = {n: f"{_folder(spark, n)}.{kind}" for n in ("train", "validation")}
+        files = {n: f"{folder(spark, n)}.{kind}" for n in ("train", "validation")}
         for at, path in enumerate(files.values()):
             rows.where(F.col("c_custkey") % 2 == at).write.options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)
         parts += [df.select(F.lit(kind).alias("kind"), F.lit(n).alias("part"), "*") for n, df in IO.read_splits(spark, files, schema).items()]
@@ -71,13 +71,13 @@ def split_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A text sink's lines."""
-    path = _folder(spark, "text")
+    path = folder(spark, "text")
     IO.write_text(table(spark, sf, "benchmark"), path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 def prior_store(spark: SparkSession, sf: str) -> DataFrame:
-    path, p = _folder(spark, "priors"), table(spark, sf, "part")
+    path, p = folder(spark, "priors"), table(spark, sf, "part")
     for kind, logp in (("substring", -F.col("p_size").cast("double")), ("token", F.col("p_size") / 2.0)):
         IO.write_prior(p.select(F.col("p_partkey").alias("id"), logp.alias("logp")), path, kind)
     return spark.read.parquet(path).select("kind", "id", "logp")
@@ -87,13 +87,13 @@ def parameter_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Three shard files, of which one is named twice and a later one replaces what an earlier one has."""
     rows, paths = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_acctbal").alias("value")), []
     for i in range(3):
-        paths.append(_folder(spark, "shard"))
+        paths.append(folder(spark, "shard"))
         rows.where(F.col("path") % 4 != i).withColumn("value", F.col("value") + i).write.parquet(paths[-1])
     return IO.read_parameters(spark, [paths[0], *paths, paths[1]])
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "metrics")
+    path = folder(spark, "metrics")
     e = table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("lang"), F.lit("value").alias("metric"), "value")
     for at in range(2):
         IO.append_metrics(e.where(F.col("step") % 2 == at), path)

@@ -176,7 +176,7 @@ f AS (SELECT batch_id, m, n, CASE WHEN first THEN list_concat([0], o) ELSE o END
 g AS (SELECT batch_id, m, n, unnest(list_filter(o, lambda v, i: (i - 1) % 4 = 0)) AS start FROM f),
 h AS (SELECT batch_id, m, n, start, unnest(range(1, least(15, length(m) - start) + 1)) AS k FROM g WHERE start < length(m)),
 q AS (SELECT batch_id, substr(m, start::BIGINT + 1, k::BIGINT) AS piece, n FROM h),
-scores AS (SELECT batch_id::INT AS batch_id, piece, sum(n * strlen(piece))::BIGINT AS score FROM q GROUP BY ALL)"""
+scores AS (SELECT batch_id, piece, sum(n * strlen(piece))::BIGINT AS score FROM q GROUP BY ALL)"""
 
 
 def lang_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -306,8 +306,8 @@ m AS (SELECT id, {mapped_sql("CASE WHEN id % 3 = 0 THEN w ELSE ' ' || w END")} A
 v AS (SELECT id, piece, -id::DOUBLE AS score, false AS is_special FROM m UNION ALL SELECT * FROM (VALUES (0, '[CLS]', 0.0::DOUBLE, true), (1, '[SEP]', -1.0::DOUBLE, true))),
 x AS (SELECT unnest(string_split('{_TABLE.replace(chr(39), chr(39) * 2)}', '')) AS piece EXCEPT SELECT piece FROM v)
 SELECT * FROM v UNION ALL SELECT 151 + row_number() OVER (ORDER BY piece), piece, -100000.0::DOUBLE, false FROM x""",
-    "seed_scores": _seed_sql("doc_id // 256") + " SELECT * FROM scores",
-    "seed_window": _seed_sql("doc_id % 4") + ", w AS (SELECT unnest(range(batch_id, batch_id + 3)) AS window_id, piece, score FROM scores) SELECT window_id, piece, sum(score)::BIGINT AS score FROM w WHERE window_id BETWEEN 2 AND (SELECT max(batch_id) FROM scores) GROUP BY ALL",
+    "seed_scores": _seed_sql("(doc_id // 256)::INT") + " SELECT * FROM scores",
+    "seed_window": _seed_sql("(doc_id % 4)::INT") + ", w AS (SELECT unnest(range(batch_id, batch_id + 3)) AS window_id, piece, score FROM scores) SELECT window_id, piece, sum(score)::BIGINT AS score FROM w WHERE window_id BETWEEN 2 AND (SELECT max(batch_id) FROM scores) GROUP BY ALL",
     "seed_topk": _seed_sql("0") + f""", tot AS (SELECT sum(score) AS s, min(score) AS m FROM scores),
 best AS (SELECT piece, score FROM scores WHERE length(piece) > 1 AND length(regexp_replace(piece, '[^ĠĊĉ]', '', 'g')) <= 1 ORDER BY score DESC, piece LIMIT 1000),
 b AS (SELECT unnest(['Ġ', 'Ċ', 'ĉ']) AS c)

@@ -54,13 +54,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._glyphmill_shipped = True
 
 
-def _hadoop_path(spark: SparkSession, path: str) -> tuple:
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete_table(spark: SparkSession, path: str) -> None:
-    target, files = _hadoop_path(spark, path)
+    target, files = hadoop_path(spark, path)
     files.delete(target, True)
 
 
@@ -103,7 +103,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     if _scratch:
         _scratch[-1].append(path)
-    target, files = _hadoop_path(spark, path)
+    target, files = hadoop_path(spark, path)
     files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 

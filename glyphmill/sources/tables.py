@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from glyphmill.session import hadoop_path
 
 CORPUS = T.StructType([T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
 REGISTRY = T.StructType([T.StructField("lang_code", T.StringType()), T.StructField("n_pages", T.LongType())])
@@ -85,3 +90,52 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 def stream_corpus(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """A streaming scan of a folder of Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def rename_content(rows: DataFrame) -> DataFrame:
+    """Rows of a code corpus, whose text stands in ``content``."""
+    return rows.withColumnRenamed("content", "text")
+
+
+def lookup_pages(langs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds n_pages of each language (lang) from a registry (lang_code, n_pages); reading a language that the registry
+    lacks raises."""
+    found = langs.join(registry.select(F.col("lang_code").alias("lang"), F.col("n_pages").alias("_n")), "lang", "left")
+    missing = F.raise_error(F.concat(F.lit("no registry entry for "), F.coalesce("lang", F.lit("null"))))
+    return found.withColumn("n_pages", F.coalesce("_n", missing.cast("long"))).drop("_n")
+
+
+def write_saved(rows: DataFrame, path: str, split: str | None = None) -> None:
+    """A saved folder, or one split of a saved dict of splits."""
+    rows.write.mode("overwrite").parquet(f"{path}/{split}" if split else path)
+
+
+def read_saved(spark: SparkSession, path: str, schema: T.StructType | None = None, split: str = "train") -> DataFrame:
+    """A saved folder, or the split of a dict of splits. Files are Parquet, or Arrow (streams or files, under 2 GB each, as
+    one task reads a file whole) where a schema is given."""
+    target, files = hadoop_path(spark, f"{path}/{split}")
+    path = f"{path}/{split}" if files.exists(target) else path
+    if schema is None:
+        return spark.read.parquet(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+    return arrow_rows(raw, schema)
+
+
+def arrow_rows(contents: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of Arrow streams or files, one in each value of ``content``; columns that the schema lacks are left out."""
+    wanted = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            for content in held.column("content"):
+                source = pa.BufferReader(content.as_buffer())
+                whole = pa.ipc.open_file(source) if content.as_buffer()[:6].to_pybytes() == b"ARROW1" else pa.ipc.open_stream(source)
+                yield from whole.read_all().select(wanted.names).cast(wanted).to_batches(max_chunksize=10_000)
+
+    return contents.mapInArrow(run, schema)
+
+
+def write_batches(rows: DataFrame, path: str, size: int, id_col: str = "id") -> None:
+    """Rows in batches of ``size`` ids, a partition for each; a batch that is written again is replaced, others stay."""
+    batch = F.floor(F.col(id_col) / size).cast("long")
+    rows.withColumn("batch", batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,3 +65,33 @@ def test_event_stream_equals_the_table(spark, tmp_path):
     query.awaitTermination()
     shown = lambda df: sorted(tuple(r) for r in df.select(F.date_format("start", "yyyy-MM-dd"), "event_type", "n", F.round("value", 4)).collect())
     assert shown(spark.table("flushed")) == shown(event_flush(events, "1 day"))
+
+
+def test_saved_folders_and_registry_lookup(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    S.write_saved(rows, f"{tmp_path}/plain")
+    S.write_saved(rows.where("id = 1"), f"{tmp_path}/dict", "train")
+    assert S.read_saved(spark, f"{tmp_path}/plain").count() == 2 and S.read_saved(spark, f"{tmp_path}/dict").first().text == "a"
+    data = pa.table({"other": [0, 0], "text": pa.array(["x", None], pa.large_string())})
+    (tmp_path / "arrow/train").mkdir(parents=True)
+    for name, make in (("1.arrow", pa.ipc.new_stream), ("2.arrow", pa.ipc.new_file)):
+        with make(f"{tmp_path}/arrow/train/{name}", data.schema) as out:
+            out.write_table(data)
+    schema = T.StructType([T.StructField("text", T.StringType())])
+    assert sorted(str(r.text) for r in S.read_saved(spark, f"{tmp_path}/arrow", schema).collect()) == ["None", "None", "x", "x"]
+    registry = spark.createDataFrame([("en", 5)], "lang_code string, n_pages long")
+    langs = spark.createDataFrame([("en",), ("de",)], "lang string")
+    assert S.lookup_pages(langs.where("lang = 'en'"), registry).first().n_pages == 5
+    with pytest.raises(Exception, match="no registry entry for de"):
+        S.lookup_pages(langs, registry).collect()
+
+
+def test_windows_of_groups_reach_back(spark, tmp_path):
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+    window = SeedWindow(spark, f"{tmp_path}/state", 2, keys=("lang",))
+    for i, rows in enumerate(([("aa", "de"), ("xx", "en")], [("bb", "de")], [("cc", "de")])):
+        window.push(spark.createDataFrame(rows, schema), i)
+    pieces = {(r.lang, r.piece) for r in window.scores(2).collect()}
+    assert {("en", "Ġxx"), ("de", "Ġbb"), ("de", "Ġcc")} <= pieces and ("de", "Ġaa") not in pieces
+    peeked = {(r.lang, r.piece) for r in window.peek(spark.createDataFrame([("dd", "de")], schema), 2).collect()}
+    assert {("en", "Ġxx"), ("de", "Ġcc"), ("de", "Ġdd")} <= peeked and ("de", "Ġbb") not in peeked
