@@ -1,8 +1,12 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 
 from glyphmill.llm.arrowtext import Hasher
 from glyphmill.llm.gbdt import fit
-from glyphmill.llm.quality import FEATURES, classify, learn, op7_quality, statistics
+from glyphmill.llm.quality import _CLASSES, FEATURES, classify, learn, op7_quality, statistics
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,6 +42,31 @@ def test_statistics_of_known_texts():
     assert f["upper_share"] == 1 / 18 and f["words_per_line"] == 2.5 and f["top_word_share"] == 2 / 5
 
 
+def plain(text):
+    """The statistics of one text, word by word."""
+    w = re.findall(rb"[^\x20\x09-\x0d]+", text)
+    low, n = [x.lower() for x in w], max(len(w), 1)
+    sizes = [len(x) for x in w]
+    mean = sum(sizes) / n
+    words, pairs = Counter(low), Counter(zip(low, low[1:], strict=False))
+    wordy = set(_CLASSES["lower"] + _CLASSES["upper"] + _CLASSES["digit"] + _CLASSES["high"])
+    shares = [sum(b in members for b in text) / max(len(text), 1) for members in _CLASSES.values()]
+    return [
+        *shares, math.log1p(len(text)), math.log1p(len(w)), mean, math.sqrt(max(sum(s * s for s in sizes) / n - mean**2, 0)), math.log1p(max(sizes, default=0)),
+        len(words) / n, max(words.values(), default=0) / n, sum(a == b for a, b in zip(low, low[1:], strict=False)) / n,
+        sum(c for c in pairs.values() if c > 1) / n, sum(not wordy & set(x) for x in w) / n, sum(x[-1] in _CLASSES["symbol"] + _CLASSES["loud"] for x in w) / n,
+        len(w) / (text.count(b"\n") + 1),
+    ]
+
+
+def test_statistics_of_all_texts(spark):
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [b"", b" ", b"\n\n", "é É ç\u00a0x".encode(), b"a a a A!", b"# ## #", b"x"]
+    offs = np.cumsum([0, *map(len, texts)])
+    got = statistics(np.frombuffer(b"".join(texts), np.uint8), offs, Hasher())
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-6)
+
+
 def test_held_out_accuracy(spark):
     got = op7_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(got) > 50
