@@ -131,6 +131,16 @@ def byte_surfaces(vocab: DataFrame, maxlen: int, fill: int = 0) -> DataFrame:
     return out.select("id", cut.alias("surface"), (F.size("_x") > maxlen).alias("truncated"))
 
 
+def encoded_surfaces(vocab: DataFrame, scores: dict[str, float], ids: dict[str, int], maxlen: int, fill: int = 0, unknown: int = 0) -> DataFrame:
+    """(id, surface, truncated): ids of each piece's best segmentation by another vocabulary, cut or filled to maxlen; a
+    special piece has its own id first."""
+    table = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    found = F.transform("pieces", lambda p: F.coalesce(F.element_at(table, p), F.lit(unknown)))
+    out = encode(vocab.select("id", "piece", "is_special"), scores, "piece").select("id", F.when(F.col("is_special"), F.array("id")).otherwise(found).alias("_x"))
+    cut = F.concat(F.slice("_x", 1, maxlen), F.array_repeat(F.lit(fill), F.greatest(F.lit(maxlen) - F.size("_x"), F.lit(0))))
+    return out.select("id", cut.alias("surface"), (F.size("_x") > maxlen).alias("truncated"))
+
+
 def identity_surfaces(vocab: DataFrame) -> DataFrame:
     return vocab.select("id", F.array("id").alias("surface"))
 

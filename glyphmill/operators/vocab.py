@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from glyphmill.functions.text import byte_alphabet, byte_fallback, clean_marker, placeholder
 from glyphmill.operators.counts import substring_prior
+from glyphmill.operators.ordering import numbered
 
 
 def missing_alphabet(vocab: DataFrame) -> DataFrame:
@@ -172,3 +173,17 @@ def seed_unigram(vocab: DataFrame, counts: DataFrame, **markers) -> DataFrame:
     prior over counts of byte-level pre-tokens (pretoken, n). ``markers`` go to to_byte_vocab."""
     byte_level = to_byte_vocab(vocab.withColumn("score", F.lit(0.0)), **markers)
     return substring_prior(counts, byte_level).select("id", "piece", "is_special", F.col("logp").alias("score"))
+
+
+def dense_remap(sequences: DataFrame, seq: str = "seq_id", ids: str = "ids") -> DataFrame:
+    """(seq, ids): ids as their places among all ids in use, in order; negative ids (the ignored label) pass.
+
+    A sequence's ids are put together again by position, so a group has a sequence's length.
+    """
+    each = sequences.select(seq, F.posexplode(ids).alias("_at", "_id"))
+    used = numbered(each.where("_id >= 0").select(F.col("_id").alias("_used")).distinct(), "_new", ["_used"])
+    found = each.join(used, F.col("_id") == F.col("_used"), "left")
+    item = F.struct("_at", F.coalesce("_new", F.col("_id").cast("long")).alias("x"))
+    out = found.groupBy(seq).agg(F.array_sort(F.collect_list(item)).alias("_x")).select(seq, F.transform("_x", lambda e: e["x"]).alias(ids))
+    empty = sequences.where(F.coalesce(F.size(ids), F.lit(0)) < 1).select(seq, F.array().cast("array<bigint>").alias(ids))
+    return out.unionByName(empty)

@@ -101,6 +101,13 @@ def seed_unigram(spark: SparkSession, sf: str) -> DataFrame:
     return W.seed_unigram(vocab, counts).select(F.col("id").cast("long").alias("id"), "piece", "is_special", F.round("score", 6).alias("score"))
 
 
+def dense_remap(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids (three for each word length, -100 for words of one letter) as places among the ids in use."""
+    ids = F.transform(F.split("text", " "), lambda w, i: F.when(F.length(w) == 1, -100).otherwise(F.length(w) * 10 + i % 3))
+    out = W.dense_remap(table(spark, sf, "benchmark").select("item_id", ids.alias("ids")), "item_id")
+    return out.select("item_id", F.array_join("ids", ",").alias("ids"))
+
+
 def special_match(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.concat(F.lit("token_"), "n_nationkey").alias("name"), F.concat(F.lit("<"), "n_name", F.lit(">")).alias("piece"), F.col("n_nationkey").alias("id"))
     return W.match_specials(n, n.where("id % 3 > 0").select("name", F.lower("piece").alias("piece"), (F.col("id") + 100).alias("id")))
@@ -122,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         saved_split, arrow_split, code_contents, registry_pages, gathered_batches, identity_transfer, recent_window, restarted_stream, language_vocabularies,
-        seed_unigram, special_match, first_wrong, score_change,
+        seed_unigram, dense_remap, special_match, first_wrong, score_change,
     )
 }
 
@@ -147,6 +154,9 @@ w AS (SELECT 0 AS id, '<s>' AS piece, true AS is_special UNION ALL SELECT n_nati
 v AS (SELECT * FROM w UNION ALL SELECT (SELECT max(id) FROM w) + row_number() OVER (ORDER BY piece), piece, false FROM x),
 o AS (SELECT piece, sum(n) AS n FROM (SELECT n, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)) || list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS piece FROM c) GROUP BY piece)
 SELECT id, piece, is_special, round(CASE WHEN is_special THEN 0.0 ELSE ln((1 + coalesce(n, 0)) / sum(1 + coalesce(n, 0)) OVER ()) END, 6) AS score FROM v LEFT JOIN o USING (piece)""",
+    "dense_remap": """WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM benchmark),
+x AS (SELECT item_id, i, CASE WHEN length(w) = 1 THEN -100 ELSE length(w) * 10 + i % 3 END AS id FROM w), d AS (SELECT id, CASE WHEN id < 0 THEN id ELSE dense_rank() OVER (PARTITION BY id < 0 ORDER BY id) - 1 END AS new FROM (SELECT DISTINCT id FROM x))
+SELECT item_id, string_agg(new, ',' ORDER BY i) AS ids FROM x JOIN d USING (id) GROUP BY item_id""",
     "special_match": "SELECT 'token_' || n_nationkey AS name, '<' || n_name || '>' AS piece, n_nationkey AS id, CASE WHEN n_nationkey % 3 > 0 THEN '<' || lower(n_name) || '>' END AS source_piece, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey + 100 END AS source_id FROM nation",
     "first_wrong": "SELECT user_id AS rank, round(sum(greatest(0, 2 - value / 4)), 6) AS loss FROM events GROUP BY user_id HAVING sum(greatest(0, 2 - value / 4)) > 0 ORDER BY user_id LIMIT 50",
     "score_change": "SELECT round(avg(abs(o_orderkey % 1000 - o_totalprice)), 4) AS change FROM orders",

@@ -11,6 +11,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphmill.functions import text as T
 from glyphmill.operators import counts as C
@@ -58,6 +59,16 @@ def nbest_rivals(spark: SparkSession, sf: str) -> DataFrame:
     return E.rivals(E.n_best(wanted, scores, 4)).groupBy("pretoken").agg(F.count("*").alias("n_rivals"))
 
 
+def encoded_surfaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Surface ids, 5 at most, of the 2,000 most frequent pre-tokens as pieces of another vocabulary."""
+    counts = _counts(spark, sf)
+    scores = _scores(counts)
+    number = F.row_number().over(Window.orderBy(F.desc("n"), "pretoken"))  # of 2,000 rows
+    top = C.top_k(counts, 2000).select(number.alias("id"), F.col("pretoken").alias("piece"), F.lit(False).alias("is_special"))
+    out = E.encoded_surfaces(top, scores, {p: i for i, p in enumerate(sorted(scores))}, 5, fill=-1)
+    return out.select(F.col("id").cast("long").alias("id"), F.array_join("surface", ",").alias("surface"), "truncated")
+
+
 def segmentation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """The share of pre-tokens, by count, that the best segmentation cuts like the longest match does; blank pre-tokens
     have no wanted pieces and don't count."""
@@ -106,7 +117,7 @@ def trained_unigram(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(sorted(vocab.items()), "piece string, logp double")
 
 
-QUERIES = {f.__name__: f for f in (viterbi_encode, greedy_encode, nbest, nbest_rivals, segmentation_accuracy, fitted_scores, trained_unigram)}
+QUERIES = {f.__name__: f for f in (viterbi_encode, greedy_encode, nbest, nbest_rivals, encoded_surfaces, segmentation_accuracy, fitted_scores, trained_unigram)}
 
 _LIST = _TABLE.replace("'", "''")
 _WITH = f"""WITH RECURSIVE c AS (SELECT {mapped_sql("pretoken")} AS t, n FROM (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken)),
@@ -128,6 +139,9 @@ SQL = {
     "greedy_encode": f"{_WITH}, {_GREEDY} SELECT t AS pretoken, n, trim(g) AS pieces FROM greedy JOIN c USING (t) WHERE i > length(t)",
     "nbest": f"{_WITH}, {_NBEST} SELECT t AS pretoken, rank, array_to_string(x.p, ' ') AS pieces FROM each",
     "nbest_rivals": f"{_WITH}, {_NBEST}, {_GREEDY} SELECT t AS pretoken, count(*) AS n_rivals FROM each JOIN greedy USING (t) WHERE greedy.i > length(t) AND trim(g) <> array_to_string(x.p, ' ') GROUP BY t",
+    "encoded_surfaces": f"""{_WITH}, {_BEST}, named AS (SELECT map(list(piece), list(i)) AS ids FROM (SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS i FROM vocab)),
+ranked AS (SELECT t, row_number() OVER (ORDER BY n DESC, t) AS id FROM c QUALIFY id <= 2000), x AS (SELECT id, list_transform(string_split(trim(w[1]), ' '), lambda p: ids[p]) AS x FROM ranked JOIN best USING (t), named WHERE i = 0)
+SELECT id, array_to_string(list_concat(x[1:5], list_transform(range(len(x), 5), lambda j: -1)), ',') AS surface, len(x) > 5 AS truncated FROM x""",
     "segmentation_accuracy": f"""{_WITH}, {_BEST}, {_GREEDY} SELECT sum(n) FILTER (WHERE w[1] = g) / sum(n) AS accuracy
 FROM c JOIN best USING (t) JOIN greedy USING (t) WHERE best.i = 0 AND greedy.i > length(t) AND translate(t, 'ĠĊĉ', '') <> ''""",
 }

@@ -198,3 +198,14 @@ def test_metrics(spark):
     assert labels(False) == ["-100", "B-PER", "-100", "O", "-100"] and labels(True) == ["-100", "B-PER", "I-PER", "O", "-100"]
     rival = spark.createDataFrame([("a", 2.0, -2.0, -2.5), ("b", 2.0, -2.0, -1.5), ("c", 2.0, -2.0, None)], "pretoken string, weight double, target double, rival double")
     assert {r.pretoken: round(r.loss, 9) for r in M.hinge_losses(rival).collect()} == {"a": 0.0, "b": 1.2, "c": 0.0}
+
+
+def test_dense_remap_keeps_empty_sequences(spark):
+    rows = spark.createDataFrame([(0, [9, -100, 4]), (1, []), (2, None), (3, [4])], "seq_id int, ids array<int>")
+    assert {r.seq_id: r.ids for r in W.dense_remap(rows).collect()} == {0: [1, -100, 0], 1: [], 2: [], 3: [0]}
+
+
+def test_encoded_surfaces(spark):
+    vocab = spark.createDataFrame([(5, "<s>", True), (6, "abab", False), (7, "az", False)], "id int, piece string, is_special boolean")
+    got = E.encoded_surfaces(vocab, {"a": -2.0, "b": -2.0, "ab": -1.0}, {"a": 1, "b": 2, "ab": 3}, 2, fill=-1)
+    assert {r.id: (r.surface, r.truncated) for r in got.collect()} == {5: ([5, -1], False), 6: ([3, 3], False), 7: ([1, 0], False)}
