@@ -6,43 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Ranges that a numeric order is cut into between its least and its largest value.
-RANGES = 1024
-
-
-def _range(df: DataFrame, first: Column) -> Column:
-    """A column that rises with the order's first column: equal ranges of numbers, the first three characters of text
-    (hex digits of a hash, in a seeded order). Other types make one range."""
-    kind = df.select(first.alias("x")).schema["x"].dataType
-    if isinstance(kind, T.StringType):
-        return F.substring(first, 1, 3)
-    if isinstance(kind, T.IntegralType):
-        low, high = df.agg(F.min(first), F.max(first)).first()
-        if low is not None and low < high:
-            return F.width_bucket(first.cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(RANGES))
-    return F.lit(0)
+from glyphmill.session import materialise
 
 
 def numbered(df: DataFrame, name: str, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``name``, each row's place in its group's order, from 0; equal rows of an order number in any way.
 
-    Rows are numbered inside ranges of the order's first column, and start from the count of all rows in the ranges
-    before; what is summed in one task is a row for each range, not for each row. The null of a group and of the order's
-    first column count as values (null first).
+    Rows are dealt into ranges of (by, order) whose bounds Spark samples, so ranges are of like size for any type and any
+    outlier, and a group that holds most of the rows has many of them. Each range is sorted, its rows get consecutive
+    ids, and the table is written once; a place is the id less the first of its group in that range, plus the group's
+    rows in earlier ranges. What is summed in one task is a row for each range and group. Null counts as a value.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    part = _range(df, order[0])
-    rows = df.withColumn("_part", part)
+    keys = [*[F.col(b) for b in by], *order]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    rows = materialise(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    keys = [*by, "_part"]
-    starts = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_before")
-    local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    condition = same[0]
-    for s in same[1:]:
-        condition &= s
-    return local.join(starts, condition).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+    starts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = starts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    starts = starts.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_part"]], "_shift")
+    condition = F.lit(True)
+    for k in [*by, "_part"]:
+        condition &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(starts, condition).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)

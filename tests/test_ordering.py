@@ -34,7 +34,12 @@ def test_edges_of_row_numbers(spark):
     assert numbered(one.limit(0), "at", ["x"]).count() == 0
 
 
-def test_no_task_sorts_a_whole_table(spark):
-    df = spark.range(1000).withColumn("g", F.col("id") % 2)
-    plan = numbered(df, "at", ["id"], ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "row_number" in plan and "_part" in plan and "SinglePartition" not in plan
+def test_any_type_and_any_outlier_makes_many_ranges(spark):
+    df = spark.range(4000).select("id", (F.col("id") * 0.5).alias("x"), F.when(F.col("id") == 7, 10**15).otherwise(F.col("id")).alias("y"), (F.col("id") % 2).alias("g"))
+    for order in ("x", "y"):
+        rows = numbered(df, "at", [order], ["g"])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        assert sorted(r.at for r in rows.where("g = 1").collect()) == list(range(2000))
+        at = rows.select("at", order, "g").orderBy("g", order).collect()
+        assert [r.at for r in at] == [*range(2000), *range(2000)]
