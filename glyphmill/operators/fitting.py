@@ -1,13 +1,23 @@
 """Fitting unigram scores to wanted segmentations: a linear programme, solved with a certified distance from its optimum.
 
-The programme's size is that of a stated list of pre-tokens and a vocabulary, so it's solved on the driver.
+``fit_scores`` fits over any number of pre-tokens in passes over a table; ``fit_unigram`` is the same programme for a list
+that is small enough for the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glyphmill.session import materialise, spread
 
 
 class Fit(NamedTuple):
@@ -94,3 +104,223 @@ def fit_unigram(target: np.ndarray, rivals: np.ndarray, owner: np.ndarray, weigh
     scores = start.astype(float)
     scores[used] += best
     return Fit(scores, least, proven)
+
+
+def differences(encodings: DataFrame, ids: dict[str, int], wanted: str = "wanted", weight: str = "weight") -> DataFrame:
+    """(idx, val, weight): how often pieces stand in a rival more than in the wanted encoding, with the weights of all
+    rivals of the same difference added up, as they make the same term of the objective. The vocabulary has a stated size."""
+    held = encodings.sparkSession.sparkContext.broadcast(ids)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for good, rival, w in zip(frame[wanted], frame["pieces"], frame[weight], strict=True):
+                more = Counter(rival)
+                more.subtract(good)
+                own = sorted((held.value[p], n) for p, n in more.items() if n)
+                out.append(([i for i, _ in own], [n for _, n in own], w))
+            yield pd.DataFrame(out, columns=["idx", "val", "weight"])
+
+    each = encodings.select(wanted, "pieces", weight).mapInPandas(run, "idx array<int>, val array<int>, weight double")
+    return each.groupBy("idx", "val").agg(F.sum("weight").alias("weight"))
+
+
+def _held_rows(rows: DataFrame, start: np.ndarray, margin: float) -> RDD:
+    """Blocks (begins, idx, val, weight, gain) of the rows as arrays; gain is the margin plus the difference at the start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, val = batch.column(0), batch.column(1)
+            begins = idx.offsets.to_numpy()[:-1] - idx.offsets[0].as_py()
+            at, v = idx.flatten().to_numpy(), val.flatten().to_numpy().astype(float)
+            if len(begins):
+                gain = margin + np.add.reduceat(v * start[at], begins)
+                arrays = (begins.astype(np.int64), at.astype(np.int64), v, batch.column(2).to_numpy(), gain)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["begins", "idx", "val", "weight", "gain"])
+
+    names = ("begins", "idx", "val", "weight", "gain")
+    table = materialise(spread(rows.select("idx", "val", "weight")).mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "fit-rows")
+    kinds = (np.int64, np.int64, float, float, float)
+    return table.rdd.map(lambda r: tuple(np.frombuffer(bytes(x), k) for x, k in zip(r, kinds, strict=True)))
+
+
+#: Pieces up to which the normal equations are summed as a whole matrix; with more, they are applied in passes.
+DENSE = 2048
+
+
+def _along(block: tuple, x: np.ndarray) -> np.ndarray:
+    begins, idx, val = block[:3]
+    return np.add.reduceat(val * x[idx], begins)
+
+
+def _pull(block: tuple, y: np.ndarray, n: int) -> np.ndarray:
+    """What a number for each row amounts to on each piece."""
+    begins, idx, val = block[:3]
+    return np.bincount(idx, np.repeat(y, np.diff(begins, append=len(idx))) * val, n)
+
+
+def _begin(block: tuple, aim: float = 10.0) -> tuple:
+    """A block with, for each row, its slack, how far the slack is above the row's value, and the duals of both bounds:
+    those at which each dual times its room is ``aim`` for the scores at the start."""
+    w, gain = block[3:5]
+    root = np.sqrt((w * gain) ** 2 + 4 * aim * aim)
+    s, r = (root + w * gain + 2 * aim) / (2 * w), (root - w * gain + 2 * aim) / (2 * w)
+    return (*block, s, r, aim / r, aim / s)
+
+
+def _moves(block: tuple, dx: np.ndarray, aim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How slacks, their distances and duals move along with the scores, so that each dual times its bound's room is ``aim``."""
+    s, r, a, b = block[5:]
+    e1, e2, both, dz = aim - a * r, aim - b * s, b * r + s * a, _along(block, dx)
+    ds = (r * e2 + s * e1 + s * a * dz) / both
+    return ds, ds - dz, (b * e1 - a * e2 + a * b * dz) / both
+
+
+def _moved(block: tuple, dx: np.ndarray, aim: float, step: float, dual_step: float) -> tuple:
+    ds, dr, da = _moves(block, dx, aim)
+    s, r, a, b = block[5:]
+    return (*block[:5], s + step * ds, r + step * dr, a + dual_step * da, b - dual_step * da)
+
+
+def _room(value: np.ndarray, move: np.ndarray) -> float:
+    """How often the move can be made until a value is 0."""
+    down = move < 0
+    return float((value[down] / -move[down]).min(initial=np.inf))
+
+
+def _rooms(block: tuple, dx: np.ndarray, aim: float) -> np.ndarray:
+    ds, dr, da = _moves(block, dx, aim)
+    s, r, a, b = block[5:]
+    return np.array([min(_room(s, ds), _room(r, dr)), min(_room(a, da), _room(b, -da))])
+
+
+def _sums(block: tuple, x: np.ndarray, dense: bool) -> list[np.ndarray]:
+    """Of a block: duals times rooms, their number, the loss and the duals' gain; the pull of the duals and of their moves
+    (without and per ``aim``); and the normal equations' matrix or its diagonal."""
+    begins, idx, val, w, gain, s, r, a, b = block
+    n, both = len(x), b * r + s * a
+    h, size = a * b / both, np.diff(begins, append=len(idx))
+    if dense:
+        matrix = np.zeros(n * n)
+        for k in np.unique(size):
+            rows = np.flatnonzero(size == k)
+            at = begins[rows][:, None] + np.arange(k)
+            i, v = idx[at], val[at]
+            matrix += np.bincount((i[:, :, None] * n + i[:, None, :]).ravel(), (h[rows][:, None, None] * v[:, :, None] * v[:, None, :]).ravel(), n * n)
+    else:
+        matrix = np.bincount(idx, np.repeat(h, size) * val * val, n)
+    known = np.array([a @ r + b @ s, 2.0 * len(w), w @ np.maximum(gain + _along(block, x), 0), a @ gain])
+    return [known, _pull(block, a, n), _pull(block, a * b * (s - r) / both, n), _pull(block, (b - a) / both, n), matrix]
+
+
+def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [x + y for x, y in zip(a, b, strict=True)]
+
+
+class _Distance:
+    """The same for the distance term, whose bounds are u - x >= 0 and u + x >= 0: one u for each piece, or one for all."""
+
+    def __init__(self, n: int, cost: float, norm: str) -> None:
+        self.one, self.p, self.q = norm == "linf", np.ones(n), np.ones(n)
+        self.a = self.b = np.full(n, cost / 2 / (n if self.one else 1))
+
+    def equations(self, aim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matrix as a diagonal less the square of a vector, and the right side."""
+        c, d = self.a / self.p, self.b / self.q
+        up, down = (aim - self.a * self.p) / self.p, (aim - self.b * self.q) / self.q
+        pull = self.a - self.b + up - down
+        if self.one:
+            total = (c + d).sum()
+            return c + d, (c - d) / np.sqrt(total), pull - (c - d) * (up + down).sum() / total
+        return 4 * c * d / (c + d), np.zeros_like(c), pull - (c - d) * (up + down) / (c + d)
+
+    def moves(self, dx: np.ndarray, aim: float) -> tuple[np.ndarray, ...]:
+        c, d = self.a / self.p, self.b / self.q
+        up, down = (aim - self.a * self.p) / self.p, (aim - self.b * self.q) / self.q
+        lifted, weight = up + down + (c - d) * dx, c + d
+        du = lifted.sum() / weight.sum() if self.one else lifted / weight
+        return du - dx, du + dx, up - c * (du - dx), down - d * (du + dx)
+
+    def move(self, moves: tuple[np.ndarray, ...], step: float, dual_step: float) -> None:
+        dp, dq, da, db = moves
+        self.p, self.q, self.a, self.b = self.p + step * dp, self.q + step * dq, self.a + dual_step * da, self.b + dual_step * db
+
+
+def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength: float = 1e-3, norm: str = "l1", within: float = 1e-3, rounds: int = 400) -> Fit:
+    """The scores of ``fit_unigram`` for rows (idx, val, weight) of any number, as ``differences`` gives them.
+
+    A primal-dual interior point method. Slacks and duals of rows stay with their blocks; a round is a pass that sums the normal
+    equations for the scores, the true loss, and what the duals prove, and a pass that finds how far slacks and duals can move
+    along. Sums are merged in a tree, so only scores and sums of their size (or its square, up to ``DENSE`` pieces) reach
+    the driver. A lost block follows again from the table and the rounds' moves. It ends when the objective is within the
+    stated share of the proven bound, or at ``rounds``. A row of no pieces is a constant; without others the start is the optimum.
+    Without a distance term nothing above 0 is proven.
+    """
+    if norm not in ("l1", "linf", "none"):
+        raise ValueError(f"unknown norm {norm}")
+    cost = 0.0 if norm == "none" else strength
+    fixed = margin * float(rows.where(F.size("idx") == 0).agg(F.sum("weight")).first()[0] or 0.0)
+    table = _held_rows(rows.where(F.size("idx") > 0), np.asarray(start, float), margin)
+    if table.isEmpty():
+        return Fit(np.array(start, float), fixed, fixed)
+    n, dense, x = len(start), len(start) <= DENSE, np.zeros(len(start))
+    state, far = table.map(_begin).persist(StorageLevel.MEMORY_AND_DISK), _Distance(n, cost, norm) if cost else None
+    depth = 1 if table.getNumPartitions() <= 16 else 2
+    best, least, proven, reached, passed = x, np.inf, 0.0, 1.0, table
+    for _ in range(rounds):
+        (rooms, terms, loss, gained), pull, still, aimed, matrix = state.map(lambda b, x=x: _sums(b, x, dense)).treeReduce(_added, depth)
+        true = loss + cost * float(np.abs(x).max() if norm == "linf" else np.abs(x).sum())
+        strain = np.abs(pull).sum() if norm == "linf" else np.abs(pull).max()
+        proven = max(proven, gained * (min(1.0, cost / strain) if strain > 0 else 1.0))
+        if true < least:
+            best, least = x, true
+        if least - proven <= within * (least + fixed):
+            break
+        if far:
+            rooms, terms = rooms + far.a @ far.p + far.b @ far.q, terms + 2 * n
+        aim = (0.05 if reached > 0.9 else 0.2 if reached > 0.5 else 0.5) * rooms / terms
+        diagonal, root, right = far.equations(aim) if far else (np.zeros(n), np.zeros(n), np.zeros(n))
+        right = -(right + pull + still + aim * aimed)
+        if dense:
+            whole = matrix.reshape(n, n) + np.diag(diagonal) - np.outer(root, root)
+            whole[np.diag_indices(n)] += 1e-14 * np.abs(np.diag(whole)).max()
+            dx = np.linalg.solve(whole, right)
+        else:
+            ridge = 1e-14 * (matrix + diagonal).max()
+            apply = lambda v, state=state: state.map(lambda b: [_pull(b, b[7] * b[8] / (b[8] * b[6] + b[5] * b[7]) * _along(b, v), n)]).treeReduce(_added, depth)[0]
+            dx = _conjugate(lambda v, d=diagonal + ridge, root=root, apply=apply: apply(v) + d * v - root * (root @ v), right, matrix + diagonal + ridge)
+        step, dual_step = state.map(lambda b, dx=dx, aim=aim: _rooms(b, dx, aim)).treeReduce(np.minimum, depth)
+        if far:
+            moves = far.moves(dx, aim)
+            step = min(step, _room(far.p, moves[0]), _room(far.q, moves[1]))
+            dual_step = min(dual_step, _room(far.a, moves[2]), _room(far.b, moves[3]))
+        step, dual_step = min(1.0, 0.99 * step), min(1.0, 0.99 * dual_step)
+        before, reached = state, min(step, dual_step)
+        state = state.map(lambda b, dx=dx, aim=aim, step=step, dual_step=dual_step: _moved(b, dx, aim, step, dual_step)).persist(StorageLevel.MEMORY_AND_DISK)
+        passed.unpersist()
+        passed = before
+        x = x + step * dx
+        if far:
+            far.move(moves, step, dual_step)
+    state.unpersist()
+    passed.unpersist()
+    return Fit(np.asarray(start, float) + best, least + fixed, proven + fixed)
+
+
+def _conjugate(times, wanted: np.ndarray, diagonal: np.ndarray, share: float = 1e-6) -> np.ndarray:
+    """Solves times(x) = wanted by conjugate gradients, scaled by the diagonal; each step is a pass over the rows."""
+    scale = 1 / np.maximum(diagonal, 1e-12 * diagonal.max())
+    x, r = np.zeros_like(wanted), wanted.copy()
+    y = scale * r
+    p, known = y.copy(), float(r @ y)
+    first = known
+    for _ in range(2 * len(wanted)):
+        if known <= share * share * first:
+            break
+        t = times(p)
+        size = known / float(p @ t)
+        x, r = x + size * p, r - size * t
+        y = scale * r
+        known, before = float(r @ y), known
+        p = y + known / before * p
+    return x

@@ -80,30 +80,18 @@ def segmentation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Unigram scores fitted so that the longest match beats the best of the start scores, on the 200 top pre-tokens of
-    all documents; gap is the proven distance of the objective from the optimum."""
+    """Unigram scores fitted so that the longest match beats its rivals among the four best of the start scores, over all
+    distinct pre-tokens of all documents, weighted by count; gap is the proven share by which the objective may be above
+    the optimum."""
     counts = _counts(spark, sf)
     scores = _scores(counts)
-    rows = C.top_k(counts, 200).collect()
+    mean = counts.agg(F.avg("n")).first()[0] or 1.0
+    wanted = E.longest_matches(counts.withColumn("weight", F.col("n") / F.lit(mean)), set(scores)).withColumnRenamed("pieces", "wanted")
     names = sorted(scores)
-    at = {p: i for i, p in enumerate(names)}
-    longest, pieces = max(map(len, scores)), set(scores)
-    target, rivals, owner = np.zeros((len(rows), len(names))), [], []
-    for k, r in enumerate(rows):
-        wanted = E.longest_match(r.pretoken, pieces, longest)
-        for p in wanted:
-            target[k, at[p]] += 1
-        for other in E.n_best_segmentations(r.pretoken, scores, longest, 4):
-            if other != wanted:
-                row = np.zeros(len(names))
-                for p in other:
-                    row[at[p]] += 1
-                rivals.append(row)
-                owner.append(k)
+    rows = materialise(fitting.differences(E.rivals(E.n_best(wanted, scores, 4)), {p: i for i, p in enumerate(names)}), "differences")
     start = np.array([scores[p] for p in names])
-    weight = np.array([r.n for r in rows], float)
-    fit = fitting.fit_unigram(target, np.array(rivals).reshape(len(rivals), len(names)), np.array(owner, int), weight / weight.mean(), start)
-    gap = fit.objective - fit.bound
+    fit = fitting.fit_scores(rows, start)
+    gap = float((fit.objective - fit.bound) / fit.objective) if fit.objective else 0.0
     return spark.createDataFrame([(p, float(s), float(f), gap) for p, s, f in zip(names, start, fit.scores, strict=True)], "piece string, start double, fitted double, gap double")
 
 

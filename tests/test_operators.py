@@ -12,7 +12,8 @@ from glyphmill.operators import sampling as R
 from glyphmill.operators import seeds as S
 from glyphmill.operators import vectors as V
 from glyphmill.operators import vocab as W
-from glyphmill.operators.fitting import fit_unigram
+from glyphmill.operators import fitting
+from glyphmill.operators.fitting import fit_scores, fit_unigram
 
 
 def test_substring_prior(spark):
@@ -166,6 +167,32 @@ def test_unigram_fit_reaches_its_bound():
             assert loss + 0.1 * (np.abs(other - start).sum() if norm == "l1" else np.abs(other - start).max()) >= fit.bound
 
 
+@pytest.mark.parametrize(("norm", "dense"), [("l1", 2048), ("linf", 2048), ("l1", 0)])
+def test_scores_fitted_in_passes_are_as_good(spark, monkeypatch, norm, dense):
+    monkeypatch.setattr(fitting, "DENSE", dense)
+    size = 8 if dense else 4
+    random = np.random.default_rng(1)
+    target, rivals = random.integers(0, 3, (20, size)), random.integers(0, 3, (40, size))
+    rivals[0] = target[0]
+    owner, weight, start = np.concatenate([[0], random.integers(0, 20, 39)]), random.exponential(1, 20), -random.exponential(4, size)
+    plain = fit_unigram(target, rivals, owner, weight, start, strength=0.1, norm=norm)
+    names = [f"p{i}" for i in range(size)]
+    spell = lambda counts: [n for n, c in zip(names, counts, strict=True) for _ in range(c)]
+    rows = [(spell(target[o]), spell(r), float(weight[o])) for r, o in zip(rivals, owner, strict=True)]
+    encodings = spark.createDataFrame(rows, "wanted array<string>, pieces array<string>, weight double")
+    diffs = fitting.differences(encodings, {n: i for i, n in enumerate(names)})
+    fit = fit_scores(diffs, start, strength=0.1, norm=norm)
+    assert fit.objective <= plain.objective * (1 + 1e-3) and plain.bound * (1 - 1e-9) <= fit.objective
+    assert 0 <= fit.objective - fit.bound <= 1e-3 * fit.objective and fit.bound <= plain.objective + 1e-9
+
+
+def test_scores_without_rivals_stay(spark):
+    none = spark.createDataFrame([], "idx array<int>, val array<int>, weight double")
+    assert fit_scores(none, np.array([-1.0])).scores.tolist() == [-1.0]
+    same = spark.createDataFrame([([], [], 2.0)], "idx array<int>, val array<int>, weight double")
+    assert math.isclose(fit_scores(same, np.array([-1.0])).objective, 0.2)
+
+
 def test_unigram_training(spark):
     counts = spark.createDataFrame([("abab", 10), ("ab", 5), ("ba", 1)], "pretoken string, n long")
     vocab = E.train_unigram(counts, {p: -2.0 for p in ("a", "b", "ab", "ba", "bab", "aba")}, 3, rounds=2)
