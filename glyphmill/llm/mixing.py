@@ -1,7 +1,8 @@
 """Mixing sources to target weights: documents are picked by exact size so that each source meets its budget.
 
-A budget is met by a bounded knapsack over the histogram of sizes, not over documents: sizes are taken in proportion,
-and what the rounding leaves is fitted by a subset-sum dynamic programme over the documents that remain of each size.
+A budget is met by a bounded knapsack over the histogram of sizes, not over documents: every size gives its share of
+documents, and what the rounding leaves, less than the longest document, is fitted by a subset-sum dynamic programme over the
+documents that remain of each size.
 Which documents of a size are picked is decided by a seeded hash.
 """
 
@@ -39,26 +40,25 @@ def source_targets(sizes: dict, weights: tuple[float, ...] = WEIGHTS, share: flo
     return target
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int = 1 << 16) -> np.ndarray:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to pick so that their total is as near below the budget as can be found.
 
-    Each length gives its share; then the longest that fit, until at most ``limit`` words are missing; these are
-    filled by an exact subset sum over the documents left, as a bit set of the sums that can be reached.
+    From the longest down, every length gets its share of documents, what is rounded off going to the next length. So
+    documents of any length are taken alike, and less than the longest document is missing, which an exact subset sum over the
+    documents left fills, as a bit set of the sums that can be reached. It takes memory in proportion to the longest document.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    picks = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = budget - int((picks * lengths).sum())
     order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
+    picks, seen, taken = np.zeros(len(lengths), np.int64), 0, 0
     for i in order:
-        if left <= limit:
-            break
-        more = min(int(counts[i] - picks[i]), left // int(lengths[i]))
-        picks[i] += more
-        left -= more * int(lengths[i])
-    mask, reach, items, first = (1 << (left + 1)) - 1, 1, [], np.full(left + 1, -1, np.int64)
+        seen += int(counts[i])
+        picks[i] = seen * budget // total - taken
+        taken += int(picks[i])
+    left = budget - int((picks * lengths).sum())
+    mask, reach, items, first = (1 << (left + 1)) - 1, 1, [], np.full(left + 1, -1, np.int32)
     for i in order:
         free, part = min(int(counts[i] - picks[i]), left // int(lengths[i])), 1
         while free > 0 and not reach >> left & 1:
