@@ -2,8 +2,8 @@
 
 An index is cut by documents: each task turns the texts it reads into shards, and a shard holds for each of its terms the
 documents by ascending id as compressed gaps, with how often the term occurs. So no text and no posting is shuffled to
-build one. To rank, each shard meets the terms of a block of items. For an item a heap merges its terms' postings one document after the other, a
-second, bounded heap keeps the best by score and then id, and the shards' best are merged to the best of all.
+build one. To rank, each shard meets the terms of a block of items. For an item a heap merges its terms' postings one
+document after the other, a second, bounded heap keeps the best by score and then id, and the shards' best are merged.
 """
 
 from __future__ import annotations
@@ -201,6 +201,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, item_col: str = "ite
         best = [(item, ids[d], s) for item, lists in of.items() for s, d in best_documents(lists, k)]
         return pa.table({"item": pa.array([b[0] for b in best], pa.int64()), "doc_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([b[2] for b in best], pa.int64())})
 
+    hits = hits.repartition(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "block")  # few bytes, much work
     local = hits.groupBy("shard", "block").cogroup(homes.groupBy("home", "in_block")).applyInArrow(rank, "item long, doc_id long, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
     top = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
