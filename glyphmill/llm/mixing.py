@@ -58,6 +58,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         picks[i] = seen * budget // total - taken
         taken += int(picks[i])
     left = budget - int((picks * lengths).sum())
+    order.sort(key=lambda i: int(lengths[i]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # so that the rest isn't of like lengths
     mask, reach, items, first = (1 << (left + 1)) - 1, 1, [], np.full(left + 1, -1, np.int32)
     for i in order:
         free, part = min(int(counts[i] - picks[i]), left // int(lengths[i])), 1

@@ -33,7 +33,7 @@ def test_fit_budget_finds_the_best_sum():
 
 def test_all_lengths_are_taken_alike():
     rng = np.random.default_rng(4)
-    lengths = np.unique(np.concatenate([rng.integers(1, 400, 300), (rng.pareto(1.2, 5000) * 300 + 1).astype(int)]))
+    lengths = np.unique(np.concatenate([rng.integers(1, 400, 300), (rng.pareto(2.5, 5000) * 600 + 1).astype(int)]))
     for counts in (np.ones(len(lengths), int), rng.integers(1, 5, len(lengths))):
         for share in (0.2, 0.5, 0.77):
             budget = int((lengths * counts).sum() * share)
