@@ -40,25 +40,40 @@ def source_targets(sizes: dict, weights: tuple[float, ...] = WEIGHTS, share: flo
     return target
 
 
+#: Starts that are tried when shares are rounded.
+STARTS = 64
+
+
+def even_picks(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """For each length its share of documents, where a budget is under the total: from the longest down, what is rounded off
+    goes to the next length. Of the starts of the rounding, the one that leaves the least of the budget."""
+    total = int((lengths * counts).sum())
+    order = np.argsort(-lengths, kind="stable")
+    seen = [int(c) for c in np.cumsum(counts[order])]
+    best, least = np.zeros(len(lengths), np.int64), budget
+    for start in range(STARTS):  # the first leaves nothing over
+        upto = [(STARTS * n * budget + start * total) // (STARTS * total) for n in seen]
+        picks = np.diff(np.array(upto, np.int64), prepend=0)
+        left = budget - int((picks * lengths[order]).sum())
+        if 0 <= left < least:
+            best[order], least = picks, left
+    return best
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to pick so that their total is as near below the budget as can be found.
 
-    From the longest down, every length gets its share of documents, what is rounded off going to the next length. So
-    documents of any length are taken alike, and less than the longest document is missing, which an exact subset sum over the
-    documents left fills, as a bit set of the sums that can be reached. It takes memory in proportion to the longest document.
+    Documents of any length are taken alike (``even_picks``). What that leaves, less than the longest document, is filled by
+    an exact subset sum over the documents left, as a bit set of the sums that can be reached; it takes memory in
+    proportion to the longest document.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
+    if budget >= int((lengths * counts).sum()):
         return counts.copy()
-    order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
-    picks, seen, taken = np.zeros(len(lengths), np.int64), 0, 0
-    for i in order:
-        seen += int(counts[i])
-        picks[i] = seen * budget // total - taken
-        taken += int(picks[i])
+    picks = even_picks(lengths, counts, budget)
     left = budget - int((picks * lengths).sum())
-    order.sort(key=lambda i: int(lengths[i]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # so that the rest isn't of like lengths
+    # a hash order, so that the rest isn't of like lengths
+    order = sorted(np.flatnonzero(lengths > 0).tolist(), key=lambda i: int(lengths[i]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     mask, reach, items, first = (1 << (left + 1)) - 1, 1, [], np.full(left + 1, -1, np.int32)
     for i in order:
         free, part = min(int(counts[i] - picks[i]), left // int(lengths[i])), 1
