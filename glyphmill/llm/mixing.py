@@ -63,14 +63,26 @@ def even_picks(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to pick so that their total is as near below the budget as can be found.
 
-    Documents of any length are taken alike (``even_picks``). What that leaves, less than the longest document, is filled by
-    an exact subset sum over the documents left, as a bit set of the sums that can be reached; it takes memory in
-    proportion to the longest document.
+    Documents of any length are taken alike (``even_picks``), and what that leaves, less than the longest document, is filled
+    by an exact subset sum over the documents left. Where over a thousandth of the budget is still missing, as with few
+    documents, more of the budget is left to the subset sum, twice as many documents' worth each time.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     if budget >= int((lengths * counts).sum()):
         return counts.copy()
-    picks = even_picks(lengths, counts, budget)
+    even, back, best, least = budget, int(lengths.max()), None, budget + 1
+    while True:
+        picks = _fill(lengths, counts, even_picks(lengths, counts, even), budget)
+        missing = budget - int((picks * lengths).sum())
+        if missing < least:
+            best, least = picks, missing
+        if least * 1000 <= budget or even == 0:
+            return best
+        even, back = max(0, budget - back), 2 * back
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, picks: np.ndarray, budget: int) -> np.ndarray:
+    """The picks and others that come nearest below the budget with them: a bit set of the sums that can be reached."""
     left = budget - int((picks * lengths).sum())
     # a hash order, so that the rest isn't of like lengths
     order = sorted(np.flatnonzero(lengths > 0).tolist(), key=lambda i: int(lengths[i]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
