@@ -94,7 +94,7 @@ def path_name(path: Column) -> Column:
 
 
 def surface_text(ids: Column, end_of_text: str = "<|endoftext|>") -> Column:
-    """Byte-level ids back to text: 0 is padding; the end-of-text marker is left out."""
+    """Byte-level ids back to text: 0 is padding; a piece that is the end-of-text marker is left out (null)."""
     table = F.array(*[F.lit(c) for _, c in sorted(byte_alphabet().items())])
-    chars = F.transform(F.filter(ids, lambda x: x != 0), lambda x: F.element_at(table, x + 1))
-    return F.replace(F.array_join(chars, ""), F.lit(end_of_text), F.lit(""))
+    text = F.array_join(F.transform(F.filter(ids, lambda x: x != 0), lambda x: F.element_at(table, x + 1)), "")
+    return F.when(text != end_of_text, text)

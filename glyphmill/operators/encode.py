@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -67,14 +68,24 @@ def longest_match(text: str, pieces: set[str], longest: int) -> list[str]:
 
 
 def merge_encode(text: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Byte-pair encoding: the lowest-ranked merge first, leftmost of equal ones."""
-    parts = list(text)
-    while len(parts) > 1:
-        rank, i = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
+    """Byte-pair encoding: the lowest-ranked merge first, leftmost of equal ones. Parts are a linked list and possible merges
+    a heap, so n characters take n log n steps."""
+    n, parts = len(text), list(text)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= n or ranks.get((parts[i], parts[j])) != rank:
+            continue  # one of the two is in another part by now
+        parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (parts[left], parts[right]) in ranks:
+                heappush(heap, (ranks[parts[left], parts[right]], left))
+    return [p for p in parts if p is not None]
 
 
 def encode(counts: DataFrame, vocab: dict[str, float], name: str = "pretoken") -> DataFrame:
@@ -115,6 +126,18 @@ def longest_matches(counts: DataFrame, pieces: set[str], name: str = "pretoken")
     return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
 
 
+def merge_encoded(counts: DataFrame, merges: DataFrame, name: str = "pretoken") -> DataFrame:
+    """Adds pieces, the byte-pair encoding of each distinct pre-token by merges (rank, left, right). They are broadcast: a
+    vocabulary's merges have a stated size."""
+    held = counts.sparkSession.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in merges.collect()})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(pieces=[merge_encode(t, held.value) for t in frame[name]])
+
+    return spread(counts, name).mapInPandas(run, T.StructType([*counts.schema.fields, _PIECES]))
+
+
 def rivals(encodings: DataFrame, wanted: str = "wanted") -> DataFrame:
     """Encodings that aren't the wanted one."""
     return encodings.where(F.col("pieces") != F.col(wanted))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import random
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +28,12 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(16**13)
 
 
+def normal(key: Column, seed: int) -> Column:
+    """A standard normal number from two uniform ones of the key, the same however rows are dealt out."""
+    away = F.sqrt(-2 * F.log(1 - uniform(key, seed)))
+    return away * F.cos(2 * math.pi * uniform(F.concat_ws("-", key.cast("string"), F.lit("b")), seed))
+
+
 def choose_language(steps: DataFrame, shares: DataFrame, seed: int, key: str = "step", name: str = "lang") -> DataFrame:
     """Adds a language to each step: the one in whose cumulative share the step's uniform number falls. shares is a row
     for each language."""
@@ -91,14 +95,14 @@ def equal_batches(items: DataFrame, size: int, seed: int) -> DataFrame:
     return both.select(F.floor(F.col("r") / size).alias("batch"), (F.col("r") % size).alias("pos"), "id", "padding")
 
 
-def vocabulary_size(mean: float, std: float, low: int, high: int, seed: int) -> int:
-    """A whole number drawn from a normal distribution, within bounds."""
-    return int(min(max(random.Random(seed).gauss(mean, std), low), high))
+def vocabulary_size(key: Column, mean: float, std: float, low: int, high: int, seed: int) -> Column:
+    """A whole number for each key, drawn from a normal distribution, within bounds."""
+    return F.least(F.greatest(mean + std * normal(key, seed), F.lit(float(low))), F.lit(float(high))).cast("int")
 
 
-def noise_std(mean: float, sigma: float, seed: int) -> float:
-    """Drawn from a log-normal distribution around ``mean``; 0 if the mean isn't positive."""
-    return math.exp(random.Random(seed).gauss(math.log(mean), sigma)) if mean > 0 else 0.0
+def noise_std(key: Column, mean: float, sigma: float, seed: int) -> Column:
+    """A number for each key, drawn from a log-normal distribution around ``mean``; 0 if the mean isn't positive."""
+    return F.exp(math.log(mean) + sigma * normal(key, seed)) if mean > 0 else F.lit(0.0)
 
 
 def mask_tokens(ids: Column, key: Column, mask_id: int, seed: int, probability: float = 0.15) -> Column:
@@ -117,8 +121,9 @@ def pool(key: Column, pools: int, seed: int) -> Column:
     return F.floor(uniform(key, seed) * pools).cast("int")
 
 
-def random_rows(dims: DataFrame, n: int, seed: int) -> np.ndarray:
-    """n rows drawn from each dimension's normal distribution (pos, mean, std): a small table on the driver."""
-    rows = dims.orderBy("pos").collect()
-    rng = np.random.default_rng(seed)
-    return rng.normal([r["mean"] for r in rows], [r["std"] for r in rows], (n, len(rows)))
+def random_rows(ids: DataFrame, dims: DataFrame, seed: int) -> DataFrame:
+    """(id, vec): for each id a row drawn from each dimension's normal distribution (pos, mean, std). The dimensions are one
+    row, which is broadcast."""
+    each = dims.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("_dims"))
+    drawn = F.transform("_dims", lambda d: d["mean"] + d["std"] * normal(F.concat_ws(":", F.col("id").cast("string"), d["pos"].cast("string")), seed))
+    return ids.select("id").crossJoin(F.broadcast(each)).select("id", drawn.alias("vec"))

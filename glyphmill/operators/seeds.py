@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import BLANKS, blank_run, byte_alphabet, pretokens, to_byte_level
+from glyphmill.operators.sampling import normal
 from glyphmill.operators.vocab import place_specials
 from glyphmill.session import spread
 
@@ -73,12 +74,12 @@ def induce(scores: DataFrame, seed_size: int, max_length: int = 16, noise_std: f
     """(rank, piece, logp): the alphabet at the least log-probability, the runs of blanks at 0.0, and then the best
     pieces by score until the whole list has seed_size (one at least); ties by piece.
 
-    Pieces of one character or with two blanks don't stand as candidates; noise is added to probabilities, and one
+    Pieces of one character or with two blanks don't stand as candidates; noise, seeded by the piece, is added to probabilities, and one
     that isn't positive counts as minus infinity (-100000).
     """
     spark = scores.sparkSession
     total = scores.agg(F.sum("score").alias("_sum"), F.min("score").alias("_min"))
-    p = F.col("score") / F.col("_sum") + (F.randn(seed) * noise_std if noise_std else F.lit(0.0))
+    p = F.col("score") / F.col("_sum") + (normal(F.col("piece"), seed) * noise_std if noise_std else F.lit(0.0))
     candidates = scores.where((F.length("piece") > 1) & ~blank_run(F.col("piece"))).crossJoin(F.broadcast(total))
     candidates = candidates.select("piece", "score", F.when(p > 0, F.log(p)).otherwise(F.lit(FLOOR)).alias("logp"))
     fixed = 256 + 9 * (max_length - 1)

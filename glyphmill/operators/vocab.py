@@ -132,6 +132,24 @@ def repair_merges(pieces: list[str], merges: list[tuple[str, str]]) -> list[tupl
     return out
 
 
+def repaired_merges(pieces: DataFrame, merges: DataFrame) -> DataFrame:
+    """(rank, left, right): ``repair_merges`` over tables (piece) and (rank, left, right) of any size.
+
+    Each beginning, from two characters on, of a piece that no merge builds becomes a merge of what stands before its last
+    character with that, unless a merge builds it already; those new ones follow the existing merges, by the first piece
+    in order that needs them and by length. A pair that repeats keeps its first rank.
+    """
+    first = merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
+    built = first.select(F.concat("left", "right").alias("piece")).distinct()
+    missing = pieces.where(F.length("piece") > 1).select("piece").distinct().join(built, "piece", "left_anti")
+    parts = missing.select(F.col("piece").alias("of"), F.explode(F.sequence(F.lit(2), F.length("piece"))).alias("n"))
+    parts = parts.select("of", F.substring(F.col("of"), F.lit(1), F.col("n")).alias("piece")).join(built, "piece", "left_anti")
+    new = parts.groupBy("piece").agg(F.min("of").alias("of")).withColumn("n", F.length("piece"))
+    new = new.select("of", "n", F.substring(F.col("piece"), F.lit(1), F.col("n") - 1).alias("left"), F.substring(F.col("piece"), F.col("n"), F.lit(1)).alias("right"), F.lit(1).alias("late"), F.lit(0).cast("long").alias("rank"))
+    both = first.select(F.lit("").alias("of"), F.lit(0).alias("n"), "left", "right", F.lit(0).alias("late"), F.col("rank").cast("long").alias("rank")).unionByName(new)
+    return numbered(both, "at", ["late", "rank", "of", "n"]).select(F.col("at").alias("rank"), "left", "right")
+
+
 def fix_template(node, ids: dict[str, int]):
     """A post-processor document with the ids of its special tokens taken from ``ids``, at any depth of sequences."""
     if isinstance(node, list):

@@ -17,6 +17,7 @@ from glyphmill.functions import text as T
 from glyphmill.operators import counts as C
 from glyphmill.operators import encode as E
 from glyphmill.operators import fitting
+from glyphmill.operators import vocab as W
 from glyphmill.plans.text_queries import _TABLE, mapped_sql, pretokens_sql
 from glyphmill.session import materialise
 
@@ -46,6 +47,22 @@ def greedy_encode(spark: SparkSession, sf: str) -> DataFrame:
     return E.longest_matches(counts, set(_scores(counts))).select("pretoken", "n", F.array_join("pieces", " ").alias("pieces"))
 
 
+def _merges(counts: DataFrame) -> DataFrame:
+    """Merges that build the pieces of ``_scores``: a table of a stated size."""
+    pieces = C.substrings(counts, LONGEST).orderBy(F.desc("n"), "piece").limit(PIECES).select("piece")
+    none = counts.sparkSession.createDataFrame([], "rank long, left string, right string")
+    return W.repaired_merges(pieces, none)
+
+
+def repaired_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return _merges(_counts(spark, sf))
+
+
+def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _counts(spark, sf)
+    return E.merge_encoded(counts, _merges(counts)).select("pretoken", "n", F.array_join("pieces", " ").alias("pieces"))
+
+
 def nbest(spark: SparkSession, sf: str) -> DataFrame:
     counts = _counts(spark, sf)
     return E.n_best(counts.select("pretoken"), _scores(counts), 4).select("pretoken", "rank", F.array_join("pieces", " ").alias("pieces"))
@@ -105,7 +122,7 @@ def trained_unigram(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(sorted(vocab.items()), "piece string, logp double")
 
 
-QUERIES = {f.__name__: f for f in (viterbi_encode, greedy_encode, nbest, nbest_rivals, encoded_surfaces, segmentation_accuracy, fitted_scores, trained_unigram)}
+QUERIES = {f.__name__: f for f in (repaired_merges, bpe_encode, viterbi_encode, greedy_encode, nbest, nbest_rivals, encoded_surfaces, segmentation_accuracy, fitted_scores, trained_unigram)}
 
 _LIST = _TABLE.replace("'", "''")
 _WITH = f"""WITH RECURSIVE c AS (SELECT {mapped_sql("pretoken")} AS t, n FROM (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken)),
@@ -122,7 +139,14 @@ FROM (SELECT t, i, g, coalesce(list_max(list_filter(range(1, {LONGEST} + 1), lam
 _NBEST = f"""nb AS (SELECT t, length(t) AS i, [[{{'s': 0.0::DOUBLE, 'm': 0::BIGINT, 'p': []::VARCHAR[]}}]] AS v FROM c
 UNION ALL SELECT t, i - 1, list_concat([list_sort(flatten(list_transform({_KNOWN}, lambda k: list_transform(v[k], lambda x: {{'s': x.s - mp[substr(t, i, k)], 'm': x.m + 1, 'p': list_concat([substr(t, i, k)], x.p)}}))))[1:4]], v)[1:{LONGEST}]
 FROM nb, held WHERE i > 0), each AS (SELECT t, unnest(v[1]) AS x, unnest(range(len(v[1]))) AS rank FROM nb WHERE i = 0)"""
+_MERGES = """ends AS (SELECT piece[1:n] AS p, min(piece) AS of FROM (SELECT piece, unnest(range(2, length(piece) + 1)) AS n FROM top) GROUP BY ALL),
+merges AS (SELECT row_number() OVER (ORDER BY of, length(p)) - 1 AS rank, p[1:length(p) - 1] AS l, p[length(p):] AS r FROM ends)"""
 SQL = {
+    "repaired_merges": f'{_WITH}, {_MERGES} SELECT rank, l AS "left", r AS "right" FROM merges',
+    "bpe_encode": f"""{_WITH}, {_MERGES}, ranks AS (SELECT map(list(l || ' ' || r), list(rank)) AS mr FROM merges),
+bpe AS (SELECT t, string_split(t, '') AS v FROM c UNION ALL SELECT t, list_concat(v[1:x.i - 1], [v[x.i] || v[x.i + 1]], v[x.i + 2:])
+FROM (SELECT t, v, list_min(list_filter(list_transform(range(1, len(v)), lambda i: {{'r': mr[v[i] || ' ' || v[i + 1]], 'i': i}}), lambda y: y.r IS NOT NULL)) AS x FROM bpe, ranks) WHERE x IS NOT NULL),
+done AS (SELECT t, arg_min(v, len(v)) AS v FROM bpe GROUP BY t) SELECT t AS pretoken, n, array_to_string(v, ' ') AS pieces FROM done JOIN c USING (t)""",
     "viterbi_encode": f"{_WITH}, {_BEST} SELECT t AS pretoken, n, trim(w[1]) AS pieces FROM best JOIN c USING (t) WHERE i = 0",
     "greedy_encode": f"{_WITH}, {_GREEDY} SELECT t AS pretoken, n, trim(g) AS pieces FROM greedy JOIN c USING (t) WHERE i > length(t)",
     "nbest": f"{_WITH}, {_NBEST} SELECT t AS pretoken, rank, array_to_string(x.p, ' ') AS pieces FROM each",

@@ -114,10 +114,11 @@ def placeholder_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def surface_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Byte ids back to byte-level text, padding left out."""
+    """Byte ids back to byte-level text, padding left out; a text that is the end marker is null, one that holds it isn't."""
+    every = table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "<|endoftext|>").when(F.col("item_id") % 3 == 1, F.concat(F.lit("<|endoftext|>"), "text")).otherwise(F.col("text")).alias("text"))
     raw = F.encode("text", "UTF-8")
     ids = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
-    rows = table(spark, sf, "benchmark").select("item_id", F.concat(F.array(F.lit(0)), ids, F.array(F.lit(0), F.lit(0))).alias("ids"))
+    rows = every.select("item_id", F.concat(F.array(F.lit(0)), ids, F.array(F.lit(0), F.lit(0))).alias("ids"))
     return rows.select("item_id", F.md5(T.surface_text(F.col("ids"))).alias("digest"), F.length(T.surface_text(F.col("ids"))).cast("long").alias("n_chars"))
 
 
@@ -177,7 +178,7 @@ SQL = {
 SELECT id, CASE WHEN id < 256 THEN '<0x' || printf('%02X', id) || '>' ELSE 'w' || id END AS piece, CASE WHEN id < 255 THEN substr('{_LIST}', id + 1, 1) END AS byte FROM n""",
     "placeholder_pieces": f"""WITH m AS (SELECT {mapped_sql('pretoken')} AS piece FROM (SELECT DISTINCT pretoken FROM ({pretokens_sql()})))
 SELECT piece, CASE WHEN length(regexp_replace(piece, '[^ĠĊĉ]', '', 'g')) > 1 THEN '<unused_whitespace__' || strlen(piece) || '>' ELSE piece END AS renamed FROM m""",
-    "surface_texts": f"SELECT item_id, md5({mapped_sql('text')}) AS digest, strlen(text) AS n_chars FROM benchmark",
+    "surface_texts": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN md5({mapped_sql('text')}) END AS digest, CASE WHEN item_id % 3 <> 0 THEN strlen(text) END AS n_chars FROM (SELECT item_id, CASE WHEN item_id % 3 = 1 THEN '<|endoftext|>' || text ELSE text END AS text FROM benchmark)",
     "identity_surfaces": "SELECT p_partkey AS id, p_partkey::VARCHAR AS surface FROM part",
     "vocab_equality": "SELECT * FROM (VALUES ('same', true), ('moved', false)) AS x(name, equal)",
     "visit_average": """WITH e AS (SELECT vec_id % 100 AS id, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT id, pos, avg(x) AS x FROM e GROUP BY ALL)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -36,6 +37,30 @@ def test_seed_scores(spark, text, stride, want):
     assert {r.piece: r.score for r in S.seed_scores(texts, 4, stride).collect()} == want
 
 
+def test_merges_by_heap_and_repair_in_joins(spark):
+    def rescan(text, ranks):
+        parts = list(text)
+        while True:
+            found = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = random.Random(5)
+    for _ in range(200):
+        pieces = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 12))]
+        merges = W.repair_merges(pieces, [("a", "b"), ("b", "a"), ("a", "b")][: rng.randint(0, 3)])
+        ranks = {m: i for i, m in enumerate(merges)}
+        text = "".join(rng.choices("abcd", k=rng.randint(0, 30)))
+        assert E.merge_encode(text, ranks) == rescan(text, ranks)
+    assert E.merge_encode("a" * 100000, {("a", "a"): 0}) == ["aa"] * 50000
+    pieces, merges = ["ab", "abc", "xyz", "xyw", "c", "abd"], [("a", "b"), ("b", "c"), ("a", "b"), ("ab", "d")]
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank long, left string, right string")
+    got = W.repaired_merges(spark.createDataFrame([(p,) for p in pieces], "piece string"), table).orderBy("rank").collect()
+    assert [(r.left, r.right) for r in got] == W.repair_merges(pieces, merges) and [r.rank for r in got] == list(range(len(got)))
+
+
 def test_seed_window(spark):
     scores = spark.createDataFrame([(0, "p", 1), (1, "q", 5), (2, "p", 2)], "batch_id int, piece string, score long")
     got = {(r.window_id, r.piece): r.score for r in S.window_scores(scores, 2).collect()}
@@ -114,7 +139,10 @@ def test_coverage_and_batches(spark):
         R.coverage_sample(items, 20, 4, 6, 1)
     filled = R.equal_batches(items, 8, 1)
     assert filled.count() == 32 and filled.where("padding").count() == 1
-    assert R.noise_std(0, 1, 1) == 0 and R.noise_std(1, 0, 1) == 1 and 5 <= R.vocabulary_size(10, 100, 5, 20, 3) <= 20
+    drawn = spark.range(4000).select(R.noise_std(F.col("id"), 0, 1, 1).alias("none"), R.noise_std(F.col("id"), 1, 0, 1).alias("one"), R.vocabulary_size(F.col("id"), 10, 100, 5, 20, 3).alias("size"), R.normal(F.col("id"), 3).alias("z"))
+    got = drawn.agg(F.max("none"), F.min("one"), F.min("size"), F.max("size"), F.avg("z"), F.stddev("z")).first()
+    assert got[:4] == (0.0, 1.0, 5, 20) and abs(got[4]) < 0.05 and abs(got[5] - 1) < 0.05
+    assert sorted(drawn.collect()) == sorted(drawn.repartition(16).collect())
 
 
 def test_segmentation_matches_all_splits():

@@ -47,3 +47,6 @@ def test_pieces(spark):
     assert one(spark, "ĠĠ", lambda c: T.placeholder(c, F.lit(3))) == "<unused_whitespace__3>"
     assert one(spark, "a/b/tok.x.json", T.path_name) == "tok.x"
     assert one(spark, [0, 72, 105, 0], T.surface_text, "array<int>") == "Hi"
+    end, table = "<|endoftext|>", {c: b for b, c in T.byte_alphabet().items()}
+    for piece, want in ((end, None), (f"a{end}b", f"a{end}b"), ("", "")):
+        assert one(spark, [0, *[table[c] for c in piece]], T.surface_text, "array<int>") == want
