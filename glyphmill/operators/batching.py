@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from glyphmill.operators.ordering import numbered
+from glyphmill.session import materialise
 
 
 def seeded_order(id_col: str = "doc_id", seed: int = 0, epoch: int = 0) -> list[Column]:
@@ -18,35 +18,85 @@ def seeded_order(id_col: str = "doc_id", seed: int = 0, epoch: int = 0) -> list[
     return [F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(epoch)))), F.col(id_col)]
 
 
+#: Texts of a range, and ranges (or groups of ranges) whose maps are composed in one task.
+RANGE, FAN = 4096, 256
+
+
+def range_map(lengths: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a range of texts makes of each sum (0 to threshold - 1) that an open unit may have before it: the sum after it,
+    and the units filled. Sums that have become equal are carried on as one."""
+    of, states = np.arange(threshold), np.arange(threshold)
+    filled, more = np.zeros(threshold, np.int64), np.zeros(threshold, np.int64)
+    for n in lengths:
+        states = states + n
+        full = states >= threshold
+        if full.any():
+            states[full] = 0
+            more += full
+            filled += more[of]
+            states, again = np.unique(states, return_inverse=True)
+            of, more = again[of], np.zeros(len(states), np.int64)
+    return states[of], filled
+
+
 def pack(texts: DataFrame, threshold: int, eos_length: int = 4, by: tuple[str, ...] = ("lang",), id_col: str = "doc_id", shards: int = 1) -> DataFrame:
     """(by.., shard, doc_id, unit, unit_chars): texts in seeded order, appended with an end marker until a unit has
     ``threshold`` characters, markers included; the last marker doesn't count. An unfilled last unit is dropped.
 
-    The sum starts anew with each unit, so it runs in order: one pass over the lengths of a (group, shard), read in
-    batches. ``shards`` is part of the result's definition, not of the cluster; raise it to pack in parallel.
+    The sum starts anew with each unit, so where a unit begins depends on all texts before. Still no task sees a whole group:
+    a range of texts is a map from the sum before it to the sum after it and the units it fills; such maps are composed
+    group by group up to the whole, and from there each range learns its own sum and unit. ``shards`` deals a group's
+    texts to as many orders; it is part of the result's definition.
     """
     shard = F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    rows = texts.select(*by, shard.alias("shard"), F.col(id_col).cast("long").alias(id_col), F.length("text").cast("long").alias("n"), seeded_order(id_col)[0].alias("_o")).where("n > 0")
+    rows = texts.select(*by, shard.alias("shard"), F.col(id_col).cast("long").alias(id_col), F.length("text").cast("long").alias("_n"), seeded_order(id_col)[0].alias("_o")).where("_n > 0")
     keys = [*by, "shard"]
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
+    placed = numbered(rows.select("*", group), "_pos", ["_o", id_col], ["_key"]).withColumn("_block", F.floor(F.col("_pos") / RANGE))
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        after, filled = range_map(frame.sort_values("_pos")["_n"].to_numpy() + eos_length, threshold)
+        return pd.DataFrame({"_key": frame["_key"].iloc[:1], "_block": frame["_block"].iloc[:1], "after": [after], "filled": [filled]})
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        after, filled = np.arange(threshold), np.zeros(threshold, np.int64)
+        frame = frame.sort_values("_block")
+        for a, f in zip(frame["after"], frame["filled"], strict=True):
+            after, filled = np.asarray(a)[after], filled + np.asarray(f)[after]
+        return pd.DataFrame({"_key": frame["_key"].iloc[:1], "_block": frame["_up"].iloc[:1], "after": [after], "filled": [filled]})
+
+    def descend(frame: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        total, unit, out = int(above["total"].iloc[0]), int(above["unit"].iloc[0]), []
+        for key, block, a, f in frame.sort_values("_block")[["_key", "_block", "after", "filled"]].itertuples(index=False, name=None):
+            out.append((key, block, total, unit))
+            total, unit = int(a[total]), unit + int(f[total])
+        return pd.DataFrame(out, columns=["_key", "_block", "total", "unit"])
+
+    def assign(frame: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        frame, total, unit, units = frame.sort_values("_pos"), int(above["total"].iloc[0]), int(above["unit"].iloc[0]), []
+        for n in frame["_n"].to_numpy() + eos_length:
+            units.append(unit)
+            total += n
+            if total >= threshold:
+                total, unit = 0, unit + 1
+        return frame.assign(unit=units)[[*keys, id_col, "_n", "unit"]]
+
+    maps = "_key string, _block long, after array<long>, filled array<long>"
+    levels = [materialise(placed.groupBy("_key", "_block").applyInPandas(begin, maps), "pack-maps")]
+    most = placed.agg(F.max("_block")).first()[0] or 0
+    while most > 0:
+        most //= FAN
+        upper = levels[-1].withColumn("_up", F.floor(F.col("_block") / FAN))
+        levels.append(materialise(upper.groupBy("_key", "_up").applyInPandas(compose, maps), "pack-maps"))
+    places = levels[-1].select("_key", "_block", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("unit"))
+    for level in levels[-2::-1]:
+        below = level.withColumn("_up", F.floor(F.col("_block") / FAN)).groupBy("_key", "_up")
+        places = below.cogroup(places.groupBy("_key", "_block")).applyInPandas(descend, "_key string, _block long, total long, unit long")
     kinds = [rows.schema[c] for c in keys]
-    schema = T.StructType([*kinds, T.StructField(id_col, T.LongType()), T.StructField("unit", T.LongType()), T.StructField("unit_chars", T.LongType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, unit, total, held = None, 0, 0, []
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False, name=None):
-                if row[: len(keys)] != key:
-                    key, unit, total, held = row[: len(keys)], 0, 0, []
-                held.append(row[-3])
-                total += row[-2] + eos_length
-                if total >= threshold:
-                    out += [(*key, i, unit, total - eos_length) for i in held]
-                    unit, total, held = unit + 1, 0, []
-            yield pd.DataFrame(out, columns=schema.fieldNames())
-
-    ordered = rows.select(*keys, id_col, "n", "_o")
-    return ordered.repartition(*keys).sortWithinPartitions(*keys, "_o", id_col).mapInPandas(run, schema)
+    schema = T.StructType([*kinds, T.StructField(id_col, T.LongType()), T.StructField("_n", T.LongType()), T.StructField("unit", T.LongType())])
+    out = placed.groupBy("_key", "_block").cogroup(places.groupBy("_key", "_block")).applyInPandas(assign, schema)
+    total = F.sum(F.col("_n") + eos_length).over(Window.partitionBy(*keys, "unit"))
+    return out.withColumn("_total", total).where(F.col("_total") >= threshold).select(*keys, id_col, "unit", (F.col("_total") - eos_length).alias("unit_chars"))
 
 
 def blocks(tokens: DataFrame, size: int, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -214,6 +214,37 @@ def test_scores_fitted_in_passes_are_as_good(spark, monkeypatch, norm, dense):
     assert 0 <= fit.objective - fit.bound <= 1e-3 * fit.objective and fit.bound <= plain.objective + 1e-9
 
 
+def test_packing_in_ranges_equals_packing_in_order(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE", 5)
+    monkeypatch.setattr(B, "FAN", 3)
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.choice([0, 1, 2, 3, 7, 30, 41]), rng.choice(["a", "a", "a", None, "b"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    order = {r.doc_id: r.o for r in df.select("doc_id", B.seeded_order()[0].alias("o")).collect()}
+    want = []
+    for lang in ("a", "b", None):
+        unit, total, held = 0, 0, []
+        for i, text, _ in sorted((r for r in rows if r[2] == lang and r[1]), key=lambda r: (order[r[0]], r[0])):
+            held.append(i)
+            total += len(text) + 4
+            if total >= 40:
+                want += [(lang, j, unit, total - 4) for j in held]
+                unit, total, held = unit + 1, 0, []
+    got = [(r.lang, r.doc_id, r.unit, r.unit_chars) for r in B.pack(df, 40).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 200
+    assert B.pack(df.limit(0), 40).count() == 0
+    for _ in range(100):
+        lengths = np.array([rng.randint(1, 30) for _ in range(rng.randint(0, 20))])
+        after, filled = B.range_map(lengths, 17)
+        for start in range(17):
+            total, units = start, 0
+            for n in lengths:
+                total += n
+                if total >= 17:
+                    total, units = 0, units + 1
+            assert (after[start], filled[start]) == (total, units)
+
+
 def test_scores_without_rivals_stay(spark):
     none = spark.createDataFrame([], "idx array<int>, val array<int>, weight double")
     assert fit_scores(none, np.array([-1.0])).scores.tolist() == [-1.0]
