@@ -7,17 +7,17 @@ pre-tokens, whose number grows far slower than the corpus, and joins back.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.functions.text import byte_alphabet
-from glyphmill.session import spread
+from glyphmill.session import materialise, spread
 
 FLOOR = -100000.0
 _PIECES = T.StructField("pieces", T.ArrayType(T.StringType()))
@@ -168,41 +168,80 @@ def identity_surfaces(vocab: DataFrame) -> DataFrame:
     return vocab.select("id", F.array("id").alias("surface"))
 
 
-def train_unigram(counts: DataFrame, seeds: dict[str, float], size: int, rounds: int = 4, shrink: float = 0.75) -> dict[str, float]:
+def _sums(counts: DataFrame, each: Callable[[str], dict[str, float]]) -> dict[str, float]:
+    """Sums by piece of what ``each`` gives for a text (pretoken, n), times its count. Tasks add up first; to the driver comes a
+    number for each piece of the vocabulary."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sums: dict[str, float] = {}
+            for text, n in zip(frame["pretoken"], frame["n"], strict=True):
+                for piece, x in each(text).items():
+                    sums[piece] = sums.get(piece, 0.0) + x * n
+            yield pd.DataFrame({"piece": list(sums), "x": list(sums.values())})
+
+    found = counts.mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x"))
+    return {r.piece: r.x for r in found.collect()}
+
+
+def removal_losses(pieces: DataFrame, scores: dict[str, float], used: dict[str, float]) -> dict[str, float]:
+    """How much likelier the texts are with each piece (piece) than if its best other segmentation stood in its place. used: how
+    often pieces occur in the best segmentations; one that doesn't occur loses nothing."""
+    held = pieces.sparkSession.sparkContext.broadcast((scores, used))
+    total, longest = sum(used.values()), max(map(len, scores))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, used = held.value
+        for frame in frames:
+            out = []
+            for piece in frame["piece"]:
+                n = used.get(piece, 0.0)
+                parts = best_segmentation(piece, {k: v for k, v in _within(piece, scores, longest).items() if k != piece}, longest) if n else []
+                after = math.log(total + n * (len(parts) - 1)) if n else 0.0
+                other = sum(math.log(used.get(p, 0.0) + n) - after for p in parts)
+                out.append(n * (math.log(n) - math.log(total) - other) if n else 0.0)
+            yield pd.DataFrame({"piece": frame["piece"], "loss": out})
+
+    return {r.piece: r.loss for r in pieces.mapInPandas(run, "piece string, loss double").collect()}
+
+
+def _within(text: str, scores: dict[str, float], longest: int) -> dict[str, float]:
+    """The scores of a text's own substrings."""
+    cuts = (text[i : i + k] for i in range(len(text)) for k in range(1, min(longest, len(text) - i) + 1))
+    return {c: scores[c] for c in cuts if c in scores}
+
+
+def train_unigram(counts: DataFrame, seeds: dict[str, float], size: int, rounds: int = 2, shrink: float = 0.75) -> dict[str, float]:
     """A unigram vocabulary by expectation and maximisation over distinct pre-tokens (pretoken, n), pruned to ``size``.
 
-    Each round's expected counts are forward-backward sums in Arrow batches, added up by Spark; single characters are
-    never pruned. seeds: pieces with log-probabilities.
+    Each round's expected counts are forward-backward sums in Arrow batches, added up by Spark. After ``rounds`` of them
+    the pieces whose removal costs the least likelihood go, a quarter at a time (``shrink``); ties by piece. Single
+    characters are never pruned, so every text keeps a segmentation. seeds: pieces with log-probabilities; they and what
+    is collected have the vocabulary's size. No counts leave the seeds as they are.
     """
     spark, vocab = counts.sparkSession, dict(seeds)
-    for _ in range(100):
+    counts = materialise(spread(counts.select("pretoken", "n"), "pretoken"), "training-pretokens")
+    while True:
         for _ in range(rounds):
-            longest = max(map(len, vocab))
-            held = spark.sparkContext.broadcast(vocab)
-
-            def run(frames: Iterator[pd.DataFrame], held=held, longest=longest) -> Iterator[pd.DataFrame]:
-                scores = held.value
-                for frame in frames:
-                    sums: dict[str, float] = {}
-                    for text, n in zip(frame["pretoken"], frame["n"], strict=True):
-                        for piece, x in expected_counts(text, scores, longest).items():
-                            sums[piece] = sums.get(piece, 0.0) + x * n
-                    yield pd.DataFrame({"piece": list(sums), "x": list(sums.values())})
-
-            found = spread(counts.select("pretoken", "n"), "pretoken").mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
-            total = sum(r.x for r in found)
-            rest = {p: s for p, s in vocab.items() if len(p) == 1}
-            floor = float(np.log(0.5 / total))
-            vocab = {p: floor for p in rest} | {r.piece: float(np.log(max(r.x, 1e-9) / total)) for r in found if r.x > 0.5 or len(r.piece) == 1}
+            held, longest = spark.sparkContext.broadcast(vocab), max(map(len, vocab))
+            found = _sums(counts, lambda text, held=held, longest=longest: expected_counts(text, held.value, longest))
+            total = sum(found.values())
+            if not total:
+                return vocab
+            floor = math.log(0.5 / total)
+            singles = {p: floor for p in vocab if len(p) == 1}
+            vocab = singles | {p: math.log(max(x, 1e-9) / total) for p, x in found.items() if x > 0.5 or len(p) == 1}
         if len(vocab) <= size:
-            break
-        keep = max(size, int(len(vocab) * shrink))
-        singles = {p for p in vocab if len(p) == 1}
-        others = sorted((p for p in vocab if p not in singles), key=lambda p: (-vocab[p], p))[: max(0, keep - len(singles))]
-        if len(others) + len(singles) >= len(vocab):
-            break
-        vocab = {p: vocab[p] for p in [*singles, *others]}
-    return vocab
+            return vocab
+        held, longest = spark.sparkContext.broadcast(vocab), max(map(len, vocab))
+        used = _sums(counts, lambda text, held=held, longest=longest: Counter(best_segmentation(text, held.value, longest)))
+        singles = [p for p in vocab if len(p) == 1]
+        others = spread(spark.createDataFrame([(p,) for p in vocab if len(p) > 1], "piece string"), "piece")
+        losses = removal_losses(others, vocab, used)
+        keep = max(0, max(size, int(len(vocab) * shrink)) - len(singles))
+        if keep >= len(losses):
+            return vocab
+        vocab = {p: vocab[p] for p in [*singles, *sorted(losses, key=lambda p: (-losses[p], p))[:keep]]}
 
 
 def _log_sum(x: float, y: float) -> float:

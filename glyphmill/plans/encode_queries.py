@@ -17,12 +17,15 @@ from glyphmill.functions import text as T
 from glyphmill.operators import counts as C
 from glyphmill.operators import encode as E
 from glyphmill.operators import fitting
+from glyphmill.operators import suffixes as X
 from glyphmill.operators import vocab as W
 from glyphmill.plans.text_queries import _TABLE, mapped_sql, pretokens_sql
 from glyphmill.session import materialise
 
 #: Pieces of the vocabulary beside the bytes, and their length at most.
 PIECES, LONGEST = 400, 6
+#: Pieces of a trained vocabulary.
+TRAINED = 8000
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,17 +115,22 @@ def fitted_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p, float(s), float(f), gap) for p, s, f in zip(names, start, fit.scores, strict=True)], "piece string, start double, fitted double, gap double")
 
 
+def repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """The substrings of 2 to 16 characters that go on in different ways, with how often they occur."""
+    return X.repeated_substrings(_counts(spark, sf))
+
+
 def trained_unigram(spark: SparkSession, sf: str) -> DataFrame:
-    """A unigram vocabulary of 200 pieces trained on the pre-tokens of all documents."""
+    """A unigram vocabulary of 8,000 pieces (fewer, if the texts have fewer) trained on the pre-tokens of all documents, from
+    the 16,000 repeated substrings that cover the most."""
     counts = _counts(spark, sf)
-    scores = _scores(counts)
-    used = {r.c for r in counts.select(F.explode(F.split("pretoken", "")).alias("c")).distinct().collect()}  # of 256 byte characters
-    seeds = {p: s for p, s in scores.items() if len(p) > 1 or p in used}
-    vocab = E.train_unigram(counts, seeds, 200, rounds=2)
+    top = X.seed_pieces(counts, 2 * TRAINED).collect()
+    total = sum(r.n * len(r.piece) for r in top)
+    vocab = E.train_unigram(counts, {r.piece: math.log(r.n * len(r.piece) / total) for r in top}, TRAINED)
     return spark.createDataFrame(sorted(vocab.items()), "piece string, logp double")
 
 
-QUERIES = {f.__name__: f for f in (repaired_merges, bpe_encode, viterbi_encode, greedy_encode, nbest, nbest_rivals, encoded_surfaces, segmentation_accuracy, fitted_scores, trained_unigram)}
+QUERIES = {f.__name__: f for f in (repeated_substrings, repaired_merges, bpe_encode, viterbi_encode, greedy_encode, nbest, nbest_rivals, encoded_surfaces, segmentation_accuracy, fitted_scores, trained_unigram)}
 
 _LIST = _TABLE.replace("'", "''")
 _WITH = f"""WITH RECURSIVE c AS (SELECT {mapped_sql("pretoken")} AS t, n FROM (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken)),
@@ -142,6 +150,9 @@ FROM nb, held WHERE i > 0), each AS (SELECT t, unnest(v[1]) AS x, unnest(range(l
 _MERGES = """ends AS (SELECT piece[1:n] AS p, min(piece) AS of FROM (SELECT piece, unnest(range(2, length(piece) + 1)) AS n FROM top) GROUP BY ALL),
 merges AS (SELECT row_number() OVER (ORDER BY of, length(p)) - 1 AS rank, p[1:length(p) - 1] AS l, p[length(p):] AS r FROM ends)"""
 SQL = {
+    "repeated_substrings": f"""WITH c AS (SELECT {mapped_sql("pretoken")} AS t, n FROM (SELECT pretoken, count(*) AS n FROM ({pretokens_sql()}) GROUP BY pretoken)),
+cut AS (SELECT n, substr(t, i, k) AS piece, substr(t, i + k, 1) AS after FROM (SELECT t, n, i, unnest(range(1, least(16, length(t) - i + 1) + 1)) AS k FROM (SELECT t, n, unnest(range(1, length(t) + 1)) AS i FROM c)))
+SELECT piece, sum(n)::BIGINT AS n FROM cut WHERE length(piece) > 1 GROUP BY piece HAVING min(after) < max(after)""",
     "repaired_merges": f'{_WITH}, {_MERGES} SELECT rank, l AS "left", r AS "right" FROM merges',
     "bpe_encode": f"""{_WITH}, {_MERGES}, ranks AS (SELECT map(list(l || ' ' || r), list(rank)) AS mr FROM merges),
 bpe AS (SELECT t, string_split(t, '') AS v FROM c UNION ALL SELECT t, list_concat(v[1:x.i - 1], [v[x.i] || v[x.i + 1]], v[x.i + 2:])
