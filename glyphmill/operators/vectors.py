@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from glyphmill.operators.neighbours import most_similar
 from glyphmill.operators.vocab import same_vocab
 
 EPS = 1e-8
@@ -162,15 +162,13 @@ def identity_loss(pairs: DataFrame) -> DataFrame:
 
 
 def similar_transfer(queries: DataFrame, table: DataFrame, neighbours: int = 10, temperature: float = 0.1) -> DataFrame:
-    """(id, vec): the softmax-weighted mean of the most similar rows. Queries are blocks of a stated set that is
-    broadcast, so it has to be small; the table may be large."""
-    q = queries.select("id", F.col("vec").alias("_q"))
-    near = table.select(F.col("id").alias("_n"), "vec").crossJoin(F.broadcast(q)).withColumn("s", cosine(F.col("vec"), F.col("_q")))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "_n"))).where(F.col("r") <= neighbours)
-    near = near.withColumn("w", F.exp(F.col("s") / temperature))
-    near = near.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("id")))
-    each = near.select("id", "w", F.posexplode("vec").alias("pos", "x")).groupBy("id", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select("id", F.transform("v", lambda e: e["x"]).alias("vec"))
+    """(id, vec): the softmax-weighted mean of the most similar rows, of which a query has at most ``neighbours``."""
+    near = most_similar(queries, table, neighbours).withColumn("w", F.exp(F.col("s") / temperature))
+    rows = near.join(table.select(F.col("id").alias("n"), "vec"), "n").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w", "vec"))).alias("of"))
+    zeros = F.transform(F.element_at("of", 1)["vec"], lambda _: F.lit(0.0))
+    mean = F.aggregate("of", zeros, lambda a, r: F.zip_with(a, r["vec"], lambda x, y: x + y * r["w"]))
+    weight = F.aggregate("of", F.lit(0.0), lambda a, r: a + r["w"])
+    return rows.select("id", mean.alias("_v"), weight.alias("_w")).select("id", F.transform("_v", lambda x: x / F.col("_w")).alias("vec"))
 
 
 def project(v: Column, weight: list[list[float]], bias: list[float]) -> Column:

@@ -118,7 +118,7 @@ def lexical_losses(spark: SparkSession, sf: str) -> DataFrame:
 
 def similar_transfer(spark: SparkSession, sf: str) -> DataFrame:
     vecs = _vectors(spark, sf).select("id", "vec")
-    return V.similar_transfer(vecs.where("id % 50 = 0"), vecs).select("id", F.round(V.total(F.col("vec")), 5).alias("total"))
+    return V.similar_transfer(vecs, vecs).select("id", F.round(V.total(F.col("vec")), 5).alias("total"))
 
 
 def projector(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,7 +318,7 @@ SELECT id, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(l
 k AS (SELECT m, n, list_dot_product(d, d) AS mse, sqrt(list_dot_product(d, d)) AS rmse, list_sum(list_transform(d, lambda e: 0.5 * least(abs(e), 0.001) * least(abs(e), 0.001) + 0.001 * (abs(e) - least(abs(e), 0.001)))) / 64 / 0.001 / 30 AS hub FROM z)
 SELECT 'mse' AS kind, round(sum(mse * m) / (sum(m) + 1e-8) / avg(n), 6) AS loss FROM k UNION ALL SELECT 'rmse', round(sum(rmse * m) / (sum(m) + 1e-8) / avg(n), 6) FROM k
 UNION ALL SELECT 'huber', round(sum(hub * m) / (sum(m) + 1e-8) / avg(n), 6) FROM k UNION ALL SELECT 'identity', round(avg(mse), 6) FROM k""",
-    "similar_transfer": f"""WITH {_V}, s AS (SELECT q.id, v.id AS n, list_dot_product(q.vec, v.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(v.vec, v.vec))) AS s, list_sum(v.vec) AS t FROM v q, v WHERE q.id % 50 = 0),
+    "similar_transfer": f"""WITH {_V}, s AS (SELECT q.id, v.id AS n, list_dot_product(q.vec, v.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(v.vec, v.vec))) AS s, list_sum(v.vec) AS t FROM v q, v),
 r AS (SELECT id, s, t FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, n) <= 10) SELECT id, round(sum(exp(s / 0.1) * t) / sum(exp(s / 0.1)), 5) AS total FROM r GROUP BY id""",
     "metrics_by_lang": "SELECT lang, round(avg(strlen(text)), 6) AS mean, round(stddev_pop(strlen(text)), 6) AS std FROM documents GROUP BY lang",
     "metrics_known_langs": "SELECT k.lang, round(coalesce(avg(n_chars), 'nan'::DOUBLE), 6) AS mean FROM (SELECT unnest(['en', 'de', 'xx']) AS lang) k LEFT JOIN documents d USING (lang) GROUP BY k.lang",
