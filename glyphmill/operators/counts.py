@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,13 +31,14 @@ def top_k(counts: DataFrame, k: int, by: tuple[str, ...] = (), name: str = "pret
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: A vocabulary of up to so many pieces is broadcast; a larger one is joined by shuffle.
+#: A vocabulary of up to so many pieces is broadcast as an automaton; a larger one is joined by shuffle.
 BROADCAST_PIECES = 200_000
 
 
 def _cut(counts: DataFrame, longest: int) -> DataFrame:
-    """(piece, n): a row for every occurrence of every substring up to ``longest`` characters."""
-    starts = spread(counts, "pretoken").select("pretoken", "n", F.explode(F.sequence(F.lit(1), F.length("pretoken"))).alias("at"))
+    """(piece, n): a row for every occurrence of every substring up to ``longest`` characters; null and empty texts have none."""
+    texts = spread(counts.where("length(pretoken) > 0"), "pretoken")
+    starts = texts.select("pretoken", "n", F.explode(F.sequence(F.lit(1), F.length("pretoken"))).alias("at"))
     room = F.least(F.lit(longest), F.length("pretoken") - F.col("at") + 1)
     sized = starts.select("pretoken", "n", "at", F.explode(F.sequence(F.lit(1), room)).alias("k"))
     return sized.select(F.substring(F.col("pretoken"), F.col("at"), F.col("k")).alias("piece"), "n")
@@ -45,16 +50,43 @@ def substrings(counts: DataFrame, longest: int) -> DataFrame:
     return _cut(counts, longest).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def _found(counts: DataFrame, pieces: list[str]) -> DataFrame:
+    """(piece, n): overlapping occurrences of a list of pieces by an automaton that reads each text once. A task adds up first and
+    gives a row for each piece it met."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, piece in enumerate(pieces):
+        automaton.add_word(piece, i)
+    automaton.make_automaton()
+    held = counts.sparkSession.sparkContext.broadcast((automaton, pieces))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, pieces = held.value
+        sums: dict[int, int] = {}
+        for frame in frames:
+            for text, n in zip(frame["pretoken"], frame["n"], strict=True):
+                for _, i in automaton.iter(text):
+                    sums[i] = sums.get(i, 0) + n
+        yield pd.DataFrame({"piece": [pieces[i] for i in sums], "n": list(sums.values())})
+
+    texts = spread(counts.where("pretoken IS NOT NULL").select("pretoken", "n"), "pretoken")
+    return texts.mapInPandas(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
 def occurrences(counts: DataFrame, vocab: DataFrame, longest: int | None = None) -> DataFrame:
-    """(id, piece, is_special, n): overlapping occurrences of each vocabulary piece in all pre-tokens; 0 if it has none.
+    """(id, piece, is_special, n): overlapping occurrences of each vocabulary piece of up to ``longest`` characters in all
+    pre-tokens; 0 if it has none, or is null or empty.
 
-    Substrings are only cut as long as the longest piece, and those that aren't pieces go before anything is shuffled.
+    Up to BROADCAST_PIECES pieces go to the tasks as an automaton, so work grows with the texts and the hits. For more,
+    substrings as long as the longest piece are cut and joined by shuffle.
     """
     size, most = vocab.agg(F.count("*"), F.coalesce(F.max(F.length("piece")), F.lit(1))).first()
-    pieces = vocab.select("id", "piece")
-    found = _cut(counts, min(longest or most, most)).join(F.broadcast(pieces) if size <= BROADCAST_PIECES else pieces, "piece")
-    found = found.groupBy("id").agg(F.sum("n").alias("n"))
-    return vocab.join(found, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    most = min(longest or most, most)
+    if size > BROADCAST_PIECES:
+        found = _cut(counts, most).join(vocab.select("piece").distinct(), "piece").groupBy("piece").agg(F.sum("n").alias("n"))
+    else:
+        wanted = vocab.where((F.length("piece") > 0) & (F.length("piece") <= most)).select("piece").distinct().collect()
+        found = _found(counts, sorted(r.piece for r in wanted)) if wanted else counts.select(F.col("pretoken").alias("piece"), "n").where("false")
+    return vocab.join(found, "piece", "left").select(*vocab.columns, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def log_prior(counted: DataFrame, count: Column) -> DataFrame:

@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from glyphmill.operators import counts as C
 from glyphmill.operators import encode as E
 from glyphmill.operators import suffixes as X
 
@@ -57,3 +59,26 @@ def test_training_keeps_what_the_texts_need(spark):
     assert len(vocab) <= 10 and set("therinq") <= set(vocab)
     assert E.best_segmentation("therein", vocab, 16) in (["there", "in"], ["there", "i", "n"], ["therein"])
     assert E.train_unigram(counts.where("false"), seeds, 10) == seeds
+
+
+def test_occurrences_by_automaton_and_by_join(spark, monkeypatch):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdé") for _ in range(draw.randint(1, 20))) for _ in range(400)] + ["", None]
+    pieces = {"".join(draw.choice("abcdé") for _ in range(draw.randint(1, 7))) for _ in range(3000)}
+    vocab = spark.createDataFrame([(i, p, False) for i, p in enumerate([*sorted(pieces), "a", "", None, "<s>"])], "id int, piece string, is_special boolean")
+    counts = spark.createDataFrame([(t, i % 7 + 1) for i, t in enumerate(texts)], "pretoken string, n long")
+    for longest in (None, 4):
+        monkeypatch.setattr(C, "BROADCAST_PIECES", 200_000)
+        by_automaton = {r.id: r.n for r in C.occurrences(counts, vocab, longest).collect()}
+        monkeypatch.setattr(C, "BROADCAST_PIECES", 10)
+        assert by_automaton == {r.id: r.n for r in C.occurrences(counts, vocab, longest).collect()}
+        assert by_automaton[0] > 0 and len(by_automaton) == vocab.count()
+    assert {r.n for r in C.occurrences(counts.where("false"), vocab).collect()} == {0}
+
+
+def test_fifty_thousand_pieces(spark):
+    """Rows out grow with what is found, not with the texts' substrings."""
+    vocab = spark.range(50_000).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("w"), F.col("id"), F.lit("x")).alias("piece"), F.lit(False).alias("is_special"))
+    counts = spark.range(0, 50_000, 5).select(F.concat(F.lit("-w"), F.col("id"), F.lit("x-")).alias("pretoken"), F.lit(2).cast("long").alias("n"))
+    found = C.occurrences(counts, vocab).agg(F.sum("n"), F.count_if("n > 0"), F.count("*")).first()
+    assert tuple(found) == (20_000, 10_000, 50_000)
