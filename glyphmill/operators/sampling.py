@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,7 +66,7 @@ def coverage_sample(items: DataFrame, batch: int, least: int, n: int, seed: int)
     """(sample, pos, id): n samples of ``batch`` ids in which each id of (id, logp) occurs ``least`` times or more.
 
     The ids are dealt out least times in hash order over the samples; what room a sample has left is drawn by weight
-    exp(logp) without replacement (exponential keys). n must be a multiple of least; an id at or below -100000 is only
+    exp(logp) without replacement (the least exponential keys, kept by each task and then merged). n must be a multiple of least; an id at or below -100000 is only
     dealt, never drawn.
     """
     if n % least:
@@ -74,16 +77,39 @@ def coverage_sample(items: DataFrame, batch: int, least: int, n: int, seed: int)
         raise ValueError("the samples have too little room to cover all ids")
     passes = items.select("id", F.explode(F.sequence(F.lit(0), F.lit(least - 1))).alias("p"))
     order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("p").cast("string"), F.lit(str(seed))))
-    dealt = passes.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(order, "id")) - 1)
-    dealt = dealt.select((F.col("p") * per + F.pmod("r", F.lit(per))).cast("int").alias("sample"), "id", F.lit(0.0).alias("_key"))
-    each = items.where("logp > -100000").select("id", "logp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
-    u = F.greatest(uniform(F.concat_ws("-", F.col("id").cast("string"), F.col("sample").cast("string")), seed), F.lit(1e-15))
-    drawn = each.join(dealt.select("sample", "id"), ["sample", "id"], "left_anti").select("sample", "id", (-F.log(u) / F.exp("logp")).alias("_key"))
+    dealt = numbered(passes, "r", [order, "id"], ["p"]).select("id", (F.col("p") * per + F.pmod("r", F.lit(per))).cast("int").alias("sample"))
+    own = dealt.groupBy("id").agg(F.collect_list("sample").alias("own"))  # of ``least`` samples
+    u = lambda s: F.greatest(uniform(F.concat_ws("-", F.col("id").cast("string"), s.cast("string")), seed), F.lit(1e-15))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.when(~F.array_contains("own", s), -F.log(u(s)) / F.exp("logp")))
+    drawn = least_keys(items.where("logp > -100000").join(own, "id").select("id", keys.alias("keys")), batch)
     rank = F.row_number().over(Window.partitionBy("sample").orderBy("_key", "id"))
-    both = dealt.unionByName(drawn.select("sample", "id", "_key")).withColumn("pos", rank)
+    both = dealt.select("sample", "id", F.lit(0.0).alias("_key")).unionByName(drawn).withColumn("pos", rank)
     return both.where(F.col("pos") <= batch).select("sample", (F.col("pos") - 1).alias("pos"), "id")
 
 
+def least_keys(rows: DataFrame, k: int) -> DataFrame:
+    """(sample, id, _key): of rows (id, keys: one for each sample, or null) those that a task needs for the k least keys of each
+    sample; ties by id. A task holds, and gives, k rows a sample, so items x samples rows are never shuffled."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for frame in frames:
+            if not len(frame):
+                continue
+            ids, keys = frame["id"].to_numpy(), np.array([np.asarray(v, dtype=float) for v in frame["keys"]])
+            for sample in range(keys.shape[1]):
+                column = keys[:, sample]
+                old_keys, old_ids = held.get(sample, (column[:0], ids[:0]))
+                new = column <= old_keys[-1] if len(old_keys) == k else ~np.isnan(column)
+                all_keys, all_ids = np.concatenate([old_keys, column[new]]), np.concatenate([old_ids, ids[new]])
+                best = np.lexsort((all_ids, all_keys))[:k]
+                held[sample] = all_keys[best], all_ids[best]
+        for sample, (keys, ids) in held.items():
+            yield pd.DataFrame({"sample": sample, "id": ids, "_key": keys})
+
+    return rows.mapInPandas(run, f"sample int, id {rows.schema['id'].dataType.simpleString()}, _key double")
+
+
 def equal_batches(items: DataFrame, size: int, seed: int) -> DataFrame:
     """(batch, pos, id, padding): all ids in hash order in batches of one size; the last is filled with id 0."""
     order = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))

@@ -145,6 +145,19 @@ def test_coverage_and_batches(spark):
     assert sorted(drawn.collect()) == sorted(drawn.repartition(16).collect())
 
 
+def test_least_keys_hold_ties_and_gaps(spark):
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([0.5, 0.1, draw.random()]), None if i % 3 else draw.random(), None]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, keys array<double>")
+    for parts in (1, 7):
+        found = R.least_keys(df.repartition(parts), 9).collect()
+        assert len(found) <= 9 * 3 * parts
+        for s in range(3):
+            wanted = sorted((k[s], i) for i, k in rows if k[s] is not None)[:9]
+            assert sorted((r["_key"], r.id) for r in found if r.sample == s)[:9] == wanted
+    assert R.least_keys(df.where("false"), 9).count() == 0
+
+
 def test_segmentation_matches_all_splits():
     scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.6, "aba": -3.6, "bb": -9.0}
 
