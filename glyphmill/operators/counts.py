@@ -66,7 +66,8 @@ def _found(counts: DataFrame, pieces: list[str]) -> DataFrame:
             for text, n in zip(frame["pretoken"], frame["n"], strict=True):
                 for _, i in automaton.iter(text):
                     sums[i] = sums.get(i, 0) + n
-        yield pd.DataFrame({"piece": [pieces[i] for i in sums], "n": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"piece": [pieces[i] for i in sums], "n": list(sums.values())})
 
     texts = spread(counts.where("pretoken IS NOT NULL").select("pretoken", "n"), "pretoken")
     return texts.mapInPandas(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))

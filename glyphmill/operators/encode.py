@@ -178,7 +178,8 @@ def _sums(counts: DataFrame, each: Callable[[str], dict[str, float]]) -> dict[st
             for text, n in zip(frame["pretoken"], frame["n"], strict=True):
                 for piece, x in each(text).items():
                     sums[piece] = sums.get(piece, 0.0) + x * n
-            yield pd.DataFrame({"piece": list(sums), "x": list(sums.values())})
+            if sums:
+                yield pd.DataFrame({"piece": list(sums), "x": list(sums.values())})
 
     found = counts.mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x"))
     return {r.piece: r.x for r in found.collect()}
@@ -200,7 +201,8 @@ def removal_losses(pieces: DataFrame, scores: dict[str, float], used: dict[str,
                 after = math.log(total + n * (len(parts) - 1)) if n else 0.0
                 other = sum(math.log(used.get(p, 0.0) + n) - after for p in parts)
                 out.append(n * (math.log(n) - math.log(total) - other) if n else 0.0)
-            yield pd.DataFrame({"piece": frame["piece"], "loss": out})
+            if out:
+                yield pd.DataFrame({"piece": frame["piece"], "loss": out})
 
     return {r.piece: r.loss for r in pieces.mapInPandas(run, "piece string, loss double").collect()}
 
