@@ -16,6 +16,22 @@ from glyphmill.session import spread
 FLOOR = -100000.0
 
 
+def first_pretokens(texts: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(by.., p, first): a row for each pre-token, and whether it is its text's first."""
+    each = texts.select(*by, F.posexplode(pretokens(F.concat(F.lit(" "), F.col(text_col)), letters_only=True)).alias("at", "p"))
+    return each.select(*by, "p", (F.col("at") == 0).alias("first"))
+
+
+def cut_pieces(counted: DataFrame, by: Sequence[str], max_length: int = 16, stride: int = 4) -> DataFrame:
+    """(by.., n, piece): the substrings of pre-tokens (by.., p, first, n), as ``seed_scores`` defines them."""
+    starts = F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda j: F.octet_length(F.substring(F.col("p"), F.lit(2), j)))
+    starts = F.when(F.col("first"), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+    strided = F.filter(starts, lambda _, i: i % stride == 0)
+    cut = counted.select(*by, "n", to_byte_level(F.col("p")).alias("m"), F.explode(strided).alias("start")).where("start < length(m)")
+    room = F.least(F.lit(max_length - 1), F.length("m") - F.col("start"))
+    return cut.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("m"), F.col("start") + 1, k))).alias("piece"))
+
+
 def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str | Sequence[str] = "batch_id", text_col: str = "text") -> DataFrame:
     """(by.., piece, score): byte-level substrings from every stride-th start of each pre-token, of 1 to max_length - 1
     bytes; each occurrence scores the UTF-8 length of its printable form.
@@ -25,14 +41,8 @@ def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str
     cut up, so a frequent one is cut once for each batch.
     """
     by = [by] if isinstance(by, str) else list(by)
-    each = texts.select(*by, F.posexplode(pretokens(F.concat(F.lit(" "), F.col(text_col)), letters_only=True)).alias("at", "p"))
-    counted = spread(each.groupBy(*by, "p", (F.col("at") == 0).alias("first")).agg(F.count("*").alias("n")), "p")
-    starts = F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda j: F.octet_length(F.substring(F.col("p"), F.lit(2), j)))
-    starts = F.when(F.col("first"), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
-    strided = F.filter(starts, lambda _, i: i % stride == 0)
-    cut = counted.select(*by, "n", to_byte_level(F.col("p")).alias("m"), F.explode(strided).alias("start")).where("start < length(m)")
-    room = F.least(F.lit(max_length - 1), F.length("m") - F.col("start"))
-    pieces = cut.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("m"), F.col("start") + 1, k))).alias("piece"))
+    each = first_pretokens(texts, by, text_col)
+    pieces = cut_pieces(spread(each.groupBy(*by, "p", "first").agg(F.count("*").alias("n")), "p"), by, max_length, stride)
     return pieces.groupBy(*by, "piece").agg(F.sum(F.col("n") * F.octet_length("piece")).cast("long").alias("score"))
 
 
