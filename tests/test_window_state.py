@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators.seeds import recent_scores, seed_scores
@@ -8,6 +9,14 @@ KEYS = ("lang", "pool")
 COLUMNS = "lang string, pool int, batch_id long, text string"
 
 
+@pytest.fixture(autouse=True)
+def two_stores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def wanted(spark, rows):
     return shown(recent_scores(seed_scores(spark.createDataFrame(rows, COLUMNS), by=(*KEYS, "batch_id")), 2, KEYS))
 
