@@ -56,7 +56,7 @@ class Parts(InputPartition):
     names: list[str]
 
 
-def _folder(path: str) -> tuple[fs.FileSystem, str]:
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
@@ -69,7 +69,7 @@ class _Reading:
         self.per_task = int(options.get("partspertask", 16))
 
     def listed(self) -> list[str]:
-        store, path = _folder(self.path)
+        store, path = open_folder(self.path)
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
         return sorted(i.base_name for i in found if i.is_file and i.base_name.endswith((".jsonl", ".jsonl.gz")) and i.base_name[0] not in "._")
 
@@ -78,7 +78,7 @@ class _Reading:
         return [Parts(names[at : at + self.per_task]) for at in range(0, max(len(names), 1), self.per_task)]
 
     def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
-        store, path = _folder(self.path)
+        store, path = open_folder(self.path)
         whole = to_arrow_schema(self.schema)
         wanted = pa.schema([f for f in whole if f.name not in (PART, ERROR)])
 
