@@ -1,7 +1,7 @@
 """A source of JSON-lines parts that may fail: reads are tried again, and a part that stays bad is reported, not dropped.
 
-``spark.read.format("parts")`` and ``spark.readStream.format("parts")`` read a folder's ``.jsonl`` and ``.jsonl.gz`` files.
-Each row has its part's name in ``_part``; a rejected part gives one row with nothing else but ``_error``. Paths with a
+``spark.read.format("parts")`` and ``spark.readStream.format("parts")`` read the ``.jsonl`` and ``.jsonl.gz`` files of a folder and
+its folders. Each row has its part's path in the folder in ``_part``; a rejected part gives one row with nothing else but ``_error``. Paths with a
 scheme go through pyarrow's file systems; a part is held whole by a task.
 """
 
@@ -66,12 +66,14 @@ class _Reading:
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.schema, self.path = schema, options["path"]
         self.tries, self.wait = int(options.get("tries", 4)), float(options.get("wait", 0.5))
+        self.suffixes = tuple(options.get("suffixes", ".jsonl,.jsonl.gz").split(","))
         self.per_task = int(options.get("partspertask", 16))
 
     def listed(self) -> list[str]:
         store, path = open_folder(self.path)
-        found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        return sorted(i.base_name for i in found if i.is_file and i.base_name.endswith((".jsonl", ".jsonl.gz")) and i.base_name[0] not in "._")
+        found = store.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
+        names = [i.path[i.path.index(path.lstrip("/")) + len(path.strip("/")) + 1 :] for i in found if i.is_file and i.base_name.endswith(self.suffixes)]
+        return sorted(n for n in names if not any(x[0] in "._" for x in n.split("/")))
 
     def dealt(self, names: list[str]) -> list[Parts]:
         """At least one task, as a source without any is asked to read None."""
@@ -117,7 +119,8 @@ class _Stream(_Reading, DataSourceStreamReader):
 
 
 class PartsSource(DataSource):
-    """Options: ``path``, ``tries`` (4), ``wait`` (0.5 s before the second try, then doubled), ``partsPerTask`` (16)."""
+    """Options: ``path``, ``tries`` (4), ``wait`` (0.5 s before the second try, then doubled), ``partsPerTask`` (16),
+    ``suffixes`` (``.jsonl,.jsonl.gz``)."""
 
     @classmethod
     def name(cls) -> str:

@@ -33,9 +33,12 @@ def test_bad_parts_are_reported_and_good_ones_whole(spark, tmp_path):
     files = {"a.jsonl": lines((1, "é\n"), (2, "")), "b.jsonl.gz": good, "c.jsonl.gz": good[:-9], "d.jsonl": b'{"id": 5}\n{"id": ', "e.jsonl": b'{"id": "x"}\n', "f.jsonl": b"", "_g.jsonl": b"?", "h.txt": b"?"}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
+    (tmp_path / "deep/_not").mkdir(parents=True)
+    (tmp_path / "deep/a.jsonl").write_bytes(lines((9, "deep")))
+    (tmp_path / "deep/_not/a.jsonl").write_bytes(b"?")
     for size in (1, 16):
         rows = read_parts(spark, str(tmp_path), COLUMNS, partsPerTask=size)
-        assert sorted((r.id, r.text, r._part) for r in accepted(rows).collect()) == [(1, "é\n", "a.jsonl"), (2, "", "a.jsonl"), (3, "c", "b.jsonl.gz"), (4, None, "b.jsonl.gz")]
+        assert sorted((r.id, r.text, r._part) for r in accepted(rows).collect()) == [(1, "é\n", "a.jsonl"), (2, "", "a.jsonl"), (3, "c", "b.jsonl.gz"), (4, None, "b.jsonl.gz"), (9, "deep", "deep/a.jsonl")]
         assert sorted(r.part for r in rejected(rows).collect()) == ["c.jsonl.gz", "d.jsonl", "e.jsonl"]
     assert read_parts(spark, f"{tmp_path}/none", COLUMNS).count() == 0
 

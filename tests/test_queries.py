@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from glyphmill.plans import corpus_queries, draw_queries, encode_queries, more_queries, source_queries, table_queries, text_queries
+from glyphmill.plans import corpus_queries, draw_queries, encode_queries, more_queries, source_queries, stream_queries, table_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = text_queries.QUERIES | table_queries.QUERIES | more_queries.QUERIES | source_queries.QUERIES | encode_queries.QUERIES | corpus_queries.QUERIES | draw_queries.QUERIES
-SQL = text_queries.SQL | table_queries.SQL | more_queries.SQL | source_queries.SQL | encode_queries.SQL | corpus_queries.SQL | draw_queries.SQL
+QUERIES = text_queries.QUERIES | table_queries.QUERIES | more_queries.QUERIES | source_queries.QUERIES | encode_queries.QUERIES | corpus_queries.QUERIES | draw_queries.QUERIES | stream_queries.QUERIES
+SQL = text_queries.SQL | table_queries.SQL | more_queries.SQL | source_queries.SQL | encode_queries.SQL | corpus_queries.SQL | draw_queries.SQL | stream_queries.SQL
 
 
 def plain(v):
