@@ -91,7 +91,8 @@ def _near(lines: DataFrame, near_words: int) -> DataFrame:
     found = _may_hold(long, "h1", able).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "h1")).alias("at"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
     texts = materialise(found.join(able, ["h1", "h2"]), "line-candidates")
 
-    each = texts.select("h1", "h2", "n", "head", "tail", F.posexplode(F.split("line", " ")).alias("j", "word"))
+    # dealt as lines, so that the windows over a line's words need no shuffle of words
+    each = texts.repartition("h1", "h2").select("h1", "h2", "n", "head", "tail", F.posexplode(F.split("line", " ")).alias("j", "word"))
     each = each.withColumn("here", F.xxhash64("word", "j")).withColumn("left", F.xxhash64("word", F.col("j") - 1)).drop("word")
     whole = Window.partitionBy("h1", "h2")
     before = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
