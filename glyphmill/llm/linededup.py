@@ -116,8 +116,10 @@ def _near(lines: DataFrame, near_words: int) -> DataFrame:
     )
     members = materialise(each.select("h1", F.explode(kinds).alias("x")).where("x is not null").select("h1", "x.k", "x.kind"), "line-members")
     met = materialise(members.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k"), "line-met")
-    members = _may_hold(members, "k", met).join(met, "k", "left_semi").join(texts.select("h1", "at"), "h1")
-    members = materialise(members.select("h1", "at", "k", "kind"), "line-meetings")
+    members = materialise(_may_hold(members, "k", met).join(met, "k", "left_semi").select("h1", "k", "kind"), "line-meetings")
+    # what follows needs only the lines that met another one
+    texts = materialise(_may_hold(texts.select("h1", "h2", "at", "line"), "h1", members), "line-partners")
+    members = materialise(members.join(texts.select("h1", "at"), "h1").select("h1", "at", "k", "kind"), "line-places")
     first = members.groupBy("k").agg(F.min(F.when(F.col("kind") != 2, F.col("at"))).alias("first_less"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("first_full"))
     rival = F.when(F.col("kind") == 1, F.col("first_full")).otherwise(F.col("first_less"))
     pairs = members.join(first, "k").withColumn("rival", rival).where("rival < at").select("h1", F.col("rival.h1").alias("g1")).distinct()
