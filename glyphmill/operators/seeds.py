@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from glyphmill.functions.text import BLANKS, blank_run, byte_alphabet, pretokens, to_byte_level
 from glyphmill.operators.sampling import normal
 from glyphmill.operators.vocab import place_specials
-from glyphmill.session import spread
+from glyphmill.session import materialise, spread
 
 FLOOR = -100000.0
 
@@ -64,6 +64,16 @@ def recent_scores(scores: DataFrame, last: int, keys: Sequence[str], upto: int |
     return held.join(batches, [*keys, by], "left_semi").groupBy(*keys, "piece").agg(F.sum("score").alias("score"))
 
 
+def recent_texts(texts: DataFrame, last: int, keys: Sequence[str], by: str = "batch_id", text_col: str = "text") -> DataFrame:
+    """The texts of the ``last`` batches that each group occurs in: those that ``recent_scores`` adds up, before they're cut up. A
+    null text is no part of a batch, any other gives a piece. A few batches a group are found first, in a table whose size
+    decides whether it's broadcast."""
+    some = texts.where(F.col(text_col).isNotNull())
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by)))
+    batches = some.select(*keys, by).distinct().withColumn("_age", newest).where(F.col("_age") <= last).drop("_age")
+    return some.join(materialise(batches, "newest-batches"), [*keys, by], "left_semi")
+
+
 def blank_inventory(spark: SparkSession, max_length: int = 16) -> DataFrame:
     """(piece): runs of a blank up to max_length - 1 long after any first blank."""
     of = spark.createDataFrame([(c,) for c in BLANKS], "c string")

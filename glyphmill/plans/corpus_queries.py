@@ -78,7 +78,7 @@ def recent_window(spark: SparkSession, sf: str) -> DataFrame:
     """The last two batches of each language and pool, whichever they are."""
     keys = ("lang", "pool")
     texts = table(spark, sf, "documents").select("lang", (F.col("doc_id") % 2).alias("pool"), F.floor(F.col("doc_id") / 32).alias("batch_id"), "text")
-    return S.recent_scores(S.seed_scores(texts, by=(*keys, "batch_id")), 2, keys)
+    return S.recent_scores(S.seed_scores(S.recent_texts(texts, 2, keys), by=(*keys, "batch_id")), 2, keys)
 
 
 def restarted_stream(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators.seeds import recent_scores, seed_scores
+from glyphmill.operators.seeds import recent_scores, recent_texts, seed_scores
 from glyphmill.sources.tables import stream_corpus
-from glyphmill.streaming.window_state import WindowState
+from glyphmill.streaming.window_state import WindowState, _newest
 
 KEYS = ("lang", "pool")
 COLUMNS = "lang string, pool int, batch_id long, text string"
@@ -52,3 +52,21 @@ def test_null_texts_and_groups(spark, tmp_path):
     assert {(r.lang, r.batch_id) for r in held} == {("en", 0), ("en", 1), (None, 0), (None, 1)}
     assert {r.piece for r in state.scores().where("lang = 'en'").collect()} >= {"Ġab", "Ġcd"}
     assert state.scores().where(F.col("lang").isNull()).count()
+
+
+def test_only_texts_of_the_window_are_cut(spark):
+    rows = [(lang, b % 2, b, f"{lang} {b}") for b in range(40) for lang in ("en", "de") if lang == "en" or b < 9] + [("en", 0, 50, None), ("fr", 0, 3, "")]
+    texts = spark.createDataFrame(rows, COLUMNS)
+    kept = recent_texts(texts, 2, KEYS)
+    assert kept.count() == 9 and shown(recent_scores(seed_scores(kept, by=(*KEYS, "batch_id")), 2, KEYS)) == wanted(spark, rows)
+
+
+def test_a_task_passes_on_its_newest_batches(spark):
+    rows = [("en", i % 2, (i * 7) % 100, f"text {i}") for i in range(300)] + [(None, 0, 4, "none")]
+    texts = spark.createDataFrame(rows, COLUMNS)
+    least = sorted({r[2] for r in rows if r[:2] == ("en", 0)})[-2], sorted({r[2] for r in rows if r[:2] == ("en", 1)})[-2]
+    inside = sorted((r for r in rows if r[0] is None or r[2] >= least[r[1]]), key=str)
+    assert sorted(map(tuple, _newest(texts.coalesce(1), KEYS, 2).collect()), key=str) == inside
+    for parts, most in ((5, 1 << 26), (1, 0)):
+        found = _newest(texts.repartition(parts), KEYS, 2, most).select("lang", "pool", "batch_id", "text").collect()
+        assert set(inside) <= set(map(tuple, found)) <= set(rows) and len(found) == len(set(found))
