@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -145,6 +146,23 @@ def test_coverage_and_batches(spark):
     assert sorted(drawn.collect()) == sorted(drawn.repartition(16).collect())
 
 
+def test_coverage_without_room_keeps_the_first_of_each_deal(spark):
+    items = spark.createDataFrame([(i, -float(i % 5)) for i in range(300)], "id int, logp double")
+    with pytest.raises(ValueError, match="room"):
+        R.coverage_sample(items, 20, 2, 6, 1)
+    for batch, wide in ((20, True), (99, True), (101, False)):  # 100 ids are dealt to each sample
+        rows = R.coverage_sample(items, batch, 2, 6, 1, strict=False).collect()
+        assert all(sorted(r.pos for r in rows if r.sample == s) == list(range(batch)) for s in range(6))
+        dealt = {}
+        for p in range(2):
+            order = sorted(range(300), key=lambda i: (hashlib.md5(f"{i}:{p}:1".encode()).hexdigest(), i))
+            for r, i in enumerate(order):
+                dealt.setdefault(p * 3 + r % 3, []).append(i)
+        for s in range(6):
+            found = [r.id for r in sorted(rows, key=lambda r: r.pos) if r.sample == s]
+            assert found[:100] == sorted(dealt[s])[:batch] if wide else set(dealt[s]) < set(found)
+
+
 def test_least_keys_hold_ties_and_gaps(spark):
     draw = random.Random(3)
     rows = [(i, [draw.choice([0.5, 0.1, draw.random()]), None if i % 3 else draw.random(), None]) for i in range(300)]
