@@ -6,8 +6,11 @@ that is small enough for the driver.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +20,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialise, spread
+from glyphmill.session import materialise
 
 
 class Fit(NamedTuple):
@@ -125,6 +128,10 @@ def differences(encodings: DataFrame, ids: dict[str, int], wanted: str = "wanted
     return each.groupBy("idx", "val").agg(F.sum("weight").alias("weight"))
 
 
+#: Rows from which another task is worth the sums that it sends in every round.
+TASK_ROWS = 1 << 14
+
+
 def _held_rows(rows: DataFrame, start: np.ndarray, margin: float) -> RDD:
     """Blocks (begins, idx, val, weight, gain) of the rows as arrays; gain is the margin plus the difference at the start."""
 
@@ -139,7 +146,8 @@ def _held_rows(rows: DataFrame, start: np.ndarray, margin: float) -> RDD:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["begins", "idx", "val", "weight", "gain"])
 
     names = ("begins", "idx", "val", "weight", "gain")
-    table = materialise(spread(rows.select("idx", "val", "weight")).mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "fit-rows")
+    parts = max(1, min(-(-rows.count() // TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    table = materialise(rows.select("idx", "val", "weight").repartition(parts).mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "fit-rows")
     kinds = (np.int64, np.int64, float, float, float)
     return table.rdd.map(lambda r: tuple(np.frombuffer(bytes(x), k) for x, k in zip(r, kinds, strict=True)))
 
@@ -196,7 +204,7 @@ def _rooms(block: tuple, dx: np.ndarray, aim: float) -> np.ndarray:
 
 def _sums(block: tuple, x: np.ndarray, dense: bool) -> list[np.ndarray]:
     """Of a block: duals times rooms, their number, the loss and the duals' gain; the pull of the duals and of their moves
-    (without and per ``aim``); and the normal equations' matrix or its diagonal."""
+    (without and per ``aim``); and the normal equations' matrix (its upper half) or its diagonal."""
     begins, idx, val, w, gain, s, r, a, b = block
     n, both = len(x), b * r + s * a
     h, size = a * b / both, np.diff(begins, append=len(idx))
@@ -207,12 +215,28 @@ def _sums(block: tuple, x: np.ndarray, dense: bool) -> list[np.ndarray]:
             at = begins[rows][:, None] + np.arange(k)
             i, v = idx[at], val[at]
             matrix += np.bincount((i[:, :, None] * n + i[:, None, :]).ravel(), (h[rows][:, None, None] * v[:, :, None] * v[:, None, :]).ravel(), n * n)
+        matrix = matrix.reshape(n, n)[np.triu_indices(n)]
     else:
         matrix = np.bincount(idx, np.repeat(h, size) * val * val, n)
     known = np.array([a @ r + b @ s, 2.0 * len(w), w @ np.maximum(gain + _along(block, x), 0), a @ gain])
     return [known, _pull(block, a, n), _pull(block, a * b * (s - r) / both, n), _pull(block, (b - a) / both, n), matrix]
 
 
+def _merged(each: RDD, add: Callable):
+    """The sum of all values, made in tasks to the last, so that a single one reaches the driver whatever the number of tasks."""
+
+    def own(values: Iterator) -> Iterator:
+        found = list(itertools.islice(values, 1))
+        yield from found and [functools.reduce(add, values, found[0])]
+
+    sums, n = each.mapPartitions(own), each.getNumPartitions()
+    while n > 1:
+        n = 1 if n <= 16 else math.isqrt(n)
+        dealt = sums.mapPartitionsWithIndex(lambda i, values, n=n: ((i % n, x) for x in values))
+        sums = dealt.reduceByKey(add, n, int).values()
+    return sums.collect()[0]
+
+
 def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     return [x + y for x, y in zip(a, b, strict=True)]
 
@@ -251,8 +275,8 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
 
     A primal-dual interior point method. Slacks and duals of rows stay with their blocks; a round is a pass that sums the normal
     equations for the scores, the true loss, and what the duals prove, and a pass that finds how far slacks and duals can move
-    along. Sums are merged in a tree, so only scores and sums of their size (or its square, up to ``DENSE`` pieces) reach
-    the driver. A lost block follows again from the table and the rounds' moves. It ends when the objective is within the
+    along. Sums are merged in tasks, so a round sends the driver one set of sums, of the scores' size (or half its square, up to
+    ``DENSE`` pieces), on any number of tasks. A lost block follows again from the table and the rounds' moves. It ends when the objective is within the
     stated share of the proven bound, or at ``rounds``. A row of no pieces is a constant; without others the start is the optimum.
     Without a distance term nothing above 0 is proven.
     """
@@ -265,10 +289,10 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
         return Fit(np.array(start, float), fixed, fixed)
     n, dense, x = len(start), len(start) <= DENSE, np.zeros(len(start))
     state, far = table.map(_begin).persist(StorageLevel.MEMORY_AND_DISK), _Distance(n, cost, norm) if cost else None
-    depth = 1 if table.getNumPartitions() <= 16 else 2
+    upper = np.triu_indices(n) if dense else None
     best, least, proven, reached, passed = x, np.inf, 0.0, 1.0, table
     for _ in range(rounds):
-        (rooms, terms, loss, gained), pull, still, aimed, matrix = state.map(lambda b, x=x: _sums(b, x, dense)).treeReduce(_added, depth)
+        (rooms, terms, loss, gained), pull, still, aimed, matrix = _merged(state.map(lambda b, x=x: _sums(b, x, dense)), _added)
         true = loss + cost * float(np.abs(x).max() if norm == "linf" else np.abs(x).sum())
         strain = np.abs(pull).sum() if norm == "linf" else np.abs(pull).max()
         proven = max(proven, gained * (min(1.0, cost / strain) if strain > 0 else 1.0))
@@ -282,14 +306,16 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
         diagonal, root, right = far.equations(aim) if far else (np.zeros(n), np.zeros(n), np.zeros(n))
         right = -(right + pull + still + aim * aimed)
         if dense:
-            whole = matrix.reshape(n, n) + np.diag(diagonal) - np.outer(root, root)
+            whole = np.zeros((n, n))
+            whole[upper] = matrix
+            whole = whole + np.triu(whole, 1).T + np.diag(diagonal) - np.outer(root, root)
             whole[np.diag_indices(n)] += 1e-14 * np.abs(np.diag(whole)).max()
             dx = np.linalg.solve(whole, right)
         else:
             ridge = 1e-14 * (matrix + diagonal).max()
-            apply = lambda v, state=state: state.map(lambda b: [_pull(b, b[7] * b[8] / (b[8] * b[6] + b[5] * b[7]) * _along(b, v), n)]).treeReduce(_added, depth)[0]
+            apply = lambda v, state=state: _merged(state.map(lambda b: [_pull(b, b[7] * b[8] / (b[8] * b[6] + b[5] * b[7]) * _along(b, v), n)]), _added)[0]
             dx = _conjugate(lambda v, d=diagonal + ridge, root=root, apply=apply: apply(v) + d * v - root * (root @ v), right, matrix + diagonal + ridge)
-        step, dual_step = state.map(lambda b, dx=dx, aim=aim: _rooms(b, dx, aim)).treeReduce(np.minimum, depth)
+        step, dual_step = _merged(state.map(lambda b, dx=dx, aim=aim: _rooms(b, dx, aim)), np.minimum)
         if far:
             moves = far.moves(dx, aim)
             step = min(step, _room(far.p, moves[0]), _room(far.q, moves[1]))

@@ -15,7 +15,7 @@ from glyphmill.operators import seeds as S
 from glyphmill.operators import vectors as V
 from glyphmill.operators import vocab as W
 from glyphmill.operators import fitting
-from glyphmill.operators.fitting import fit_scores, fit_unigram
+from glyphmill.operators.fitting import _merged, fit_scores, fit_unigram
 
 
 def test_substring_prior(spark):
@@ -289,6 +289,16 @@ def test_unigram_training(spark):
     assert set(vocab) == {"a", "b", "ab"} and vocab["ab"] > vocab["b"]
 
 
+def test_sums_reach_the_driver_as_one_value(spark):
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for parts in (1, 3, 40):
+        sc.setJobGroup(f"merged-{parts}", "")
+        assert _merged(sc.parallelize(range(1, 21), parts).map(np.array), np.add) == 210  # some of 40 parts are empty
+        last = [tracker.getStageInfo(max(tracker.getJobInfo(j).stageIds)) for j in tracker.getJobIdsForGroup(f"merged-{parts}")]
+        assert [x.numTasks for x in last] == [1]
+    sc.setJobGroup("", "")
+
+
 def test_vectors(spark):
     params = lambda x: spark.createDataFrame([("p", [x])], "path string, data array<double>")
     assert V.delta_merge(params(1.0), params(3.0), params(2.0), 0.5).first().data == [1.5]
