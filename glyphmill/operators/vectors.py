@@ -88,6 +88,18 @@ def mean_vectors(rows: DataFrame, key: str = "id") -> DataFrame:
     return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).select(key, F.transform("v", lambda e: e["x"]).alias("vec"))
 
 
+def _means_of_few(rows: DataFrame) -> DataFrame:
+    """The ``mean_vectors`` of (id, part, vec) whose ids have few parts each: whole vectors are added up, so a vector is a row."""
+    each = rows.where("vec is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "vec"))).alias("of"))
+    zero = F.lit(0.0)
+
+    def add(a: Column, r: Column) -> Column:
+        return F.zip_with(a, r["vec"], lambda x, y: F.struct((F.coalesce(x["s"], zero) + F.coalesce(y.cast("double"), zero)).alias("s"), (F.coalesce(x["n"], zero) + F.when(y.isNull(), 0.0).otherwise(1.0)).alias("n")))
+
+    sums = F.aggregate("of", F.array().cast("array<struct<s: double, n: double>>"), add, lambda a: F.transform(a, lambda x: F.when(x["n"] > 0, x["s"] / x["n"])))
+    return each.select("id", sums.alias("vec"))
+
+
 def visit_average(visits: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, vec) for each of ``ids``: the mean of the vectors (id, vec) that batches predicted for it. Batches may overlap;
     an id that none of them visited is an error."""
@@ -106,7 +118,8 @@ def lexical_transfer(target: DataFrame, source: DataFrame, pieces: DataFrame, un
     """(id, vec) for a target vocabulary (id, source_id) from a source table.
 
     An overlapping piece copies its row. Others take the unknown row (``no``), the mean of their source pieces if all
-    are known (``fvt``), or of the known ones (``bfvt``). pieces: (id, part), part null if the source lacks it.
+    are known (``fvt``), or of the known ones (``bfvt``). pieces: (id, part), part null if the source lacks it; a piece has no
+    more parts than characters.
     """
     if mode not in ("no", "fvt", "bfvt"):
         raise ValueError(f"unknown mode {mode}")
@@ -116,8 +129,8 @@ def lexical_transfer(target: DataFrame, source: DataFrame, pieces: DataFrame, un
     if mode != "no":
         known = pieces.withColumn("_known", F.col("part").isNotNull() & (F.col("part") != unknown_id))
         able = known.groupBy("id").agg((F.min("_known") if mode == "fvt" else F.max("_known")).alias("_ok")).where("_ok")
-        parts = known.where("_known").join(able.select("id"), "id", "left_semi").join(source.select(F.col("id").alias("part"), "vec"), "part").select("id", "vec")
-        means = mean_vectors(parts).withColumnRenamed("vec", "_mean")
+        parts = known.where("_known").join(able.select("id"), "id", "left_semi").join(source.select(F.col("id").alias("part"), "vec"), "part").select("id", "part", "vec")
+        means = _means_of_few(parts).withColumnRenamed("vec", "_mean")
         out = out.join(means, "id", "left").select("id", F.coalesce(F.transform("vec", lambda x: x.cast("double")), "_mean").alias("vec"))
     else:
         out = out.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))

@@ -299,6 +299,16 @@ def test_sums_reach_the_driver_as_one_value(spark):
     sc.setJobGroup("", "")
 
 
+def test_means_of_parts_are_made_of_whole_vectors(spark):
+    rows = [(1, 2, [1.0, 5.0]), (1, 2, [2.0, None]), (1, 3, [6.0, 1.0]), (2, 1, [None, 4.0]), (2, 1, None), (3, 1, [1.5])]
+    df = spark.createDataFrame(rows, "id int, part int, vec array<float>")
+    means = lambda d: {r.id: r.vec for r in d.collect()}
+    assert means(V._means_of_few(df)) == means(V.mean_vectors(df)) == {1: [3.0, 3.0], 2: [None, 4.0], 3: [1.5]}
+    source = spark.createDataFrame([(1, [1.0, 1.0]), (9, [9.0, 9.0])], "id int, vec array<double>")
+    out = V.lexical_transfer(spark.createDataFrame([(0, None)], "id int, source_id int"), source, spark.createDataFrame([(0, 1)], "id int, part int"), 9, "bfvt")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vectors(spark):
     params = lambda x: spark.createDataFrame([("p", [x])], "path string, data array<double>")
     assert V.delta_merge(params(1.0), params(3.0), params(2.0), 0.5).first().data == [1.5]
