@@ -136,6 +136,6 @@ def arrow_rows(contents: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_batches(rows: DataFrame, path: str, size: int, id_col: str = "id") -> None:
-    """Rows in batches of ``size`` ids, a partition for each; a batch that is written again is replaced, others stay."""
+    """Rows in batches of ``size`` ids, a partition of one file for each; a batch that is written again is replaced, others stay."""
     batch = F.floor(F.col(id_col) / size).cast("long")
-    rows.withColumn("batch", batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    rows.withColumn("batch", batch).repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

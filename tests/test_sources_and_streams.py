@@ -95,3 +95,11 @@ def test_windows_of_groups_reach_back(spark, tmp_path):
     assert {("en", "Ġxx"), ("de", "Ġbb"), ("de", "Ġcc")} <= pieces and ("de", "Ġaa") not in pieces
     peeked = {(r.lang, r.piece) for r in window.peek(spark.createDataFrame([("dd", "de")], schema), 2).collect()}
     assert {("en", "Ġxx"), ("de", "Ġcc"), ("de", "Ġdd")} <= peeked and ("de", "Ġbb") not in peeked
+
+
+def test_a_batch_is_one_file(spark, tmp_path):
+    rows = spark.range(1000).repartition(7)
+    S.write_batches(rows, f"{tmp_path}/b", 64)
+    S.write_batches(rows.where("id < 64"), f"{tmp_path}/b", 64)
+    assert sorted(len(list(p.glob("*.parquet"))) for p in (tmp_path / "b").glob("batch=*")) == [1] * 16
+    assert spark.read.parquet(f"{tmp_path}/b").where("batch = id div 64").count() == 1000
