@@ -64,7 +64,7 @@ def _slot(key: str) -> list[Column]:
     return [F.col(key).bitwiseAND(TABLE_ROWS - 1), F.shiftrightunsigned(key, 20).bitwiseAND(63).cast("int")]
 
 
-def _may_hold(frame: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def may_hold(frame: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is among ``keys`` and some others, by a broadcast bit table."""
     row, bit = _slot(key)
     table = keys.groupBy(row.alias("_slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
@@ -86,9 +86,9 @@ def _near(lines: DataFrame, near_words: int) -> DataFrame:
     long = lines.where(F.col("n") >= near_words)
     ends = long.select("h1", "h2", F.explode(_ends(near_words)).alias("x")).select("h1", "h2", "x.k", "x.head")
     shared = materialise(ends.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k"), "line-ends")
-    able = _may_hold(ends, "k", shared).distinct().join(shared, "k", "left_semi")
+    able = may_hold(ends, "k", shared).distinct().join(shared, "k", "left_semi")
     able = materialise(able.groupBy("h1", "h2").agg(F.max("head").alias("head"), F.min("head").alias("only")).select("h1", "h2", "head", (~F.col("only")).alias("tail")), "line-able")
-    found = _may_hold(long, "h1", able).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "h1")).alias("at"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
+    found = may_hold(long, "h1", able).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "h1")).alias("at"), F.any_value("line").alias("line"), F.any_value("n").alias("n"))
     texts = materialise(found.join(able, ["h1", "h2"]), "line-candidates")
 
     # dealt as lines, so that the windows over a line's words need no shuffle of words
@@ -116,9 +116,9 @@ def _near(lines: DataFrame, near_words: int) -> DataFrame:
     )
     members = materialise(each.select("h1", F.explode(kinds).alias("x")).where("x is not null").select("h1", "x.k", "x.kind"), "line-members")
     met = materialise(members.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k"), "line-met")
-    members = materialise(_may_hold(members, "k", met).join(met, "k", "left_semi").select("h1", "k", "kind"), "line-meetings")
+    members = materialise(may_hold(members, "k", met).join(met, "k", "left_semi").select("h1", "k", "kind"), "line-meetings")
     # what follows needs only the lines that met another one
-    texts = materialise(_may_hold(texts.select("h1", "h2", "at", "line"), "h1", members), "line-partners")
+    texts = materialise(may_hold(texts.select("h1", "h2", "at", "line"), "h1", members), "line-partners")
     members = materialise(members.join(texts.select("h1", "at"), "h1").select("h1", "at", "k", "kind"), "line-places")
     first = members.groupBy("k").agg(F.min(F.when(F.col("kind") != 2, F.col("at"))).alias("first_less"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("first_full"))
     rival = F.when(F.col("kind") == 1, F.col("first_full")).otherwise(F.col("first_less"))
@@ -141,7 +141,7 @@ def line_decisions(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     common = judged.where(F.col("c") * HOT > lines.count()).select("h1", "h2", F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
     own = lines.select("doc_id", "text_hash", "line_no", "h1", "h2").join(F.broadcast(common), ["h1", "h2"], "left")
     hot = own.where(F.col("hot_near").isNotNull() & (F.col("hot_near") | ~place.eqNullSafe(F.col("hot_first"))))
-    rest = _may_hold(own.where(F.col("hot_near").isNull()), "h1", judged).join(judged, ["h1", "h2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+    rest = may_hold(own.where(F.col("hot_near").isNull()), "h1", judged).join(judged, ["h1", "h2"]).where(F.col("near") | ~place.eqNullSafe(F.col("first")))
     gone = hot.select("doc_id", "text_hash", "line_no").unionByName(rest.select("doc_id", "text_hash", "line_no"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.linededup import may_hold
 from glyphmill.llm.nativetext import WORD, words
 from glyphmill.session import materialise
 
 SYMBOL = r"[#*$%&|<>]"
-#: Hash buckets of n-grams, the broadcast table's rows; labelled documents to trust, as expected number.
-BUCKETS, TRUSTED_DOCS = 1 << 16, 5_000
+#: Hash buckets of n-grams, the broadcast table's rows.
+BUCKETS = 1 << 16
 #: A document is kept if its mean log ratio is at least this (natural logarithm).
 LEAST_RATIO = -0.13
 #: Ratios are added up as whole multiples of this, so sums don't depend on their order.
@@ -73,14 +74,14 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(bucket, r): the log ratio of trusted to raw probability of each bucket, in steps; the trusted multinomial has a
     Dirichlet prior of BUCKETS n-grams spread like the raw one, so that a few trusted texts don't condemn what they lack.
 
-    Trusted are documents labelled 1, about TRUSTED_DOCS of them by a hash of the id; the raw counts are over all
-    documents. Without trusted words all ratios are 0.
+    Trusted are all documents labelled 1; the raw counts are over all documents. Without trusted words all ratios are 0. A bit
+    table spares most other texts the shuffle that joins documents and labels.
     """
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    n = good.count()
-    chosen = good.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < min(1 << 20, int(TRUSTED_DOCS / max(n, 1) * (1 << 20)) + 1))
-    trusted = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"), "left_semi")
-    both = _counts(trusted, text_col).select("bucket", F.col("count").alias("t"), F.lit(0).cast("long").alias("o"))
+    key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("_key")
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), key(id_col)).distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key(id_col))
+    trusted = may_hold(texts, "_key", good).join(good.select("_id"), "_id", "left_semi")
+    both = _counts(trusted, "_text").select("bucket", F.col("count").alias("t"), F.lit(0).cast("long").alias("o"))
     both = both.unionByName(_counts(docs, text_col).select("bucket", F.lit(0).cast("long").alias("t"), F.col("count").alias("o")))
     both = materialise(both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "ngram-buckets")
     total = both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("tt"), F.coalesce(F.sum("o"), F.lit(0)).alias("oo"))

@@ -72,3 +72,9 @@ def test_edges(spark):
     flat = judge(df, ratios(df, labels.limit(0))).collect()
     assert {r.ratio for r in flat} == {0.0}
     assert judge(df.limit(0), ratios(df.limit(0), labels)).count() == 0
+
+
+def test_every_labelled_document_is_trusted(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('word', id % 700, ' own', id) AS text")
+    labels = docs.selectExpr("cast(doc_id AS int) AS doc_id", "1 AS quality")
+    assert {r.r for r in ratios(docs, labels).select("r").distinct().collect()} == {0}  # trusted and raw counts are the same
