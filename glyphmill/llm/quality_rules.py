@@ -80,7 +80,8 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     key = lambda c: F.xxhash64(F.col(c).cast("string")).alias("_key")
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), key(id_col)).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key(id_col))
-    trusted = may_hold(texts, "_key", good).join(good.select("_id"), "_id", "left_semi")
+    # ids are distinct; a semi-join would be moved below the bit table, and a broadcast would grow with the labels
+    trusted = may_hold(texts, "_key", good).join(good.select("_id").hint("merge"), "_id")
     both = _counts(trusted, "_text").select("bucket", F.col("count").alias("t"), F.lit(0).cast("long").alias("o"))
     both = both.unionByName(_counts(docs, text_col).select("bucket", F.lit(0).cast("long").alias("t"), F.col("count").alias("o")))
     both = materialise(both.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "ngram-buckets")
