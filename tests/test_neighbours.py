@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from glyphmill.operators import neighbours
 from glyphmill.operators.neighbours import most_similar
 
 
@@ -41,3 +42,31 @@ def test_no_plan_compares_all_pairs(spark):
     t = spark.createDataFrame([(i, draw.normal(size=4).tolist()) for i in range(50)], "id int, vec array<double>")
     text = most_similar(t, t)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_string_ids_tie_in_order(spark):
+    t = spark.createDataFrame([(f"n{i}", [1.0, float(i % 2)]) for i in range(30)], "id string, vec array<double>")
+    found = most_similar(t, t, 3).where("id = 'n1'").collect()
+    assert sorted(r.n for r in found) == ["n1", "n11", "n13"]
+
+
+def test_a_row_travels_to_shares_not_to_clusters(spark):
+    draw = np.random.default_rng(2)
+    t = spark.createDataFrame([(i, draw.normal(size=16).tolist()) for i in range(600)], "id int, vec array<double>")
+    plan = most_similar(t, t)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q_share" in plan and "hashpartitioning(cluster#" in plan
+    assert neighbours._shares(1_000_000, 64) == neighbours.SHARES and neighbours._shares(2_000_000, 64) == 16
+
+
+def test_many_blocks_give_k_rows_a_query(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    draw = np.random.default_rng(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    q, m = unit(draw.normal(size=(20, 6))), unit(draw.normal(size=(300, 6)))
+    m[200:] = m[:100]
+    table = {0: (np.arange(150), m[:150]), 1: (np.arange(150, 300), m[150:])}
+    at, n, s = neighbours._best(q, np.full(20, -np.inf), np.ones((20, 2), dtype=bool), table, 4)
+    assert len(at) == 80
+    for i in range(20):
+        want = sorted((-x, j) for j, x in enumerate(np.round(m @ q[i], 12)))[:4]
+        assert [(-x, j) for x, j in zip(s[at == i], n[at == i], strict=True)] == want
