@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from glyphmill.functions.text import BLANKS, blank_run, byte_alphabet, pretokens, to_byte_level
@@ -14,6 +18,8 @@ from glyphmill.operators.vocab import place_specials
 from glyphmill.session import materialise, spread
 
 FLOOR = -100000.0
+#: Characters by which suffixes are dealt.
+HEAD = 4
 
 
 def first_pretokens(texts: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
@@ -22,14 +28,73 @@ def first_pretokens(texts: DataFrame, by: Sequence[str], text_col: str = "text")
     return each.select(*by, "p", (F.col("at") == 0).alias("first"))
 
 
+def cut_suffixes(counted: DataFrame, by: Sequence[str], max_length: int = 16, stride: int = 4) -> DataFrame:
+    """(by.., n, suffix): what follows each stride-th start of pre-tokens (by.., p, first, n), up to max_length - 1 bytes. The first of
+    a text has one more start at 0, so its others count from one earlier."""
+    more = F.col("first").cast("int")
+    each = counted.select(*by, "n", "p", more.alias("more"), to_byte_level(F.col("p")).alias("m"), F.explode(F.sequence(F.lit(0), F.length("p") - 1 + more, F.lit(stride))).alias("i"))
+    start = F.octet_length(F.substring(F.col("p"), F.lit(2), F.col("i") - F.col("more")))
+    return each.select(*by, "n", F.substring(F.col("m"), start + 1, F.lit(max_length - 1)).alias("suffix"))
+
+
 def cut_pieces(counted: DataFrame, by: Sequence[str], max_length: int = 16, stride: int = 4) -> DataFrame:
     """(by.., n, piece): the substrings of pre-tokens (by.., p, first, n), as ``seed_scores`` defines them."""
-    starts = F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda j: F.octet_length(F.substring(F.col("p"), F.lit(2), j)))
-    starts = F.when(F.col("first"), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
-    strided = F.filter(starts, lambda _, i: i % stride == 0)
-    cut = counted.select(*by, "n", to_byte_level(F.col("p")).alias("m"), F.explode(strided).alias("start")).where("start < length(m)")
-    room = F.least(F.lit(max_length - 1), F.length("m") - F.col("start"))
-    return cut.select(*by, "n", F.explode(F.transform(F.sequence(F.lit(1), room), lambda k: F.substring(F.col("m"), F.col("start") + 1, k))).alias("piece"))
+    cut = cut_suffixes(counted, by, max_length, stride)
+    return cut.select(*by, "n", "suffix", F.explode(F.sequence(F.lit(1), F.length("suffix"))).alias("k")).select(*by, "n", F.substring(F.col("suffix"), F.lit(1), F.col("k")).alias("piece"))
+
+
+def _differ(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether a value isn't the one before; the first is."""
+    here, last = column.slice(1), column.slice(0, len(column) - 1)
+    other = pc.or_(pc.fill_null(pc.not_equal(here, last), False), pc.xor(pc.is_null(here), pc.is_null(last)))
+    return np.concatenate([[True], other.to_numpy().astype(bool)])
+
+
+def _prefix_sums(by: Sequence[str], shortest: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(by.., suffix, k, n): sums over the prefixes of k characters of sorted suffixes (by.., suffix, n). A prefix's suffixes stand
+    together, so a batch is added up by runs; held from one batch to the next are its last row and the sums of that row's prefixes."""
+
+    def picked(rows: pa.Table, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = rows.select([*by, "suffix"]).take(pa.array(at))
+        yield from of.append_column("k", pa.array(k, pa.int32())).append_column("n", pa.array(n, pa.int64())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_ = None, np.zeros(longest + 1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            n = rows["n"].to_numpy().copy()
+            size = pc.utf8_length(rows["suffix"]).to_numpy()
+            units = rows["suffix"].to_numpy().astype(f"<U{longest}").view(np.uint32).reshape(len(n), longest)
+            # characters that a suffix shares with the one before
+            shared = np.concatenate([[0], np.minimum.accumulate(units[1:] == units[:-1], axis=1).sum(axis=1)])
+            for c in by:
+                shared[_differ(rows[c])] = 0
+            last = np.zeros_like(open_)
+            out = []
+            for k in range(shortest, longest + 1):
+                if held is not None:
+                    n[0] = open_[k]
+                long = np.flatnonzero(size >= k)
+                if not len(long):
+                    continue
+                new = shared[long] < k
+                new[0] = True
+                starts = np.flatnonzero(new)
+                at, sums = long[starts], np.add.reduceat(n[long], starts)
+                if long[-1] == len(n) - 1:
+                    last[k], at, sums = sums[-1], at[:-1], sums[:-1]
+                out.append((at, np.full(len(at), k), sums))
+            held, open_ = rows.slice(len(n) - 1), last
+            if out:
+                yield from picked(rows, *map(np.concatenate, zip(*out, strict=True)))
+        if held is not None:
+            k = np.arange(shortest, pc.utf8_length(held["suffix"])[0].as_py() + 1)
+            yield from picked(held, np.zeros(len(k), dtype=int), k, open_[k])
+
+    return run
 
 
 def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str | Sequence[str] = "batch_id", text_col: str = "text") -> DataFrame:
@@ -38,12 +103,25 @@ def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str
 
     Starts are the byte offsets of the pre-token's characters counted from the end of the first one; the first
     pre-token of a text, which gets a space in front, has one more start at 0. Pre-tokens are counted before they're
-    cut up, so a frequent one is cut once for each batch.
+    cut up, so a frequent one is cut once for each batch. Suffixes, not their prefixes, are shuffled: they're dealt by their
+    first HEAD characters and sorted, so longer pieces are added up where they are; shorter ones are few and are added up
+    from the sums of what suffixes begin with.
     """
     by = [by] if isinstance(by, str) else list(by)
-    each = first_pretokens(texts, by, text_col)
-    pieces = cut_pieces(spread(each.groupBy(*by, "p", "first").agg(F.count("*").alias("n")), "p"), by, max_length, stride)
-    return pieces.groupBy(*by, "piece").agg(F.sum(F.col("n") * F.octet_length("piece")).cast("long").alias("score"))
+    counted = first_pretokens(texts, by, text_col).groupBy(*by, "p", "first").agg(F.count("*").alias("n"))
+    head = lambda n: F.substring(F.col("suffix"), F.lit(1), n)
+    score = F.sum(F.col("n") * F.octet_length("piece")).cast("long").alias("score")
+    dealt = spread(cut_suffixes(counted, by, max_length, stride).withColumn("_head", F.xxhash64(*by, head(F.lit(HEAD)))), "_head")
+    begun = dealt.groupBy(*by, head(F.lit(HEAD - 1)).alias("suffix")).agg(F.sum("n").alias("n"))
+    short = begun.select(*by, "n", "suffix", F.explode(F.sequence(F.lit(1), F.length("suffix"))).alias("k")).select(*by, "n", head(F.col("k")).alias("piece"))
+    short = short.groupBy(*by, "piece").agg(score)
+    if max_length <= HEAD:
+        return short
+    schema = StructType([*(dealt.schema[c] for c in by), StructField("suffix", StringType()), StructField("k", IntegerType()), StructField("n", LongType())])
+    # the hash first, as most comparisons end with it
+    ordered = dealt.sortWithinPartitions("_head", *by, "suffix").select(*by, "suffix", "n")
+    long = ordered.mapInArrow(_prefix_sums(by, HEAD, max_length - 1), schema).select(*by, head(F.col("k")).alias("piece"), "n")
+    return long.select(*by, "piece", (F.col("n") * F.octet_length("piece")).cast("long").alias("score")).unionByName(short)
 
 
 def window_scores(scores: DataFrame, last: int, by: str = "batch_id") -> DataFrame:

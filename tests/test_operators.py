@@ -62,6 +62,32 @@ def test_merges_by_heap_and_repair_in_joins(spark):
     assert [(r.left, r.right) for r in got] == W.repair_merges(pieces, merges) and [r.rank for r in got] == list(range(len(got)))
 
 
+def test_seed_scores_add_up_over_batches_of_rows(spark):
+    """Runs that go on from one Arrow batch to the next, null batch ids, and pieces of one to 15 bytes."""
+    words = ["abcdefgh", "abcdefghi", "abcdxyz", "abc", "ab", "a", "äbcdefgh", "\u4f60\u597d\u4e16\u754c", "abcdefghijklmnopqrstuvwxyz", "1234567890"]
+    rows = [(b, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(9))) for i, b in enumerate([0, 1, None, 1, 0, 2, None])]
+    texts = spark.createDataFrame(rows, "batch_id int, text string")
+    counted = S.first_pretokens(texts, ["batch_id"]).groupBy("batch_id", "p", "first").agg(F.count("*").alias("n"))
+    want = S.cut_pieces(counted, ["batch_id"]).groupBy("batch_id", "piece").agg(F.sum(F.col("n") * F.octet_length("piece")).alias("score"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        found = [tuple(r) for r in S.seed_scores(texts).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in want.collect()} and max(len(r[1]) for r in found) == 15
+
+
+def test_seed_scores_shuffle_suffixes_not_their_pieces(spark):
+    texts = spark.createDataFrame([(0, "one two three")], "batch_id int, text string")
+    plan = S.seed_scores(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapInArrow" in plan or "MapInArrow" in plan
+    for max_length in (2, 4, 5):
+        found = {r.piece for r in S.seed_scores(texts, max_length).collect()}
+        assert max(map(len, found)) == max_length - 1
+
+
 def test_seed_window(spark):
     scores = spark.createDataFrame([(0, "p", 1), (1, "q", 5), (2, "p", 2)], "batch_id int, piece string, score long")
     got = {(r.window_id, r.piece): r.score for r in S.window_scores(scores, 2).collect()}
