@@ -162,7 +162,7 @@ def blank_inventory(spark: SparkSession, max_length: int = 16) -> DataFrame:
 def sampled_vocab(scores: DataFrame, specials: DataFrame, seed_size: int, noise_std: float = 0.0, seed: int = 0) -> DataFrame:
     """(id, piece, is_special, score, byte_length, old_id): a vocabulary induced from seed scores with the special pieces
     (ref_id, piece) at their reference ids and score 0; old_id is a special's reference id."""
-    induced = induce(scores, seed_size, noise_std=noise_std, seed=seed)
+    induced = materialise(induce(scores, seed_size, noise_std=noise_std, seed=seed), "induced")
     placed = place_specials(induced.select("rank", "piece"), specials).join(induced.select("piece", "logp"), "piece", "left")
     score = F.when(F.col("is_special"), F.lit(0.0)).otherwise(F.col("logp"))
     return placed.select("id", "piece", "is_special", score.alias("score"), F.length("piece").alias("byte_length"), "old_id")
@@ -176,7 +176,8 @@ def induce(scores: DataFrame, seed_size: int, max_length: int = 16, noise_std: f
     that isn't positive counts as minus infinity (-100000).
     """
     spark = scores.sparkSession
-    total = scores.agg(F.sum("score").alias("_sum"), F.min("score").alias("_min"))
+    scores = materialise(scores.select("piece", "score"), "induced-scores")  # read twice and more, made once
+    total = materialise(scores.agg(F.sum("score").alias("_sum"), F.min("score").alias("_min")), "induced-total")
     p = F.col("score") / F.col("_sum") + (normal(F.col("piece"), seed) * noise_std if noise_std else F.lit(0.0))
     candidates = scores.where((F.length("piece") > 1) & ~blank_run(F.col("piece"))).crossJoin(F.broadcast(total))
     candidates = candidates.select("piece", "score", F.when(p > 0, F.log(p)).otherwise(F.lit(FLOOR)).alias("logp"))

@@ -88,6 +88,16 @@ def test_seed_scores_shuffle_suffixes_not_their_pieces(spark):
         assert max(map(len, found)) == max_length - 1
 
 
+def test_scores_are_made_once(spark):
+    """What reads seed scores more than once reads a table, not the texts again."""
+    texts = spark.createDataFrame([(0, "one two"), (1, "two three")], "batch_id int, text string")
+    scores = S.seed_scores(texts)
+    special = spark.createDataFrame([(0, "<s>")], "ref_id int, piece string")
+    one = scores.groupBy("piece").agg(F.sum("score").alias("score"))
+    for out in (S.induce(one, 500), S.sampled_vocab(one, special, 500)):
+        assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_seed_window(spark):
     scores = spark.createDataFrame([(0, "p", 1), (1, "q", 5), (2, "p", 2)], "batch_id int, piece string, score long")
     got = {(r.window_id, r.piece): r.score for r in S.window_scores(scores, 2).collect()}
