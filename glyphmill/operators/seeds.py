@@ -127,6 +127,7 @@ def seed_scores(texts: DataFrame, max_length: int = 16, stride: int = 4, by: str
 def window_scores(scores: DataFrame, last: int, by: str = "batch_id") -> DataFrame:
     """(window_id, piece, score): for each batch the sums over it and the ``last`` - 1 batches before; windows that
     aren't full are left out. Batches are numbered from 0 without gaps."""
+    scores = materialise(scores.select(by, "piece", "score"), "window-scores")  # read twice, made once
     spread = scores.select(F.explode(F.sequence(F.col(by), F.col(by) + last - 1)).alias("window_id"), "piece", "score")
     top = scores.agg(F.max(by).alias("_top"))
     kept = spread.join(F.broadcast(top), F.col("window_id") <= F.col("_top")).where(F.col("window_id") >= last - 1)

@@ -94,7 +94,7 @@ def test_scores_are_made_once(spark):
     scores = S.seed_scores(texts)
     special = spark.createDataFrame([(0, "<s>")], "ref_id int, piece string")
     one = scores.groupBy("piece").agg(F.sum("score").alias("score"))
-    for out in (S.induce(one, 500), S.sampled_vocab(one, special, 500)):
+    for out in (S.window_scores(scores, 2), S.induce(one, 500), S.sampled_vocab(one, special, 500)):
         assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
