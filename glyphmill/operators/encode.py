@@ -20,6 +20,8 @@ from glyphmill.functions.text import byte_alphabet
 from glyphmill.session import materialise, spread
 
 FLOOR = -100000.0
+#: Characters up to which expected counts are summed as probabilities, and what a character's logarithm is raised by meanwhile.
+SHORT, LIFT = 32, 4.0
 _PIECES = T.StructField("pieces", T.ArrayType(T.StringType()))
 
 
@@ -251,10 +253,29 @@ def _log_sum(x: float, y: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
+def _plain_counts(edges: list[tuple[int, int, str, float]], n: int) -> dict[str, float] | None:
+    """``expected_counts`` of a short text in probabilities, none where they come near the ends of their range. Each is raised by
+    LIFT a character; all segmentations have the same characters, so their shares stay."""
+    weighted = [(i, j, p, math.exp(s + LIFT * (j - i))) for i, j, p, s in edges]
+    ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i, j, _, w in weighted:
+        ahead[j] += ahead[i] * w
+    if not 1e-200 < ahead[n] < 1e200:
+        return None
+    for i, j, _, w in reversed(weighted):
+        behind[i] += behind[j] * w
+    out: dict[str, float] = {}
+    for i, j, piece, w in weighted:
+        out[piece] = out.get(piece, 0.0) + ahead[i] * w * behind[j] / ahead[n]
+    return out
+
+
 def expected_counts(text: str, scores: dict[str, float], longest: int) -> dict[str, float]:
     """Expected occurrences of pieces over all segmentations of a text; none if there's no segmentation."""
-    n = len(text)
-    edges = [(i, i + k, text[i : i + k], scores[text[i : i + k]]) for i in range(n) for k in range(1, min(longest, n - i) + 1) if text[i : i + k] in scores]
+    n, find = len(text), scores.get
+    edges = [(i, i + k, p, s) for i in range(n) for k in range(1, min(longest, n - i) + 1) if (s := find(p := text[i : i + k])) is not None]
+    if n <= SHORT and (found := _plain_counts(edges, n)) is not None:
+        return found
     ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
     for i, j, _, s in edges:
         if ahead[i] > -math.inf:

@@ -382,3 +382,14 @@ def test_encoded_surfaces(spark):
     vocab = spark.createDataFrame([(5, "<s>", True), (6, "abab", False), (7, "az", False)], "id int, piece string, is_special boolean")
     got = E.encoded_surfaces(vocab, {"a": -2.0, "b": -2.0, "ab": -1.0}, {"a": 1, "b": 2, "ab": 3}, 2, fill=-1)
     assert {r.id: (r.surface, r.truncated) for r in got.collect()} == {5: ([5, -1], False), 6: ([3, 3], False), 7: ([1, 0], False)}
+
+
+def test_expected_counts_as_probabilities_and_as_logarithms(monkeypatch):
+    rng = random.Random(4)
+    scores = {c: -rng.uniform(3, 20) for c in "abcde"} | {"".join(rng.choices("abcde", k=rng.randint(2, 6))): -rng.uniform(4, 12) for _ in range(200)} | {"x": -45.0}
+    texts = ["".join(rng.choices("abcdez" if i % 9 == 0 else "abcde", k=rng.randint(0, 40))) for i in range(300)] + ["x" * 30, "axb", ""]
+    found = [E.expected_counts(t, scores, 6) for t in texts]
+    assert E._plain_counts([(i, i + 1, "x", -45.0) for i in range(30)], 30) is None
+    monkeypatch.setattr(E, "SHORT", -1)
+    for got, want in zip(found, (E.expected_counts(t, scores, 6) for t in texts), strict=True):
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
