@@ -101,7 +101,8 @@ def judge(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pairs = F.when(F.size("_w") > 0, _pairs(F.col("_w")))
-    own = with_statistics(source).select("doc_id", F.xxhash64("text").alias("text_hash"), *stats, F.posexplode_outer(pairs).alias("i", "x"))
+    # hashed before the words are exploded: beside a generator the whole text would be hashed again for each of its words
+    own = with_statistics(source.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text_hash", *stats, F.posexplode_outer(pairs).alias("i", "x"))
     one, two = _buckets(F.col("x"))
     own = own.withColumns({"one": one, "two": two}).drop("x")
     for name in ("one", "two"):

@@ -78,3 +78,11 @@ def test_every_labelled_document_is_trusted(spark):
     docs = spark.range(12_000).selectExpr("id AS doc_id", "concat('word', id % 700, ' own', id) AS text")
     labels = docs.selectExpr("cast(doc_id AS int) AS doc_id", "1 AS quality")
     assert {r.r for r in ratios(docs, labels).select("r").distinct().collect()} == {0}  # trusted and raw counts are the same
+
+
+def test_a_text_is_hashed_once_not_for_each_word(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality long")
+    plan = judge(df, ratios(df, labels))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode", 1)
+    assert "xxhash64(text" not in above and "xxhash64(text" in below
