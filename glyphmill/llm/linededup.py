@@ -38,7 +38,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     for gap in ("  ", "\t", "\x0b", "\x0c", "\r"):
         loose |= F.contains("line", F.lit(gap))
     line = F.when(loose, F.array_join(words(F.col("line")), " ")).otherwise(F.col("line"))  # most lines are such already
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # hashed before the lines are exploded: beside a generator the whole text would be hashed again for each of its lines
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    each = each.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     each = each.withColumn("line", line).where("line != ''")
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     return each.select("doc_id", "text_hash", "line_no", "line", count.alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
@@ -116,7 +118,8 @@ def _near(lines: DataFrame, near_words: int) -> DataFrame:
     )
     members = materialise(each.select("h1", F.explode(kinds).alias("x")).where("x is not null").select("h1", "x.k", "x.kind"), "line-members")
     met = materialise(members.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k"), "line-met")
-    members = materialise(may_hold(members, "k", met).join(met, "k", "left_semi").select("h1", "k", "kind"), "line-meetings")
+    # met keys are distinct; a semi-join would be moved below the bit table, so that all members were shuffled
+    members = materialise(may_hold(members, "k", met).join(met, "k").select("h1", "k", "kind"), "line-meetings")
     # what follows needs only the lines that met another one
     texts = materialise(may_hold(texts.select("h1", "h2", "at", "line"), "h1", members), "line-partners")
     members = materialise(members.join(texts.select("h1", "at"), "h1").select("h1", "at", "k", "kind"), "line-places")

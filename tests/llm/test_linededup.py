@@ -2,7 +2,8 @@ import random
 
 import duckdb
 
-from glyphmill.llm.linededup import OP4_SQL, dedup_lines, op4_line_dedup
+from glyphmill.llm import linededup
+from glyphmill.llm.linededup import OP4_SQL, dedup_lines, line_decisions, op4_line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +70,19 @@ def test_texts_match_brute_force(spark):
 def test_repeated_rows_are_treated_alike(spark):
     df = spark.createDataFrame([(1, "one two three\nfour five six"), (1, "one two three\nfour five six"), (2, "four five six\nseven eight nine")], "doc_id long, text string")
     assert sorted(r.text for r in dedup_lines(df).collect()) == ["one two three\nfour five six"] * 2 + ["seven eight nine"]
+
+
+def test_plans_hash_a_text_once_and_filter_before_the_join(spark, monkeypatch):
+    plans, write = {}, linededup.materialise
+
+    def keep(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, *more)
+
+    monkeypatch.setattr(linededup, "materialise", keep)
+    df = spark.createDataFrame([(1, "a b c d e f g h i j\nx"), (2, "a b c d e f g h i k\ny")], "doc_id long, text string")
+    assert [(r.doc_id, r.gone) for r in line_decisions(df).collect()] == [(2, [0])]
+    above, below = plans["lines"].split("Generate posexplode", 1)
+    assert "xxhash64(text" not in above and "xxhash64(text" in below
+    joins = [x for x in plans["line-meetings"].split("\n") if "Join " in x]
+    assert len(joins) == 2 and "_slot" in joins[1] and "_slot" not in joins[0]  # the bit table's join is the inner, earlier one
