@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialise
+from glyphmill.session import delete_table, materialise, shared_dir
 
 
 class Fit(NamedTuple):
@@ -139,21 +139,34 @@ def _held_rows(rows: DataFrame, start: np.ndarray, margin: float) -> RDD:
         for batch in batches:
             idx, val = batch.column(0), batch.column(1)
             begins = idx.offsets.to_numpy()[:-1] - idx.offsets[0].as_py()
-            at, v = idx.flatten().to_numpy(), val.flatten().to_numpy().astype(float)
+            at, v = idx.flatten().to_numpy(), val.flatten().to_numpy()
             if len(begins):
                 gain = margin + np.add.reduceat(v * start[at], begins)
-                arrays = (begins.astype(np.int64), at.astype(np.int64), v, batch.column(2).to_numpy(), gain)
+                arrays = (begins.astype(np.int32), at.astype(np.int32), v.astype(np.int32), batch.column(2).to_numpy(), gain)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["begins", "idx", "val", "weight", "gain"])
 
     names = ("begins", "idx", "val", "weight", "gain")
     parts = max(1, min(-(-rows.count() // TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     table = materialise(rows.select("idx", "val", "weight").repartition(parts).mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "fit-rows")
-    kinds = (np.int64, np.int64, float, float, float)
-    return table.rdd.map(lambda r: tuple(np.frombuffer(bytes(x), k) for x, k in zip(r, kinds, strict=True)))
+    kinds = (np.int32, np.int32, np.int32, float, float)
+
+    def small(row) -> tuple:
+        """Every round writes its blocks anew, so pieces and counts take as few bytes as they can."""
+        begins, idx, val, weight, gain = (np.frombuffer(bytes(x), k) for x, k in zip(row, kinds, strict=True))
+        return begins, idx.astype(np.min_scalar_type(len(start))), val.astype(np.min_scalar_type(-1 - int(np.abs(val).max()))), weight, gain
+
+    return table.rdd.map(small)
 
 
 #: Pieces up to which the normal equations are summed as a whole matrix; with more, they are applied in passes.
 DENSE = 2048
+#: What keeps rows that lie on their bounds from counting without limit beside the others in the normal equations: without it,
+#: late rounds lose the smaller ones to rounding.
+SOFT = 1e-10
+#: Rounds after which blocks are written to the shared folder: a task carries all rounds since, and some 380 overflow the stack.
+CUT = 25
+#: Passes that mend the duals of a round, each from what rounding left of the one before.
+MENDS = 3
 
 
 def _along(block: tuple, x: np.ndarray) -> np.ndarray:
@@ -167,6 +180,43 @@ def _pull(block: tuple, y: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(idx, np.repeat(y, np.diff(begins, append=len(idx))) * val, n)
 
 
+def _products(block: tuple, h: np.ndarray, n: int) -> np.ndarray:
+    """The upper half of the matrix of rows times themselves, each weighted by ``h``."""
+    begins, idx, val = block[:3]
+    matrix, size = np.zeros(n * n), np.diff(begins, append=len(idx))
+    for k in np.unique(size):
+        same, (left, right) = np.flatnonzero(size == k), np.triu_indices(k)
+        for first in range(0, len(same), step := max(1, (1 << 20) // len(left))):
+            rows = same[first : first + step]
+            at = begins[rows][:, None] + np.arange(k)
+            i, v = idx[at].astype(np.int64), val[at].astype(float)
+            i, j = i[:, left], i[:, right]
+            matrix += np.bincount((np.minimum(i, j) * n + np.maximum(i, j)).ravel(), ((h[rows][:, None] * v)[:, left] * v[:, right]).ravel(), n * n)
+    return matrix.reshape(n, n)[np.triu_indices(n)]
+
+
+def _whole(half: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = half
+    return out + np.triu(out, 1).T
+
+
+def _solved(matrix: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Solves matrix @ x = wanted, scaled by the diagonal, as pieces' numbers may be many orders apart, and refined."""
+    size = np.diag(matrix)
+    scale = np.divide(1.0, np.sqrt(size, where=size > 0, out=np.ones_like(size)))
+    unit = matrix * scale[:, None] * scale
+    unit[np.diag_indices(len(unit))] += np.where(size > 0, 1e-15, 1.0)
+    try:
+        inverse = np.linalg.inv(unit)
+    except np.linalg.LinAlgError:
+        inverse = np.linalg.pinv(unit, hermitian=True)
+    x = scale * (inverse @ (scale * wanted))
+    for _ in range(3):
+        x = x + scale * (inverse @ (scale * (wanted - matrix @ x)))
+    return x
+
+
 def _begin(block: tuple, aim: float = 10.0) -> tuple:
     """A block with, for each row, its slack, how far the slack is above the row's value, and the duals of both bounds:
     those at which each dual times its room is ``aim`` for the scores at the start."""
@@ -179,9 +229,9 @@ def _begin(block: tuple, aim: float = 10.0) -> tuple:
 def _moves(block: tuple, dx: np.ndarray, aim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How slacks, their distances and duals move along with the scores, so that each dual times its bound's room is ``aim``."""
     s, r, a, b = block[5:]
-    e1, e2, both, dz = aim - a * r, aim - b * s, b * r + s * a, _along(block, dx)
-    ds = (r * e2 + s * e1 + s * a * dz) / both
-    return ds, ds - dz, (b * e1 - a * e2 + a * b * dz) / both
+    e1, e2, both, dz = aim - a * r, aim - b * s, b * r + s * a + SOFT * a * b, _along(block, dx)
+    da = (b * e1 - a * e2 + a * b * dz) / both
+    return (e2 + s * da) / b, (e1 - r * da) / a, da
 
 
 def _moved(block: tuple, dx: np.ndarray, aim: float, step: float, dual_step: float) -> tuple:
@@ -206,22 +256,25 @@ def _sums(block: tuple, x: np.ndarray, dense: bool) -> list[np.ndarray]:
     """Of a block: duals times rooms, their number, the loss and the duals' gain; the pull of the duals and of their moves
     (without and per ``aim``); and the normal equations' matrix (its upper half) or its diagonal."""
     begins, idx, val, w, gain, s, r, a, b = block
-    n, both = len(x), b * r + s * a
-    h, size = a * b / both, np.diff(begins, append=len(idx))
-    if dense:
-        matrix = np.zeros(n * n)
-        for k in np.unique(size):
-            rows = np.flatnonzero(size == k)
-            at = begins[rows][:, None] + np.arange(k)
-            i, v = idx[at], val[at]
-            matrix += np.bincount((i[:, :, None] * n + i[:, None, :]).ravel(), (h[rows][:, None, None] * v[:, :, None] * v[:, None, :]).ravel(), n * n)
-        matrix = matrix.reshape(n, n)[np.triu_indices(n)]
-    else:
-        matrix = np.bincount(idx, np.repeat(h, size) * val * val, n)
+    n, both = len(x), b * r + s * a + SOFT * a * b
+    h = a * b / both
+    matrix = _products(block, h, n) if dense else np.bincount(idx, np.repeat(h, np.diff(begins, append=len(idx))) * val * val.astype(float), n)
     known = np.array([a @ r + b @ s, 2.0 * len(w), w @ np.maximum(gain + _along(block, x), 0), a @ gain])
     return [known, _pull(block, a, n), _pull(block, a * b * (s - r) / both, n), _pull(block, (b - a) / both, n), matrix]
 
 
+def _play(block: tuple) -> np.ndarray:
+    """The square of how far a row's dual is from both its bounds."""
+    w, (a, b) = block[3], block[7:]
+    return (a * b / w) ** 2
+
+
+def _mended(block: tuple, y: np.ndarray) -> list[np.ndarray]:
+    """The gain and the pull of duals that are moved along ``y`` by their play."""
+    a = np.clip(block[7] - _play(block) * _along(block, y), 0, block[3])
+    return [np.array([a @ block[4]]), _pull(block, a, len(y))]
+
+
 def _merged(each: RDD, add: Callable):
     """The sum of all values, made in tasks to the last, so that a single one reaches the driver whatever the number of tasks."""
 
@@ -276,8 +329,10 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
     A primal-dual interior point method. Slacks and duals of rows stay with their blocks; a round is a pass that sums the normal
     equations for the scores, the true loss, and what the duals prove, and a pass that finds how far slacks and duals can move
     along. Sums are merged in tasks, so a round sends the driver one set of sums, of the scores' size (or half its square, up to
-    ``DENSE`` pieces), on any number of tasks. A lost block follows again from the table and the rounds' moves. It ends when the objective is within the
-    stated share of the proven bound, or at ``rounds``. A row of no pieces is a constant; without others the start is the optimum.
+    ``DENSE`` pieces), on any number of tasks. A lost block follows again from the blocks that
+    every ``CUT`` rounds write, and the rounds' moves since. It ends when the objective is within the
+    stated share of the proven bound, when duals times rooms are too small to gain more, or at ``rounds``. Duals that would prove it but
+    for their pull, which rounding keeps from what the distance term allows, are mended in a few more passes. A row of no pieces is a constant; without others the start is the optimum.
     Without a distance term nothing above 0 is proven.
     """
     if norm not in ("l1", "linf", "none"):
@@ -289,31 +344,47 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
         return Fit(np.array(start, float), fixed, fixed)
     n, dense, x = len(start), len(start) <= DENSE, np.zeros(len(start))
     state, far = table.map(_begin).persist(StorageLevel.MEMORY_AND_DISK), _Distance(n, cost, norm) if cost else None
-    upper = np.triu_indices(n) if dense else None
     best, least, proven, reached, passed = x, np.inf, 0.0, 1.0, table
-    for _ in range(rounds):
+
+    def proof(gained: float, pull: np.ndarray) -> float:
+        strain = np.abs(pull).sum() if norm == "linf" else np.abs(pull).max()
+        return gained * (min(1.0, cost / strain) if strain > 0 else 1.0)
+
+    spark, cut = rows.sparkSession, None
+    shared_dir(spark)
+    for t in range(rounds):
+        if t and t % CUT == 0:
+            state.checkpoint()
         (rooms, terms, loss, gained), pull, still, aimed, matrix = _merged(state.map(lambda b, x=x: _sums(b, x, dense)), _added)
+        if t and t % CUT == 0:
+            cut = _dropped(spark, cut, state)
         true = loss + cost * float(np.abs(x).max() if norm == "linf" else np.abs(x).sum())
-        strain = np.abs(pull).sum() if norm == "linf" else np.abs(pull).max()
-        proven = max(proven, gained * (min(1.0, cost / strain) if strain > 0 else 1.0))
+        proven = max(proven, proof(gained, pull))
         if true < least:
             best, least = x, true
+        if cost and dense and abs(least - gained) <= within * (least + fixed) < least - proven:
+            products, y, pulled = _whole(_merged(state.map(lambda b: [_products(b, _play(b), n)]), _added)[0], n), np.zeros(n), pull
+            for _ in range(MENDS):
+                allowed = cost * (1 - 1e-7)
+                y = y + _solved(products, pulled - (_onto_l1_ball(pulled, allowed) if norm == "linf" else np.clip(pulled, -allowed, allowed)))
+                (mended,), pulled = _merged(state.map(lambda b, y=y: _mended(b, y)), _added)
+                proven = max(proven, proof(mended, pulled))
+                if least - proven <= within * (least + fixed):
+                    break
         if least - proven <= within * (least + fixed):
             break
         if far:
             rooms, terms = rooms + far.a @ far.p + far.b @ far.q, terms + 2 * n
+        if not rooms > 1e-3 * within * (least + fixed):
+            break
         aim = (0.05 if reached > 0.9 else 0.2 if reached > 0.5 else 0.5) * rooms / terms
         diagonal, root, right = far.equations(aim) if far else (np.zeros(n), np.zeros(n), np.zeros(n))
         right = -(right + pull + still + aim * aimed)
         if dense:
-            whole = np.zeros((n, n))
-            whole[upper] = matrix
-            whole = whole + np.triu(whole, 1).T + np.diag(diagonal) - np.outer(root, root)
-            whole[np.diag_indices(n)] += 1e-14 * np.abs(np.diag(whole)).max()
-            dx = np.linalg.solve(whole, right)
+            dx = _solved(_whole(matrix, n) + np.diag(diagonal) - np.outer(root, root), right)
         else:
             ridge = 1e-14 * (matrix + diagonal).max()
-            apply = lambda v, state=state: _merged(state.map(lambda b: [_pull(b, b[7] * b[8] / (b[8] * b[6] + b[5] * b[7]) * _along(b, v), n)]), _added)[0]
+            apply = lambda v, state=state: _merged(state.map(lambda b: [_pull(b, b[7] * b[8] / (b[8] * b[6] + b[5] * b[7] + SOFT * b[7] * b[8]) * _along(b, v), n)]), _added)[0]
             dx = _conjugate(lambda v, d=diagonal + ridge, root=root, apply=apply: apply(v) + d * v - root * (root @ v), right, matrix + diagonal + ridge)
         step, dual_step = _merged(state.map(lambda b, dx=dx, aim=aim: _rooms(b, dx, aim)), np.minimum)
         if far:
@@ -330,9 +401,17 @@ def fit_scores(rows: DataFrame, start: np.ndarray, margin: float = 0.1, strength
             far.move(moves, step, dual_step)
     state.unpersist()
     passed.unpersist()
+    _dropped(spark, cut)
     return Fit(np.asarray(start, float) + best, least + fixed, proven + fixed)
 
 
+def _dropped(spark: SparkSession, cut: RDD | None, by: RDD | None = None) -> RDD | None:
+    """Deletes the files of blocks that later ones have replaced, and gives the later ones."""
+    if cut and (path := cut.getCheckpointFile()):
+        delete_table(spark, path)
+    return by
+
+
 def _conjugate(times, wanted: np.ndarray, diagonal: np.ndarray, share: float = 1e-6) -> np.ndarray:
     """Solves times(x) = wanted by conjugate gradients, scaled by the diagonal; each step is a pass over the rows."""
     scale = 1 / np.maximum(diagonal, 1e-12 * diagonal.max())

@@ -281,6 +281,17 @@ def test_scores_fitted_in_passes_are_as_good(spark, monkeypatch, norm, dense):
     assert 0 <= fit.objective - fit.bound <= 1e-3 * fit.objective and fit.bound <= plain.objective + 1e-9
 
 
+def test_rounds_of_a_fit_are_not_carried_along(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "CUT", 4, raising=False)
+    deep, merged = [], fitting._merged
+    monkeypatch.setattr(fitting, "_merged", lambda each, add: (merged(each, add), deep.append(each.toDebugString().count(b"PythonRDD")))[0])
+    random = np.random.default_rng(1)
+    rows = [([0, 1, 2], random.integers(1, 3, 3).tolist(), float(np.exp(4 * random.normal()))) for _ in range(20)]
+    rows += [([0, 2], [-1, 1], 1.0), ([1], [-1], 3.0)]
+    fit = fit_scores(spark.createDataFrame(rows, "idx array<int>, val array<int>, weight double"), np.array([-1.0, -2.0, -4.0]), within=0, rounds=14)
+    assert len(deep) > 20 and max(deep) < 12 and 0 <= fit.objective - fit.bound
+
+
 def test_packing_in_ranges_equals_packing_in_order(spark, monkeypatch):
     monkeypatch.setattr(B, "RANGE", 5)
     monkeypatch.setattr(B, "FAN", 3)
